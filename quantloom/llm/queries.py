@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from .embedding_join import op8_embedding_near_dup
+from .languages import op4_language_id, pages_language
+from .licenses import op5_license_scan
 from .mixing import op2_source_mix
+from .ngram_join import op6_ngram_jaccard_join
 from .packing import op3_best_fit_packing
 from .secrets import op1_secret_scan
+from .toxicity import op10_toxicity
 from .url_filters import op7_url_filter
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_language_id": op4_language_id,
+    "op5_license_scan": op5_license_scan,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_url_filter": op7_url_filter,
+    "op8_embedding_near_dup": op8_embedding_near_dup,
+    "op10_toxicity": op10_toxicity,
+    "pages_language": pages_language,
 }
 
 ORACLES: dict[str, str] = {}
