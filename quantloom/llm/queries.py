@@ -5,6 +5,7 @@ from __future__ import annotations
 from .embedding_join import op8_embedding_near_dup
 from .languages import op4_language_id, pages_language
 from .licenses import op5_license_scan
+from .media_copies import op9_media_copies
 from .mixing import op2_source_mix
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op3_best_fit_packing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_url_filter": op7_url_filter,
     "op8_embedding_near_dup": op8_embedding_near_dup,
+    "op9_media_copies": op9_media_copies,
     "op10_toxicity": op10_toxicity,
     "pages_language": pages_language,
 }
