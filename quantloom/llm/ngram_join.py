@@ -33,12 +33,14 @@ from .text_kernels import lists, mix, shingle_slices
 
 SHINGLE, PERCENT = 5, 80
 BANDS, SEGMENTS = 8, 16
-#: 64-bit words of a token bitmap; documents in a leaf.
-BITMAP, LEAF = 16, 128
+#: 64-bit words of a node's bitmap and least ones of a document's, bits that a document's has for each shingle; documents in a leaf.
+BITMAP, DENSITY, LEAF = 16, 4, 32
 #: A shingle counts as frequent from so many occurrences on; that only changes the order. At most MOST_FREQUENT are told apart.
-FREQUENT, MOST_FREQUENT = 100, 500_000
+FREQUENT, MOST_FREQUENT = 100, 200_000
 #: Shingles that a task sorts at once to find recurring ones, and the least count that it reports.
-SORTED_AT_ONCE, REPORTED = 3_000_000, 4
+SORTED_AT_ONCE, REPORTED = 1_500_000, 3
+#: Bits for each root in the filter that goes to all tasks, and its largest size (16 MB); a full filter lets all pass.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 
 
 def _least(percent: int) -> int:
@@ -102,10 +104,10 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, frequent, wanted=None) -> DataFrame:
-    """(doc_id, n, prefix[, bits]): the first shingles of each set in the global order.
+    """(doc_id, n, prefix[, places, bits, node]): the first shingles of each set in the global order.
 
-    frequent: broadcast (sorted shingles, places in the order); wanted: broadcast sorted shingles to which the prefix
-    is restricted, then documents without any are left out and the others have their bitmaps.
+    frequent: broadcast (sorted shingles, places in the order); wanted: broadcast bit filter over shingles to which the
+    prefix is restricted; then documents without any are left out and the others have their bitmaps.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +130,9 @@ def _prefixes(docs: DataFrame, k: int, percent: int, frequent, wanted=None) -> D
                 if wanted is None:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(n), lists(ps.view(np.int64), length, pa.int64())], ["doc_id", "n", "prefix"])
                     continue
-                w = wanted.value
-                at = np.minimum(np.searchsorted(w, ps), len(w) - 1)
-                hit = w[at] == ps
+                at = ps & np.uint64(64 * len(wanted.value) - 1)
+                hit = (wanted.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                pos = (np.flatnonzero(keep) - first[pt])[hit]
                 pt, ps = pt[hit], ps[hit]
                 has = np.unique(pt)
                 if not len(has):
@@ -138,15 +140,22 @@ def _prefixes(docs: DataFrame, k: int, percent: int, frequent, wanted=None) -> D
                 of = np.full(rows, -1)
                 of[has] = np.arange(len(has))
                 mine = of[t] >= 0
-                bits = np.zeros((len(has), BITMAP), np.uint64)
-                b = s[mine]
-                np.bitwise_or.at(bits, (of[t[mine]], ((b >> np.uint64(6)) % np.uint64(BITMAP)).astype(np.int64)), np.uint64(1) << (b % np.uint64(64)))
+                # a power of two of words for each document, so that a longer bitmap folds onto a shorter one
+                size = BITMAP << np.ceil(np.log2(np.maximum(1, DENSITY * n[has] / (64 * BITMAP)))).astype(np.int64)
+                base = np.r_[0, np.cumsum(size)]
+                bits = np.zeros(base[-1], np.uint64)
+                b, d = s[mine], of[t[mine]]
+                at = b & (64 * size[d] - 1).astype(np.uint64)
+                np.bitwise_or.at(bits, base[d] + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+                node = np.zeros((len(has), BITMAP), np.uint64)
+                np.bitwise_or.at(node, (np.repeat(np.arange(len(has)), size), (np.arange(len(bits)) - np.repeat(base[:-1], size)) % BITMAP), bits)
+                per = np.bincount(of[pt], minlength=len(has))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, rows).take(pa.array(has)), pa.array(n[has]), lists(ps.view(np.int64), np.bincount(of[pt], minlength=len(has)), pa.int64()), lists(bits.view(np.int64).ravel(), np.full(len(has), BITMAP), pa.int64())],
-                    ["doc_id", "n", "prefix", "bits"],
+                    [batch.column(0).slice(lo, rows).take(pa.array(has)), pa.array(n[has]), lists(ps.view(np.int64), per, pa.int64()), lists(pos, per, pa.int64()), lists(bits.view(np.int64), size, pa.int64()), lists(node.view(np.int64).ravel(), np.full(len(has), BITMAP), pa.int64())],
+                    ["doc_id", "n", "prefix", "places", "bits", "node"],
                 )
 
-    return docs.mapInArrow(scan, "doc_id long, n long, prefix array<long>" + (", bits array<long>" if wanted is not None else ""))
+    return docs.mapInArrow(scan, "doc_id long, n long, prefix array<long>" + (", places array<long>, bits array<long>, node array<long>" if wanted is not None else ""))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -185,42 +194,66 @@ def _bit_count(a: Column, b: Column | None = None) -> Column:
     return F.aggregate(each, F.lit(0), lambda acc, w: acc + F.bit_count(w))
 
 
-def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) from rows (key, doc_id, comp, n, bits), by dual traversal of each key's tree."""
+def _tree_pairs(rows: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) from rows (key, pos, doc_id, comp, n), by dual traversal of each key's tree.
+
+    pos: the key's place in the document's order; a linking pair passes the test of places at its first common key.
+
+    bits: (doc_id, bits, node), a document's bitmap and the same folded to a node's size. Pairs are made by sizes and components first, once for all keys that they share; then they
+    meet their bitmaps.
+    """
     # sizes of linking sets differ by at most this factor; a class holds sizes within it
     ratio = percent / 100
-    rows = rows.withColumn("bit_n", _bit_count(F.col("bits"))).withColumn("class", F.floor(-F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))).cast("int"))
-    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("m")).withColumn("leaves", F.ceil(F.col("m") / LEAF))
-    rows = rows.join(sizes.select("key", "class", "leaves"), ["key", "class"]).withColumn("leaf", F.pmod(F.xxhash64("doc_id"), "leaves"))
-    node = rows.groupBy("key", "class", "leaf").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("bit_n").alias("b0"),
-        F.array(*[F.bit_or(F.col("bits")[i]) for i in range(BITMAP)]).alias("union"),
-        F.collect_list(F.struct("doc_id", "comp", "n", "bit_n", "bits")).alias("docs"),
-    )
-    node = stage(node)
+    share = ratio / (1 + ratio)
+    place = ["key", "class", "leaf"]
+    rows = rows.withColumn("class", F.floor(-F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))).cast("int"))
+    large = stage(rows.groupBy("key", "class").agg(F.count("*").alias("m")).where(F.col("m") > LEAF).select("key", "class", F.ceil(F.col("m") / LEAF).alias("leaves")))
+    rows = join_checked(rows, large, ["key", "class"]).withColumn("leaf", F.when(F.col("leaves").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), "leaves")))
+    rows = stage(rows)
+    node = rows.groupBy(*place).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.collect_list(F.struct("doc_id", "comp", "n", "pos")).alias("docs"))
+    # only classes of several leaves have bitmaps to prune by; the others' pairs are few
+    filled = rows.where("leaves is not null").join(bits, "doc_id").groupBy(*place).agg(F.array(*[F.bit_or(F.col("node")[i]) for i in range(BITMAP)]).alias("union"), F.min(_bit_count(F.col("node"))).alias("b0"))
+    node = stage(join_checked(node, stage(filled), place))
     x, y = node.alias("x"), node.alias("y")
 
     def fits(p: str, q: str) -> Column:
-        """Documents of p and q may have bitmaps that overlap enough: |a - b| is at most 5/9 |a| - 4/9 |b| at 80 %."""
-        t = ratio / (1 + ratio)
-        missing = (1 - t) * F.col(f"{p}.hi") - t * F.col(f"{q}.lo")
-        return _bit_count(F.col(f"{p}.union"), F.col(f"{q}.union")) >= F.col(f"{p}.b0") - missing
+        """Documents of p and q may have bitmaps that overlap enough: |a - b| is at most (1 - share) |a| - share |b|."""
+        missing = (1 - share) * F.col(f"{p}.hi") - share * F.col(f"{q}.lo")
+        return F.coalesce(_bit_count(F.col(f"{p}.union"), F.col(f"{q}.union")) >= F.col(f"{p}.b0") - missing, F.lit(True))
 
     order = F.struct("x.class", "x.leaf") <= F.struct("y.class", "y.leaf")
+    near = (F.col("y.class") - F.col("x.class") <= 1) & (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
     apart = (F.col("x.c0") != F.col("x.c1")) | (F.col("y.c0") != F.col("y.c1")) | (F.col("x.c0") != F.col("y.c0"))
     own = (F.col("x.class") == F.col("y.class")) & (F.col("x.leaf") == F.col("y.leaf"))
-    near = (F.col("y.class") - F.col("x.class") <= 1) & (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
-    pairs = x.hint("merge").join(y, (F.col("x.key") == F.col("y.key")) & order & near & apart & fits("x", "y") & fits("y", "x"))
-
-    def linked(p: Column, q: Column) -> Column:
-        t = ratio / (1 + ratio)
-        bound = lambda a, b: _bit_count(a["bits"], b["bits"]) >= a["bit_n"] - ((1 - t) * a["n"] - t * b["n"])
-        return (p["comp"] != q["comp"]) & (~F.col("own") | (p["doc_id"] < q["doc_id"])) & (p["n"] * 100 >= q["n"] * percent) & (q["n"] * 100 >= p["n"] * percent) & bound(p, q) & bound(q, p)
-
-    found = pairs.select(own.alias("own"), F.col("x.docs").alias("p"), F.col("y.docs").alias("q")).select(
-        F.explode(F.flatten(F.transform("p", lambda a: F.transform(F.filter("q", lambda b: linked(a, b)), lambda b: F.struct(F.least(a["doc_id"], b["doc_id"]).alias("a"), F.greatest(a["doc_id"], b["doc_id"]).alias("b")))))).alias("e")
-    )
-    return found.select("e.a", "e.b").distinct()
+    nodes = x.hint("merge").join(y, (F.col("x.key") == F.col("y.key")) & order & near & apart & fits("x", "y") & fits("y", "x"))
+
+    def sized(p: Column, q: Column) -> Column:
+        # where the key is the first common shingle, all common ones stand from it on in both orders
+        left = F.least(p["n"] - p["pos"], q["n"] - q["pos"])
+        return (p["comp"] != q["comp"]) & (~F.col("own") | (p["doc_id"] < q["doc_id"])) & (left * (100 + percent) >= (p["n"] + q["n"]) * percent)
+
+    pair = lambda p, q: F.struct(F.least(p["doc_id"], q["doc_id"]).alias("a"), F.greatest(p["doc_id"], q["doc_id"]).alias("b"), F.when(p["doc_id"] < q["doc_id"], p["n"]).otherwise(q["n"]).alias("na"), F.when(p["doc_id"] < q["doc_id"], q["n"]).otherwise(p["n"]).alias("nb"))
+    found = nodes.select(own.alias("own"), F.col("x.docs").alias("p"), F.col("y.docs").alias("q"))
+    found = found.select(F.explode(F.flatten(F.transform("p", lambda a: F.transform(F.filter("q", lambda b: sized(a, b)), lambda b: pair(a, b))))).alias("e"))
+    found = found.select("e.a", "e.b", "e.na", "e.nb").distinct()
+    found = found.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("p")), "a").join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("q")), "b")
+    # sizes of linking sets are close, so their bitmaps are alike or one folds once
+    half = lambda c: F.zip_with(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), lambda x, y: x.bitwiseOR(y))
+    found = found.withColumns({"p": F.when(F.size("p") > F.size("q"), half("p")).otherwise(F.col("p")), "q": F.when(F.size("q") > F.size("p"), half("q")).otherwise(F.col("q"))})
+    bound = lambda p, q, m, n: _bit_count(F.col(p), F.col(q)) >= _bit_count(F.col(p)) - ((1 - share) * F.col(m) - share * F.col(n))
+    return found.where(bound("p", "q", "na", "nb") & bound("q", "p", "nb", "na")).select("a", "b").distinct()
+
+
+def _bit_filter(keys: DataFrame, n: int) -> np.ndarray:
+    """A bit for each value of the keys' low bits, as an array of 64-bit words (a power of two of them)."""
+    bits = 1 << 20
+    while bits < min(MOST_FILTER_BITS, FILTER_BITS * n):
+        bits *= 2
+    at = F.col("key").bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -256,23 +289,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = with_comp(_prefixes(docs.where("doc_id is not null"), k, percent, frequent)).select("comp", F.explode("prefix").alias("key"))
     roots = roots.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
     roots = stage(roots)
-    few = roots.limit(2 * MOST_FREQUENT + 1).count()
-    if not few:
+    n_roots = roots.count()
+    if not n_roots:
         final = comps
     else:
-        only = docs.where("doc_id is not null")
-        if few <= 2 * MOST_FREQUENT:
-            keys = np.sort(roots.toPandas()["key"].to_numpy(np.int64).view(np.uint64))
-            rows = _prefixes(only, k, percent, frequent, spark.sparkContext.broadcast(keys)).select("doc_id", "n", "bits", F.explode("prefix").alias("key"))
-        else:
-            light = _prefixes(only, k, percent, frequent).select("doc_id", F.explode("prefix").alias("key")).join(roots, "key", "left_semi")
-            mine = stage(light)
-            full = _bitmaps(only.join(mine.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), k)
-            rows = mine.join(full, "doc_id")
-        # one document of each set
+        filter_ = spark.sparkContext.broadcast(_bit_filter(roots, n_roots))
+        near = stage(_prefixes(docs.where("doc_id is not null"), k, percent, frequent, filter_))
+        # the filter lets some others pass; one document of each set is enough
+        rows = near.select("doc_id", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("doc_id", "n", F.col("p.prefix").alias("key"), F.col("p.places").alias("pos")).hint("merge").join(roots, "key", "left_semi")
         extra = stage(copies.select(F.col("a").alias("doc_id")).distinct())
-        rows = stage(with_comp(join_checked(rows, extra, ["doc_id"], "left_anti")).select("key", "doc_id", "comp", "n", "bits"))
-        links = verified(docs, stage(_tree_pairs(rows, percent)), k, percent)
+        rows = with_comp(join_checked(rows, extra, ["doc_id"], "left_anti")).select("key", "pos", "doc_id", "comp", "n").distinct()
+        links = verified(docs, stage(_tree_pairs(stage(rows), near.select("doc_id", "bits", "node").dropDuplicates(["doc_id"]), percent)), k, percent)
         linked = with_comp(links.select(F.col("a").alias("doc_id"), "b")).select(F.col("comp").alias("a"), F.col("b").alias("doc_id"))
         linked = with_comp(linked).select("a", F.col("comp").alias("b"))
         merged = components(linked, "a", "b").select(F.col("node").alias("comp"), F.col("component").alias("to"))
@@ -283,18 +310,5 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id"))
 
 
-def _bitmaps(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, bits): the size and token bitmap of each shingle set."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, t, s in shingle_slices(batch.column(1), k):
-                bits = np.zeros((hi - lo, BITMAP), np.uint64)
-                np.bitwise_or.at(bits, (t, ((s >> np.uint64(6)) % np.uint64(BITMAP)).astype(np.int64)), np.uint64(1) << (s % np.uint64(64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.bincount(t, minlength=hi - lo)), lists(bits.view(np.int64).ravel(), np.full(hi - lo, BITMAP), pa.int64())], ["doc_id", "n", "bits"])
-
-    return docs.mapInArrow(scan, "doc_id long, n long, bits array<long>")
-
-
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
