@@ -3,8 +3,8 @@
 Documents become token pieces of at most `width` tokens. The histogram of piece lengths (at most `width` numbers,
 whatever the input) comes to the driver. There, lengths are put into classes of `grain` tokens; all patterns of two
 to four classes that fill a sequence are enumerated, their repeat counts are fitted to the class histogram by
-non-negative least squares and rounded down, and the pieces left over are packed by best fit on exact lengths, into
-the gaps of the patterns' sequences and into new ones. The plan is a list of runs (lengths, how many sequences) whose
+non-negative least squares and rounded down (a share of them: the best of three is kept), and the pieces left over are
+packed by best fit on exact lengths, into the gaps of the patterns' sequences and into new ones. The plan is a list of runs (lengths, how many sequences) whose
 size depends on `width` alone. In Spark each piece gets its rank among the pieces of its length (salted, so that one
 length may hold any share of the rows), and the rank picks the place in the plan.
 
@@ -131,8 +131,33 @@ def fit(table_: np.ndarray, target: np.ndarray, rounds: int = 400) -> np.ndarray
     return x
 
 
-def pack_plan(histogram: dict[int, int], width: int = WIDTH, grain: int = 16) -> list[tuple[tuple[int, ...], int]]:
-    """Runs (lengths of a sequence's pieces, number of such sequences) that hold the histogram exactly."""
+def pack_plan(histogram: dict[int, int], width: int = WIDTH, grain: int = 8, shares: tuple[float, ...] = (1.0, 0.6, 0.3)) -> list[tuple[tuple[int, ...], int]]:
+    """Runs (lengths of a sequence's pieces, number of such sequences) that hold the histogram exactly.
+
+    Rounding down leaves pieces over that fill the gaps of the patterns. How many it takes is not known before, so
+    each share of the fitted counts is tried; the plan with the fewest sequences stays.
+    """
+    times = fitted(histogram, width, grain)
+    plans = [_plan(histogram, times, share, width, grain) for share in shares]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def fitted(histogram: dict[int, int], width: int, grain: int) -> list[tuple[tuple[int, ...], float]]:
+    """Patterns of length classes with their fitted repeat counts, most frequent first."""
+    classes = width // grain
+    counts = np.zeros(classes + 1)
+    for k, v in histogram.items():
+        if k != width:
+            counts[-(-int(k) // grain)] += v
+    candidates = [p for p in patterns(classes) if all(counts[c] for c in p)] if classes >= 2 else []
+    if not candidates:
+        return []
+    times = fit(np.array([[*p, *[-1] * (4 - len(p))] for p in candidates]), counts)
+    return [(candidates[i], float(times[i])) for i in np.argsort(-times, kind="stable")]
+
+
+def _plan(histogram: dict[int, int], times: list[tuple[tuple[int, ...], float]], share: float, width: int, grain: int) -> list[tuple[tuple[int, ...], int]]:
+    """The patterns' sequences at a share of their counts, and the rest by best fit."""
     left = defaultdict(int, {int(k): int(v) for k, v in histogram.items() if v})
     runs: list[tuple[tuple[int, ...], int]] = []
     if width in left:
@@ -146,38 +171,33 @@ def pack_plan(histogram: dict[int, int], width: int = WIDTH, grain: int = 16) ->
             c = -(-k // grain)
             counts[c] += left[k]
             members[c].append(k)
-        candidates = [p for p in patterns(classes) if all(counts[c] for c in p)]
-        if candidates:
-            rows = np.array([[*p, *[-1] * (4 - len(p))] for p in candidates])
-            times = fit(rows, counts)
-            for i in np.argsort(-times, kind="stable"):
-                n = int(times[i] + 1e-6)
-                need = defaultdict(int)
-                for c in candidates[i]:
-                    need[c] += 1
-                n = min([n, *(int(counts[c]) // m for c, m in need.items())])
-                if n < 1:
-                    continue
-                for c, m in need.items():
-                    counts[c] -= n * m
-                # exact lengths: the longest of one class goes with the shortest of the next
-                queues = []
-                for j, c in enumerate(candidates[i]):
-                    queue, want = [], n
-                    for k in members[c] if j % 2 else reversed(members[c]):
-                        if want and (take := min(want, left[k])):
-                            queue.append([k, take])
-                            left[k] -= take
-                            want -= take
-                    queues.append(queue)
-                while queues[0]:
-                    m = min(q[0][1] for q in queues)
-                    lengths = tuple(q[0][0] for q in queues)
-                    open_[width - sum(lengths)].append([lengths, m])
-                    for q in queues:
-                        q[0][1] -= m
-                        if not q[0][1]:
-                            q.pop(0)
+        for pattern, repeats in times:
+            need = defaultdict(int)
+            for c in pattern:
+                need[c] += 1
+            n = min([int(share * repeats + 1e-6), *(int(counts[c]) // m for c, m in need.items())])
+            if n < 1:
+                continue
+            for c, m in need.items():
+                counts[c] -= n * m
+            # exact lengths: the longest of one class goes with the shortest of the next
+            queues = []
+            for j, c in enumerate(pattern):
+                queue, want = [], n
+                for k in members[c] if j % 2 else reversed(members[c]):
+                    if want and (take := min(want, left[k])):
+                        queue.append([k, take])
+                        left[k] -= take
+                        want -= take
+                queues.append(queue)
+            while queues[0]:
+                m = min(q[0][1] for q in queues)
+                lengths = tuple(q[0][0] for q in queues)
+                open_[width - sum(lengths)].append([lengths, m])
+                for q in queues:
+                    q[0][1] -= m
+                    if not q[0][1]:
+                        q.pop(0)
     spaces = sorted(open_)
     for k in sorted((k for k, v in left.items() if v), reverse=True):
         want = left[k]
@@ -205,7 +225,7 @@ def pack_plan(histogram: dict[int, int], width: int = WIDTH, grain: int = 16) ->
     return runs
 
 
-def pack(pieces: DataFrame, order: list[str], length_col: str = "length", width: int = WIDTH, grain: int = 16, salt_rows: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, order: list[str], length_col: str = "length", width: int = WIDTH, grain: int = 8, salt_rows: int = 256) -> DataFrame:
     """Adds sequence_id and offset to pieces (read twice, so a staged table); order: columns that identify a piece."""
     spark = pieces.sparkSession
     histogram = {r[0]: r[1] for r in pieces.groupBy(length_col).count().collect()}  # at most `width` rows
