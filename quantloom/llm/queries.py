@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from .embedding_join import op8_embedding_near_dup
 from .languages import op4_language_id, pages_language
-from .licenses import op5_license_scan
+from .licenses import PHRASES, TEMPLATES, THRESHOLD, op5_license_scan
 from .media_copies import op9_media_copies
 from .mixing import op2_source_mix
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op3_best_fit_packing
 from .secrets import op1_secret_scan
 from .toxicity import op10_toxicity
-from .url_filters import op7_url_filter
+from .url_filters import RULES, op7_url_filter
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -27,4 +29,49 @@ QUERIES = {
     "pages_language": pages_language,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _license_sql() -> str:
+    """Phrases by word positions and templates by lines, without any index."""
+    text = lambda x: "'" + x + "'"
+    phrases = ", ".join(f"([{', '.join(map(text, p.split()))}], {text(label)})" for p, label in PHRASES.items())
+    templates = ", ".join(f"([{', '.join(map(text, sorted(set(t.split()))))}], {text(label)}, {math.ceil(THRESHOLD * len(set(t.split())) - 1e-9)})" for label, t in TEMPLATES)
+    return f"""WITH t AS (SELECT doc_id, {_LOWER.format(x="coalesce(text, '')")} AS x FROM documents), w AS (SELECT doc_id, x, regexp_extract_all(x, '{_ALNUM}') AS ws FROM t),
+     ph(p, label) AS (VALUES {phrases}), tm(tt, label, o) AS (VALUES {templates}),
+     b AS (SELECT doc_id, label, i - 1 AS start FROM w, ph, range(1, len(ws) + 1) r(i) WHERE ws[i:i + len(p) - 1] = p),
+     ln AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), '{_ALNUM}')) AS lw FROM w),
+     f AS (SELECT doc_id, label, len(list_intersect(lw, tt)) / len(tt) AS c FROM ln, tm WHERE len(list_intersect(lw, tt)) >= o),
+     bb AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
+     al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION ALL SELECT doc_id, label FROM f) GROUP BY 1), fs AS (SELECT doc_id, max(c) AS c FROM f GROUP BY 1)
+     SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END AS score
+     FROM w LEFT JOIN bb USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN fs USING (doc_id)"""
+
+
+_JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh FROM w, range(1, greatest(len(ws) - 4, 1) + 1) r(i) WHERE len(ws) > 0), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (sh) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+ e AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+ r AS (SELECT doc_id AS node, doc_id AS comp FROM documents UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.node)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.comp) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY 1, 2"""
+
+
+def _url_sql() -> str:
+    """Rules and variants of a URL; the pages given hold no canonical links or redirects, so there are no others."""
+    rule, name = "CASE", "CASE"
+    for verdict, host, prefix in sorted(RULES, key=lambda x: -len(x[1]) - len(x[2])):
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{prefix}')"
+        rule, name = f"{rule} WHEN {fits} THEN '{verdict}'", f"{name} WHEN {fits} THEN '{host}{prefix}'"
+    return f"""WITH h AS (SELECT page_id, url, {_LOWER.format(x="coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+     r AS (SELECT *, {rule} END AS v, {name} END AS rule, regexp_replace(regexp_replace(regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1), '(^|&)(utm_[a-z]+|ref|gclid|fbclid|sessionid)=[^&]*', '', 'g'), '^&', '') AS q FROM h),
+     k AS (SELECT *, CASE WHEN contains(url, '://') THEN host || regexp_replace(path, '(/index\\.html?|/)+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS node FROM r),
+     g AS (SELECT node, bool_or(v = 'block') AS b, bool_or(v = 'allow') AS a FROM k WHERE v IS NOT NULL AND node IS NOT NULL GROUP BY 1)
+     SELECT page_id, host, path, rule, coalesce(v, CASE WHEN coalesce(b, false) AND NOT coalesce(a, false) THEN 'block' ELSE 'allow' END) AS verdict FROM k LEFT JOIN g USING (node)"""
+
+
+ORACLES: dict[str, str] = {
+    "op5_license_scan": " ".join(_license_sql().split()),
+    "op6_ngram_jaccard_join": " ".join(_JACCARD_SQL.split()),
+    "op7_url_filter": " ".join(_url_sql().split()),
+}
