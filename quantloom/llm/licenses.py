@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .spark_tools import join_checked, stage, table
+from .spark_tools import join_checked, stage, table, text_batches
 from .text_kernels import ALNUM, hash_of, lists, slices, word_hashes, words
 
 # The phrases of the query.
@@ -68,7 +68,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     """A row for each row of docs: id, n_words, places (array of label, start word), found (array of block, template,
     label, containment)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     sets = [sorted(set(t.split())) for _, t in templates]
     vocabulary = np.unique(np.array([hash_of(w) for s in sets for w in s], np.uint64))

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .spark_tools import components, join_checked, stage, table
+from .spark_tools import components, join_checked, stage, table, text_batches
 from .text_kernels import lists, mix, shingle_slices
 
 SHINGLE, PERCENT = 5, 80
@@ -49,7 +49,7 @@ def _least(percent: int) -> int:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:

@@ -24,11 +24,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .spark_tools import stage, table
+from .spark_tools import stage, table, text_batches
 
 WIDTH, END = 4096, 1
 #: Distinct strings whose ids a Python worker keeps.
-CACHE = 250_000
+CACHE = 120_000
 #: Latin words, maybe with ASCII punctuation behind: they are one or two pre-tokens, and no normalization but lower case applies.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     rows.append((key, i // step, i // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
 

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .spark_tools import table, text_batches
+
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns. Letters of ASSIGN match in either case, of ASCII only.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -76,7 +78,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "spans": [spans(x) if x else [] for x in batch["text"]]})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(scan, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
@@ -109,8 +111,6 @@ def digest(kinds: tuple[str, ...] = KINDS) -> Column:
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
-    from .spark_tools import table
-
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .spark_tools import join_checked, stage, table
+from .spark_tools import join_checked, stage, table, text_batches
 from .text_kernels import ALNUM, lists, slices, word_hashes, words
 
 #: Bound of the sample that is learned from, of the terms, and the chi-squared that a term needs.
@@ -107,7 +107,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(id, score, evidence) for each row of docs; evidence: array of (doc_id, cosine, rows, toxic) of the neighbours,
     doc_id being one row with that vector. labels: the labelled ids that may be learned from."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     sample = stage(usable.orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(fit_rows))
     fit = stage(rows.join(F.broadcast(sample), "id"))  # at most fit_rows rows
