@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .spark_tools import join_checked, stage, table
+from .spark_tools import join_checked, stage, table, text_batches
 from .text_kernels import LOWER, lists, slices
 from .url_filters import host_of, path_of
 
@@ -46,7 +46,10 @@ def _grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def _train(rows: DataFrame, fit_rows: int) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities of the grams, from at most fit_rows rows (declared, text)."""
     labelled = rows.where("declared is not null and text is not null and text <> ''")
-    sample = stage(labelled.select("declared", "text").orderBy(F.xxhash64("text"), "declared").limit(fit_rows))
+    keyed = labelled.select("declared", "text", F.xxhash64("text").alias("h"))
+    # the rows are chosen by hash, and only the chosen texts move; copies count once
+    chosen = stage(keyed.select("declared", "h").orderBy("h", "declared").limit(fit_rows).distinct())
+    sample = stage(keyed.join(F.broadcast(chosen), ["declared", "h"], "left_semi").dropDuplicates(["declared", "h"]).select("declared", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +86,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
     null = F.lit(None).cast("string")
     url, declared = null if url is None else url, null if declared is None else declared
     host = F.when(host_of(url) != "", host_of(url)) if host is None else host
-    rows = docs.select(F.struct("*").alias("_row"), F.lower(F.substring(F.trim(declared), 1, 2)).alias("declared"), url.alias("url"), host.alias("host"), F.col(text).alias("text"))
+    rows = text_batches(docs).select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), F.lower(F.substring(F.trim(declared), 1, 2)).alias("declared"), url.alias("url"), host.alias("host"), F.col(text).alias("text"))
     rows = rows.withColumn("declared", F.when(F.col("declared") != "", F.col("declared")))
     names, table_ = _train(rows.select("declared", "text"), fit_rows)
     size = max(1, len(names))
@@ -93,7 +96,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
         t = model.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            kept = [i for i in range(batch.num_columns) if i != at]
+            kept = range(batch.num_columns)
             for lo, hi, raw, off in slices(batch.column(at)):
                 code, of, letters = _grams(raw, off)
                 n = np.bincount(of, minlength=hi - lo)
@@ -111,7 +114,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
     known = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
     index = lambda c: F.when(F.array_contains(known, c), F.array_position(known, c).cast("int"))
     rows = rows.select("_row", "text", "host", index(F.col("declared")).alias("said"), F.coalesce(index(folder), index(label)).alias("suffix"))
-    schema = rows.drop("text").schema.add("likelihood", T.ArrayType(T.DoubleType())).add("letters", T.LongType())
+    schema = T.StructType([*rows.schema.fields, T.StructField("likelihood", T.ArrayType(T.DoubleType())), T.StructField("letters", T.LongType())])
     scored = rows.mapInArrow(likelihood, schema)
 
     right, wrong = float(np.log(reliability)), float(np.log((1 - reliability) / max(1, size - 1) + 1e-12))
@@ -150,7 +153,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
     language = name(best(F.col("final")))
     allowed = F.lit(True) if accepted is None else language.isin(accepted)
     ok = (F.col("letters") > 0) & (confidence >= least) & allowed & F.lit(bool(names))
-    return joined.select("_row.*", F.when(F.col("letters") > 0, name(best(F.col("likelihood")))).alias("text_language"), language.alias("language"), confidence.alias("confidence"), F.coalesce(ok, F.lit(False)).alias("accepted"))
+    return joined.select(*[F.col("text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns], F.when(F.col("letters") > 0, name(best(F.col("likelihood")))).alias("text_language"), language.alias("language"), confidence.alias("confidence"), F.coalesce(ok, F.lit(False)).alias("accepted"))
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
