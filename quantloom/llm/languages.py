@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .spark_tools import join_checked, stage, table, text_batches
-from .text_kernels import LOWER, lists, slices
+from .text_kernels import LOWER, lists, released, slices
 from .url_filters import host_of, path_of
 
 #: Bounds of the training sample: rows, and languages (the most frequent ones of the sample).
@@ -108,6 +108,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
                 out *= (np.minimum(n, evidence) / np.maximum(n, 1))[:, None]
                 out -= out.max(1, keepdims=True)
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in kept], lists(out.ravel(), np.full(hi - lo, size), pa.float64()), pa.array(letters)], [*[batch.schema.field(i).name for i in kept], "likelihood", "letters"])
+        released()
 
     # the address's language: the path's first folder, else the host's last label
     folder, label = F.lower(F.regexp_extract(path_of(F.col("url")), r"^/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:/|$)", 1)), F.substring_index(host_of(F.col("url")), ".", -1)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .spark_tools import components, join_checked, stage, table, text_batches
-from .text_kernels import lists, mix, shingle_slices
+from .text_kernels import lists, mix, released, shingle_slices
 
 SHINGLE, PERCENT = 5, 80
 BANDS, SEGMENTS = 8, 16
@@ -99,6 +99,8 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                     seen, waiting = [], 0
         if waiting:
             yield recurring(seen)
+            seen.clear()
+        released()
 
     return docs.mapInArrow(scan, "doc_id long, n long, h1 long, h2 long, bands array<long>, shingle long, times long")
 
@@ -154,6 +156,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, frequent, wanted=None) -> D
                     [batch.column(0).slice(lo, rows).take(pa.array(has)), pa.array(n[has]), lists(ps.view(np.int64), per, pa.int64()), lists(pos, per, pa.int64()), lists(bits.view(np.int64), size, pa.int64()), lists(node.view(np.int64).ravel(), np.full(len(has), BITMAP), pa.int64())],
                     ["doc_id", "n", "prefix", "places", "bits", "node"],
                 )
+        released()
 
     return docs.mapInArrow(scan, "doc_id long, n long, prefix array<long>" + (", places array<long>, bits array<long>, node array<long>" if wanted is not None else ""))
 
@@ -180,6 +183,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE, percent: int =
                 union = sizes[:m] + sizes[m:] - common
                 ok = pa.array((100 * common >= percent * union) & (union > 0))
                 yield pa.RecordBatch.from_arrays([a.slice(lo, m).filter(ok), b.slice(lo, m).filter(ok)], ["a", "b"])
+        released()
 
     left = join_checked(docs, stage(pairs.select(F.col("a").alias("doc_id")).distinct()), ["doc_id"], "left_semi")
     right = join_checked(docs, stage(pairs.select(F.col("b").alias("doc_id")).distinct()), ["doc_id"], "left_semi")

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .spark_tools import stage, table, text_batches
+from .text_kernels import released
 
 WIDTH, END = 4096, 1
 #: Distinct strings whose ids a Python worker keeps.
@@ -93,6 +94,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     part = data[i : i + step]
                     rows.append((key, i // step, i // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+        released()
 
     rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

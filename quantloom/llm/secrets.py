@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .spark_tools import table, text_batches
+from .text_kernels import released
 
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns. Letters of ASSIGN match in either case, of ASCII only.
@@ -77,6 +78,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "spans": [spans(x) if x else [] for x in batch["text"]]})
+        released()
 
     rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -6,6 +6,7 @@ slice of its own. Hashes are 64-bit: equal words have equal hashes; unequal ones
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def released() -> None:
+    """Give memory that a task has freed back to the machine; a worker that Spark keeps would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) of pieces of a string column; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
