@@ -6,10 +6,8 @@ Descriptors meet in Hamming tables: the bits are cut into four parts, and descri
 part are a match if they differ in at most `distance` bits. Matches vote for a scale ratio and a shift; images with at
 least `consensus` matches for one relation are copies. Images of equal bytes are one node.
 
-A value of a part that more than COMMON images have is refined by the next part, and where that is common too, by the
-whole descriptor; images with equal descriptors are compared with the smallest of them only, as equality carries over.
-So no group is expanded into all its pairs. Links that rest on very common parts alone may then be found through a
-third image only; components stay the same if the relations agree.
+A value of a part that many images have is cut into blocks, and each two blocks are compared by themselves, so a value
+may be as common as it likes: all images that agree in a part meet, and n_links counts all of them.
 
 Cases: null, empty and unreadable images have no corners and no copies; rows with equal images are one node, and a row
 without an id has no result of its own node but is returned; an empty table gives an empty result; other columns are
@@ -27,8 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .spark_tools import components, join_checked, stage, table, text_batches
 
-#: Corners kept for an image; levels of the pyramid; binary tests; images that make a part's value common.
-CORNERS, LEVELS, BITS, COMMON = 24, 3, 128, 32
+#: Corners kept for each AREA pixels of an image, and at least; levels of the pyramid; binary tests; descriptors in a
+#: block of a part's value.
+CORNERS, AREA, LEVELS, BITS, BLOCK = 24, 128 * 128, 3, 128, 256
 
 
 def read_pgm(data: bytes | None) -> np.ndarray | None:
@@ -63,6 +62,7 @@ PATTERN = _pattern()
 def descriptors(pixels: np.ndarray) -> list[dict]:
     """Corners with x, y and scale in the image's pixels and the bits as two longs, strongest first."""
     found = []
+    corners = max(CORNERS, CORNERS * pixels.size // AREA)
     level, scale = _blur(pixels.astype(np.float32)), 1.0
     for _ in range(LEVELS):
         h, w = level.shape
@@ -77,7 +77,7 @@ def descriptors(pixels: np.ndarray) -> list[dict]:
         ok = (response >= best) & (response > 1)
         ok[:9], ok[-9:], ok[:, :9], ok[:, -9:] = False, False, False, False
         y, x = np.nonzero(ok)
-        order = np.argsort(-response[y, x], kind="stable")[:CORNERS]
+        order = np.argsort(-response[y, x], kind="stable")[:corners]
         y, x = y[order], x[order]
         if len(y):
             smooth = _blur(_blur(level))
@@ -91,7 +91,7 @@ def descriptors(pixels: np.ndarray) -> list[dict]:
             found += [(float(response[b, a]), float(a * scale), float(b * scale), scale, z.tolist()) for a, b, z in zip(x, y, bits, strict=True)]
         level, scale = level[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2).mean((1, 3)), scale * 2
     found.sort(key=lambda f: -f[0])
-    return [{"x": x, "y": y, "scale": s, "lo": b[0], "hi": b[1]} for _, x, y, s, b in found[:CORNERS]]
+    return [{"x": x, "y": y, "scale": s, "lo": b[0], "hi": b[1]} for _, x, y, s, b in found[:corners]]
 
 
 POINTS = "array<struct<x:double,y:double,scale:double,lo:bigint,hi:bigint>>"
@@ -110,17 +110,34 @@ def describe(images: DataFrame, image: str = "image") -> DataFrame:
     return images.mapInPandas(run, f"{kinds}, found {POINTS}")
 
 
-def _part(i: int) -> Column:
+def _part(i: int, lo: str = "lo", hi: str = "hi") -> Column:
     """Thirty-two bits of a descriptor."""
-    return F.shiftrightunsigned("lo" if i < 2 else "hi", 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-
-
-def _shared(probes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Probes whose key several images have, and those whose key is common; counts are combined before the shuffle."""
-    seen = probes.groupBy(*keys).agg(F.min("node").alias("n0"), F.max("node").alias("n1"), F.count("*").alias("m")).where("n0 < n1")
-    seen = stage(seen.select(*keys, F.col("n0").alias("hub"), (F.col("m") > COMMON).alias("hot")))
-    both = stage(join_checked(probes, seen, keys, "inner"))
-    return both.where("not hot").drop("hub", "hot"), both.where("hot")
+    return F.shiftrightunsigned(lo if i < 2 else hi, 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def meet(points: DataFrame, distance: int) -> DataFrame:
+    """(a, ia, p, b, q) for each two descriptors of images a < b that agree in a part and differ in at most distance
+    bits; p and q are their places. points: (node, i, lo, hi, x, y, scale)."""
+    parts = F.array(*[F.struct(F.lit(p).alias("p"), _part(p).alias("v")) for p in range(4)])
+    probes = stage(points.withColumn("k", F.explode(parts)).select("k.*", "node", "i", "lo", "hi", F.struct("x", "y", "scale").alias("at")))
+    # counts are combined before the shuffle; a value that one image has is done
+    sizes = probes.groupBy("p", "v").agg(F.min("node").alias("n0"), F.max("node").alias("n1"), F.count("*").alias("m")).where("n0 < n1")
+    sizes = stage(sizes.select("p", "v", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    placed = stage(join_checked(probes, sizes, ["p", "v"], "inner").withColumn("block", F.pmod(F.xxhash64("node", "i"), "blocks").cast("int")))
+    # a descriptor goes to each pair of blocks (g, h), g <= h, that has its own
+    own = F.struct("node", "i", "lo", "hi", "at")
+    left = placed.select("p", "v", F.col("block").alias("g"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("h"), own.alias("l"))
+    right = placed.select("p", "v", F.explode(F.sequence(F.lit(0), "block")).alias("g"), F.col("block").alias("h"), own.alias("r"))
+    both = left.hint("merge").join(right, ["p", "v", "g", "h"]).where("l.node < r.node or g < h and l.node > r.node")
+    both = both.withColumn("xl", F.col("l.lo").bitwiseXOR(F.col("r.lo"))).withColumn("xh", F.col("l.hi").bitwiseXOR(F.col("r.hi")))
+    # two descriptors that agree in several parts meet by the first of them
+    first = F.lit(True)
+    for p in range(3):
+        first &= (F.col("p") <= p) | (_part(p, "xl", "xh") != 0)
+    both = both.where((F.bit_count("xl") + F.bit_count("xh") <= distance) & first)
+    swap = F.col("l.node") > F.col("r.node")
+    both = both.select(F.when(swap, F.col("r")).otherwise(F.col("l")).alias("l"), F.when(swap, F.col("l")).otherwise(F.col("r")).alias("r"))
+    return both.select(F.col("l.node").alias("a"), F.col("l.i").alias("ia"), F.col("l.at").alias("p"), F.col("r.node").alias("b"), F.col("r.at").alias("q"))
 
 
 def image_copies(images: DataFrame, id_col: str, image: str = "image", distance: int = 24, consensus: int = 4) -> DataFrame:
@@ -130,28 +147,10 @@ def image_copies(images: DataFrame, id_col: str, image: str = "image", distance:
     rows = stage(keyed.select(F.col("node").alias("id"), "digest"))
     first = stage(rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node")))
     seen = stage(describe(join_checked(keyed, first, ["node", "digest"], "left_semi")).dropDuplicates(["node", "digest"]))
-    points = seen.select("node", F.posexplode("found").alias("i", "d")).select("node", "i", "d.lo", "d.hi")
-    parts = F.array(*[F.struct(F.lit(p).alias("p"), _part(p).alias("v"), _part((p + 1) % 4).alias("v2")) for p in range(4)])
-    probes = stage(points.withColumn("q", F.explode(parts)).select("node", "i", "lo", "hi", "q.*"))
-    few, hot = _shared(probes, ["p", "v"])
-    few2, hot2 = _shared(hot.drop("hub", "hot"), ["p", "v", "v2"])
-    whole = hot2.drop("hub", "hot").select("node", "i", "lo", "hi").distinct()
-
-    def met(df: DataFrame, keys: list[str]) -> DataFrame:
-        a = df.select(*keys, F.col("node").alias("a"), F.col("i").alias("ia"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-        b = df.select(*keys, F.col("node").alias("b"), F.col("i").alias("ib"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-        bits = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) + F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-        return a.hint("merge").join(b, keys).where((F.col("a") < F.col("b")) & (bits <= distance)).select("a", "ia", "b", "ib")
-
-    hubs = whole.groupBy("lo", "hi").agg(F.min(F.struct("node", "i")).alias("h"))
-    stars = whole.hint("merge").join(hubs, ["lo", "hi"]).where("node <> h.node").select(F.col("h.node").alias("a"), F.col("h.i").alias("ia"), F.col("node").alias("b"), F.col("i").alias("ib"))
-    matches = stage(met(few, ["p", "v"]).union(met(few2, ["p", "v", "v2"])).union(stars).distinct())
-
-    # geometric consensus: votes for scale and shift in cells of two overlapping grids
-    groups = matches.groupBy("a", "b").agg(F.collect_list(F.struct("ia", "ib")).alias("m")).where(F.size("m") >= consensus)  # at most CORNERS^2 a pair
-    side = lambda c: seen.select(F.col("node").alias(c), F.col("found").alias(f"f{c}"))
-    pairs = groups.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
-    one = pairs.select("a", "b", F.explode("m").alias("m"), "fa", "fb").select("a", "b", "m.ia", F.get("fa", F.col("m.ia")).alias("p"), F.get("fb", F.col("m.ib")).alias("q"))
+    points = seen.select("node", F.posexplode("found").alias("i", "d")).select("node", "i", "d.lo", "d.hi", "d.x", "d.y", "d.scale")
+
+    # geometric consensus: votes for scale and shift in cells of two overlapping grids; a pair's votes stay in one place
+    one = meet(points, distance).repartition("a", "b")
     ratio = F.col("p.scale") / F.col("q.scale")
     shift = lambda c, o: F.floor((F.col(f"p.{c}") - ratio * F.col(f"q.{c}") + o) / 12).cast("int")
     cells = F.array(*[F.struct(F.lit(o).alias("o"), shift("x", o).alias("dx"), shift("y", o).alias("dy")) for o in (0, 6)])

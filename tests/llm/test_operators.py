@@ -398,6 +398,58 @@ def test_media(spark):
     assert all(out[i].n_corners == 0 and out[i].n_links == 0 and out[i].component_id == i for i in (9000, 9001, 9002, 9003))
 
 
+def brute_links(found, distance=24, consensus=4):
+    """Pairs of images with consensus, by all pairs of descriptors."""
+    links = set()
+    for a in found:
+        for b in found:
+            votes = defaultdict(set)
+            for ia, p in enumerate(found[a] if a < b else []):
+                for q in found[b]:
+                    xor = [(p[k] ^ q[k]) & (1 << 64) - 1 for k in ("lo", "hi")]
+                    agree = any(x >> s & 0xFFFFFFFF == 0 for x in xor for s in (0, 32))
+                    if agree and sum(x.bit_count() for x in xor) <= distance:
+                        ratio = p["scale"] / q["scale"]
+                        for o in (0, 6):
+                            votes[ratio, o, (p["x"] - ratio * q["x"] + o) // 12, (p["y"] - ratio * q["y"] + o) // 12].add(ia)
+            if any(len(v) >= consensus for v in votes.values()):
+                links.add((a, b))
+    return links
+
+
+def noisy_scene(n):
+    """n versions of one scene with noise, all different."""
+    rng = np.random.default_rng(31)
+    base = rng.standard_normal((104, 104)).astype(np.float32)
+    for _ in range(4):
+        base = media_copies._blur(base)
+    base = 128 + 45 * base / base.std()
+    return [np.clip(base + rng.normal(0, 1.5, base.shape), 0, 255).astype(np.uint8) for _ in range(n)]
+
+
+def test_large_groups_of_noisy_copies_keep_all_links(spark, monkeypatch):
+    scenes = noisy_scene(60)
+    links = brute_links({i: media_copies.descriptors(x) for i, x in enumerate(scenes)})
+    want = Counter(i for pair in links for i in pair)
+    assert len(links) > 1000
+    images = spark.createDataFrame([(i, bytearray(media_copies.write_pgm(x))) for i, x in enumerate(scenes)], "vec_id long, image binary")
+    for block in (256, 16):
+        monkeypatch.setattr(media_copies, "BLOCK", block, raising=False)
+        assert {r.vec_id: r.n_links for r in media_copies.image_copies(images, "vec_id").collect()} == {i: want[i] for i in range(60)}
+
+
+def test_an_edited_descriptor_meets_all_of_a_common_one(spark):
+    rows = [(i, 0, 5, 7, 0.0, 0.0, 1.0) for i in range(100)] + [(100, 0, 5, 7 | 3 << 20, 0.0, 0.0, 1.0)]
+    met = media_copies.meet(spark.createDataFrame(rows, "node long, i int, lo long, hi long, x double, y double, scale double"), 24)
+    assert Counter((r.a, r.b) for r in met.collect()) == Counter((a, b) for b in range(101) for a in range(b))
+
+
+def test_larger_images_have_more_corners():
+    rng = np.random.default_rng(32)
+    large = rng.integers(0, 256, (512, 512)).astype(np.uint8)
+    assert len(media_copies.descriptors(large)) == 16 * media_copies.CORNERS and len(media_copies.descriptors(large[:104, :104])) == media_copies.CORNERS
+
+
 # --- 10 toxicity -----------------------------------------------------------------------------------------------
 
 
