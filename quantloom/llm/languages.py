@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .spark_tools import join_checked, stage, table, text_batches
 from .text_kernels import LOWER, lists, released, slices
 from .url_filters import host_of, path_of
 
-#: Bounds of the training sample: rows, and languages (the most frequent ones of the sample).
+#: Bounds of the training sample: rows, and languages (those with the most different texts).
 FIT_ROWS, LANGUAGES = 4_000, 64
 GRAMS = 1 << 15
 LANG_ATTRIBUTE = r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b"""
@@ -44,11 +44,14 @@ def _grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _train(rows: DataFrame, fit_rows: int) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities of the grams, from at most fit_rows rows (declared, text)."""
+    """Languages and log-probabilities of the grams, from at most fit_rows different texts of rows (declared, text)."""
     labelled = rows.where("declared is not null and text is not null and text <> ''")
     keyed = labelled.select("declared", "text", F.xxhash64("text").alias("h"))
-    # the rows are chosen by hash, and only the chosen texts move; copies count once
-    chosen = stage(keyed.select("declared", "h").orderBy("h", "declared").limit(fit_rows).distinct())
+    # copies count once; each language has an equal share of the rows, chosen by hash, and only the chosen texts move
+    texts = stage(keyed.groupBy("declared", "h").agg(F.lit(1).alias("one")).drop("one"))
+    top = [r["declared"] for r in texts.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()]
+    at = F.row_number().over(Window.partitionBy("declared").orderBy("h"))
+    chosen = stage(texts.where(F.col("declared").isin(top)).withColumn("at", at).where(F.col("at") <= max(1, fit_rows // max(1, len(top)))).drop("at"))
     sample = stage(keyed.join(F.broadcast(chosen), ["declared", "h"], "left_semi").dropDuplicates(["declared", "h"]).select("declared", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,9 +63,8 @@ def _train(rows: DataFrame, fit_rows: int) -> tuple[list[str], np.ndarray]:
                 key, n = np.unique(lang[text].astype(np.int64) * GRAMS + code, return_counts=True)
                 yield pa.RecordBatch.from_arrays([of.dictionary.take(pa.array(key // GRAMS)), pa.array(key % GRAMS), pa.array(n)], ["lang", "gram", "n"])
 
-    top = [r["declared"] for r in sample.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()]
     # at most LANGUAGES x GRAMS rows
-    counts = sample.where(F.col("declared").isin(top)).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(top)
     table_ = np.full((len(names), GRAMS), 0.5)
     for i, name in enumerate(names):

@@ -213,6 +213,18 @@ def test_address_and_host_decide_short_texts(spark):
     assert out[99].language == "de"
 
 
+def test_copies_and_common_languages_leave_room_in_the_training_sample(spark):
+    rng = random.Random(33)
+    make = lambda s: " ".join(rng.choice(s.split()) for _ in range(40))
+    rows = [(i, EN * 3, "en", "h") for i in range(300)] + [(300 + i, make(EN), "en", "h") for i in range(200)]
+    rows += [(500 + i, make(t), l, "h") for i in range(6) for t, l in [((DE, "de"), (FR, "fr"))[i % 2]]]
+    rows += [(600, make(DE), None, "h"), (601, make(FR), None, "h")]
+    df = spark_tools.stage(docs(spark, rows))
+    for fit_rows in (12, 30):
+        out = {r.doc_id: r for r in languages.identify(df, declared=F.col("lang"), host=F.col("source"), fit_rows=fit_rows).collect()}
+        assert all(out[i].language == rows[i][2] for i in range(506)) and out[600].text_language == "de" and out[601].text_language == "fr"
+
+
 # --- 5 licenses ------------------------------------------------------------------------------------------------
 
 
