@@ -1,14 +1,16 @@
 """Language ID by Bayesian evidence fusion: text, declared language, address suffix and smoothed host priors.
 
 Text: naive Bayes over hashed byte 4-grams, trained on a bounded sample of rows that declare a language; the mean
-log-likelihood counts for at most `evidence` grams, since neighbouring grams are not independent. Declared language
+log-likelihood counts for at most `evidence` grams, since neighbouring grams are not independent. One more hypothesis is
+an unknown language, all of whose grams are equally likely: it is better than a trained language for random letters,
+code and untrained languages, whose grams that language hardly has. Declared language
 (a column, or the lang attribute of the markup) and address suffix (a path's first folder, a host's last label) are
 observations that are right with a given reliability. Host priors come from grouped aggregation: each row adds its
 posterior from the other evidence to its host and to its host's domain; a row's prior is its host's counts without
 its own, smoothed by the domain's, smoothed by the whole table's.
 
 Cases: a null or empty text, and one without letters, has flat text evidence and is rejected, as is a row whose best
-language is less probable than `least` or not among the accepted ones; null declared values, URLs and hosts are no
+hypothesis is the unknown language (its language is null), or whose best language is less probable than `least` or not among the accepted ones; null declared values, URLs and hosts are no
 evidence (rows without a host share the table's prior); identical rows get identical results; an empty table gives
 an empty result, and one without any declared language rejects all; extra columns stay as they are.
 """
@@ -28,6 +30,8 @@ from .url_filters import host_of, path_of
 #: Bounds of the training sample: rows, and languages (those with the most different texts).
 FIT_ROWS, LANGUAGES = 4_000, 64
 GRAMS = 1 << 15
+#: Share of all languages' grams in each language's, so that unseen grams weigh alike whatever its training mass.
+BACKGROUND = 0.02
 LANG_ATTRIBUTE = r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b"""
 
 
@@ -44,7 +48,8 @@ def _grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _train(rows: DataFrame, fit_rows: int) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities of the grams, from at most fit_rows different texts of rows (declared, text)."""
+    """Languages and log-probabilities of the grams, from at most fit_rows different texts of rows (declared, text); the
+    last row of the probabilities is the unknown language's."""
     labelled = rows.where("declared is not null and text is not null and text <> ''")
     keyed = labelled.select("declared", "text", F.xxhash64("text").alias("h"))
     # copies count once; each language has an equal share of the rows, chosen by hash, and only the chosen texts move
@@ -66,11 +71,14 @@ def _train(rows: DataFrame, fit_rows: int) -> tuple[list[str], np.ndarray]:
     # at most LANGUAGES x GRAMS rows
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(top)
-    table_ = np.full((len(names), GRAMS), 0.5)
+    table_ = np.zeros((len(names), GRAMS))
     for i, name in enumerate(names):
         own = counts[counts["lang"] == name]
-        table_[i, own["gram"].to_numpy(int)] += own["n"].to_numpy(float)
-    return names, np.log(table_ / table_.sum(1, keepdims=True)).astype(np.float32)
+        table_[i, own["gram"].to_numpy(int)] = own["n"].to_numpy(float)
+    table_ /= np.maximum(1, table_.sum(1, keepdims=True))
+    pooled = 0.5 * table_.mean(0) + 0.5 / GRAMS if names else np.zeros(GRAMS)
+    known = (1 - BACKGROUND) * table_ + BACKGROUND * pooled
+    return names, np.log(np.r_[known, np.full((1, GRAMS), 1 / GRAMS)]).astype(np.float32)
 
 
 def _domain(host: Column) -> Column:
@@ -91,7 +99,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
     rows = text_batches(docs).select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), F.lower(F.substring(F.trim(declared), 1, 2)).alias("declared"), url.alias("url"), host.alias("host"), F.col(text).alias("text"))
     rows = rows.withColumn("declared", F.when(F.col("declared") != "", F.col("declared")))
     names, table_ = _train(rows.select("declared", "text"), fit_rows)
-    size = max(1, len(names))
+    size = len(names) + 1  # the last one is the unknown language
     model = spark.sparkContext.broadcast(table_)
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +163,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
     confidence = F.array_max("final")
     language = name(best(F.col("final")))
     allowed = F.lit(True) if accepted is None else language.isin(accepted)
-    ok = (F.col("letters") > 0) & (confidence >= least) & allowed & F.lit(bool(names))
+    ok = (F.col("letters") > 0) & (confidence >= least) & allowed & language.isNotNull()
     return joined.select(*[F.col("text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns], F.when(F.col("letters") > 0, name(best(F.col("likelihood")))).alias("text_language"), language.alias("language"), confidence.alias("confidence"), F.coalesce(ok, F.lit(False)).alias("accepted"))
 
 

@@ -225,6 +225,19 @@ def test_copies_and_common_languages_leave_room_in_the_training_sample(spark):
         assert all(out[i].language == rows[i][2] for i in range(506)) and out[600].text_language == "de" and out[601].text_language == "fr"
 
 
+def test_gibberish_and_untrained_languages_are_rejected(spark):
+    rng = random.Random(34)
+    make = lambda s: " ".join(rng.choice(s.split()) for _ in range(40))
+    rows = [(i, make(t), l, "h") for i in range(60) for t, l in [((EN, "en"), (DE, "de"), (FR, "fr"))[i % 3]]]
+    gibberish = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(300))
+    code = "for (int i = 0; i < n; ++i) { buf[i] ^= key[i % len]; if (!fn(ptr->next)) return -EINVAL; }"
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki"
+    rows += [(100 + i, t, None, "h") for i, t in enumerate((gibberish, code, finnish))]
+    out = {r.doc_id: r for r in languages.identify_documents(spark_tools.stage(docs(spark, rows))).collect()}
+    assert all(out[i].accepted and out[i].language == rows[i][2] for i in range(60))
+    assert not any(out[i].accepted or out[i].language for i in range(100, 103))
+
+
 # --- 5 licenses ------------------------------------------------------------------------------------------------
 
 
