@@ -2,7 +2,10 @@
 
 A random string compresses badly under a byte-pair vocabulary that was fitted to prose and code: it takes a token
 for every one to two characters. A candidate run whose characters per token fall below a threshold is a finding,
-unless it is a known digest (hex of a digest's length), a UUID, a number or another plain identifier.
+unless it is a known digest (hex of a digest's length), a UUID or a number. Runs of letters are judged by the humps of
+their camel case in lower case, so that names stay and random letters don't. Where a whole run is none, its parts
+between / and =, its neighbouring parts between / _ - = that are no words, and those parts by themselves are judged, so
+a path or a name before a key doesn't hide it.
 
 Cases: null and empty text have no spans; repeated rows are judged alike, each by itself; an empty table gives an
 empty result; other columns of the input are ignored. The job is one pass without a shuffle.
@@ -10,6 +13,7 @@ empty result; other columns of the input are ignored. The job is one pass withou
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -26,7 +30,11 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # maximal runs of 32 characters and more
 # What a low token efficiency does not count for.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
-IDENTIFIER = r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_.=/+-]+|[A-Za-z]+([-_/][A-Za-z]+)*[-_/=]*|(.)\3*"
+UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+IDENTIFIER = rf"{UUID}|[0-9_.=/+-]+|(.)\1*"
+LETTERS = r"[A-Za-z]+([-_/=]+[A-Za-z]+)*[-_/=]*"
+HUMP = r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+"
+
 
 SCHEMA = "spans array<struct<kind:string,start:int,end:int,text:string>>"
 
@@ -59,12 +67,52 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         candidate, plain = re.compile(rf"[A-Za-z0-9+/_=-]{{{min_chars},}}"), re.compile(IDENTIFIER)
         encoding = _encoding(vocabulary)
 
+        letters, hump, part = re.compile(LETTERS), re.compile(HUMP), re.compile("[^-/_=]+")
+
+        def size(s: str) -> int:
+            # a long run is judged piece by piece, so that the encoder's cost stays linear in its length
+            return sum(len(encoding.encode_ordinary(s[i : i + 1000])) for i in range(0, len(s), 1000))
+
+        def known(s: str) -> bool:
+            return bool(plain.fullmatch(s) or len(s) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s))
+
         def random(s: str) -> bool:
-            if plain.fullmatch(s) or len(s) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
+            if known(s):
                 return False
-            # a long run is judged piece by piece, so that the encoder's cost stays linear in its length
-            tokens = sum(len(encoding.encode_ordinary(s[i : i + 1000])) for i in range(0, len(s), 1000))
-            return len(s) < max_ratio * tokens
+            if not letters.fullmatch(s):
+                return len(s) < max_ratio * size(s)
+            # letters in several parts are judged by part, unless their case changes as in no name
+            if part.fullmatch(s) or len(re.findall("[a-z][A-Z]", s)) >= 2:
+                humps = hump.findall(s)
+                return sum(map(len, humps)) < max_ratio * sum(size(h.lower()) for h in humps)
+            return False
+
+        def word(s: str) -> bool:
+            return len(s) > 2 and known(s) or s.isdigit() or len(s) > 2 and s.isalpha() and not random(s)
+
+        def judged(run: str, at: int) -> list[tuple[int, int]]:
+            """The places of what is random: the run, else what is in its parts."""
+            if random(run):
+                return [(at, at + len(run))]
+            found: list[tuple[int, int]] = []  # disjoint, by start
+            parts = [m.span() for m in part.finditer(run)]
+            groups: list[tuple[int, int]] = []
+            joins = False
+            uuids = {i for m in re.finditer(rf"(?<![^-/_=]){UUID}(?![^-/_=])", run) for i in range(*m.span())}
+            for a, b in parts if len(parts) > 1 else []:
+                if a in uuids or word(run[a:b]):
+                    joins = False
+                    continue
+                if joins:
+                    groups[-1] = groups[-1][0], b
+                else:
+                    groups.append((a, b))
+                joins = True
+            for a, b in [*(m.span() for m in re.finditer("[^/=]+", run)), *groups, *parts]:
+                i = bisect.bisect_left(found, (b, 0))
+                if min_chars <= b - a < len(run) and not (i and found[i - 1][1] > a) and random(run[a:b]):
+                    found.insert(i, (a, b))
+            return [(at + a, at + b) for a, b in found]
 
         def spans(text: str) -> list[tuple]:
             found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if m.end(2) - m.start(2) >= 8]
@@ -72,8 +120,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found += [(m.start(), 2, m.end()) for m in hexes.finditer(text)]
             base = found[:]
             for m in candidate.finditer(text):
-                if not any(a <= m.start() and m.end() <= b for a, _, b in base) and random(m[0]):
-                    found.append((m.start(), 3, m.end()))
+                if not any(a <= m.start() and m.end() <= b for a, _, b in base):
+                    found += [(a, 3, b) for a, b in judged(m[0], m.start()) if not any(x <= a and b <= y for x, _, y in base)]
             return [(KINDS[k], a, b, text[a:b]) for a, k, b in sorted(found)]
 
         for batch in batches:

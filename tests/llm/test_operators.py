@@ -88,6 +88,16 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0
 
 
+def test_letter_keys_and_keys_behind_names(spark):
+    keys = ["qZkXvBwTmPjRhLcYgNdF", "wqzkxvjpmhtrbdgcfnlykqxzvw", "a8Kq2_Zx9-Lm4Tb7Wc1Vd5Rf3Ys6"]
+    rows = [(i, f"see {p}{k} here") for i, (p, k) in enumerate((p, k) for k in keys for p in ("", "/download/files/annual-report/", "name_of_the_report="))]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs(spark, rows)).collect()}
+    assert all([s.kind for s in got[i]] == ["random"] and keys[i // 3] in got[i][0].text for i in got)
+    plain = "getElementByIdAndClassName internationalization MAX_CONNECTIONS_PER_HOST /usr/local/share/python/site-packages Donaudampfschifffahrtsgesellschaft a-b-c-d-e-f-g-h-i-j-k-l /usr/local/share/python/site-packages/internationalization/documentation/specification/123e4567-e89b-12d3-a456-426614174000/annual-report"
+    assert secrets.find_secrets(docs(spark, [(1, plain)])).first().spans == []
+    assert not any(k in secrets.redact(docs(spark, [(1, t)])).first().text for (_, t), k in zip(rows[1::3], keys))
+
+
 def test_redaction(spark):
     out = {r.doc_id: r for r in secrets.redact(docs(spark, [(1, CASES[0]), (2, None), (3, "clean text"), (4, CASES[2])])).collect()}
     assert out[1].text == "[SECRET] x" or out[1].text.startswith("[SECRET]") and "hunter2" not in out[1].text
