@@ -1,10 +1,11 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes, with weighted votes.
+"""Toxicity: nearest labelled examples by TF-IDF cosine over chosen words, with block-max indexes and weighted votes.
 
 Terms are words whose presence depends on the label (chi-squared, on a bounded sample of the labelled rows that may
-be learned from); their inverse document frequencies count all documents. The examples are the sample's distinct
+be learned from), at most TERMS of them: all other words are left out, so a toxic text without any of them is missed
+(README: measured recall). Their inverse document frequencies count all documents. The examples are the sample's distinct
 TF-IDF vectors with the number of rows and of toxic rows. They are sorted, cut into blocks, and posted by term and
 block with each block's greatest weight. A search visits blocks by falling upper bound (the sum of greatest weights)
-and stops when no block can hold one of the `k` nearest; so the cosines are exact. Neighbours vote by rows, with
+and stops when no block can hold one of the `k` nearest; so the cosines are exact over these words. Neighbours vote by rows, with
 weights that fall with the distance; the prior of all examples is added as a few more votes, which calibrates thin
 evidence. A text without any term has the share of toxic rows among such examples.
 
