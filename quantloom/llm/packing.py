@@ -14,6 +14,9 @@ gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import json
 import re
 import zlib
 from bisect import bisect_left
@@ -21,53 +24,92 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .spark_tools import stage, table, text_batches
 from .text_kernels import released
 
 WIDTH, END = 4096, 1
-#: Distinct strings whose ids a Python worker keeps.
-CACHE = 120_000
+#: Strings whose ids a Python worker keeps from the last texts, and from those before; characters that are looked up together.
+CACHE, AT_ONCE = 60_000, 1 << 20
 #: Latin words, maybe with ASCII punctuation behind: they are one or two pre-tokens, and no normalization but lower case applies.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@\\[-`{-~]*")
+_BORDER = re.compile("([a-zß-öø-ÿ])([!-&(-/:-@\\[-`{-~])")
+_END = "</w>"
 
 
-class Ids(dict):
-    """The ids, as little-endian 32-bit numbers, of strings without a blank in them; filled when asked for."""
+@functools.cache
+def word_ranks(path: str) -> tuple[dict[bytes, int], np.ndarray]:
+    """The vocabulary at path as ranked byte strings, and the id of each rank.
 
-    def __init__(self, path: str) -> None:
+    A blank behind a word stands for its end and is joined to its last byte first. Joining by a token's rank is joining
+    by the vocabulary's pairs if each token comes out of its own letters: the parts that cover its place in a longer
+    word are then those of its pair. Tokens that don't are never made by the pairs, and are left out.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocabulary = model["vocab"]
+    # the byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in keep)}
+    ranks = {bytes([b]): b for b in range(256)}
+    ids = np.zeros(len(ranks) + len(byte) + len(model["merges"]), "<u4")
+    for letter, b in byte.items():
+        ids[b] = vocabulary[letter]
+        if b not in b" \n":
+            ids[len(ranks)] = vocabulary[letter + _END]
+            ranks[bytes([b]) + b" "] = len(ranks)
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    order = {p: i for i, p in enumerate(pairs)}
+    for pair in pairs:
+        token = "".join(pair)
+        letters = list(token.removesuffix(_END))
+        parts = [*letters[:-1], letters[-1] + _END * token.endswith(_END)]
+        while len(parts) > 1:
+            at = min(range(len(parts) - 1), key=lambda i: order.get((parts[i], parts[i + 1]), len(pairs)))
+            if (parts[at], parts[at + 1]) not in order:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        data = bytes(byte[c] for c in letters) + b" " * token.endswith(_END)
+        if len(parts) == 1 and data not in ranks:
+            ids[len(ranks)] = vocabulary[token]
+            ranks[data] = len(ranks)
+    return ranks, ids
+
+
+class Ids:
+    """The ids, as little-endian 32-bit numbers, of strings without a blank in them."""
+
+    def __init__(self, path: str, ranks: dict[bytes, int], ids: np.ndarray) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {"": b""}
-        # the byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
-        keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in keep]
-        self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-    def pretoken(self, word: str) -> bytes:
-        if (out := self.words.get(word)) is None:
-            letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            out = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-            if len(self.words) >= CACHE:
-                self.words = {"": b""}
-            if len(word) < 64:
-                self.words[word] = out
-        return out
-
-    def __missing__(self, chunk: str) -> bytes:
-        if m := _PLAIN.fullmatch(chunk):
-            out = self.pretoken(m[1].lower()) + self.pretoken(m[2])
-        else:
-            out = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(chunk) < 64:
-            self[chunk] = out
-        return out
+        self.tokenizer, self.ids = Tokenizer.from_file(path), ids
+        self.words = tiktoken.Encoding("words", pat_str="[^ \n]+ |\n", mergeable_ranks=ranks, special_tokens={})
+        self.recent: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, strings: set[str]) -> dict[str, bytes]:
+        """A dictionary that has all of the strings; those that were not asked for lately are forgotten."""
+        if len(self.recent) > CACHE:
+            self.older, self.recent = self.recent, {"": b""}
+        new = strings - self.recent.keys()
+        known = new & self.older.keys()
+        self.recent.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        new -= known
+        plain = list(filter(_PLAIN.fullmatch, new))
+        if plain:
+            # a line break ends each string, a blank each of its pre-tokens
+            text = _BORDER.sub(r"\1 \2", " \n".join(plain).lower() + " \n")
+            found = np.array(self.words.encode_ordinary(text), np.int64)
+            ends = np.flatnonzero(found == 10)
+            data = self.ids[found].tobytes()
+            starts, ends = np.r_[0, 4 * ends[:-1] + 4].tolist(), (4 * ends).tolist()
+            self.recent.update(zip(plain, map(data.__getitem__, map(slice, starts, ends)), strict=True))
+        self.recent.update((s, np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()) for s in new.difference(plain))
+        return self.recent
 
 
 _LOADED: dict[str, Ids] = {}
@@ -77,28 +119,41 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, piece, start, length, ids_crc32): each document's ids and the end token, cut every `width` tokens.
 
     White space only separates tokens under this vocabulary, so the ids of a text are those of its parts between
-    blanks, and equal parts are encoded once.
+    blanks, and equal parts are encoded once. The id column may have any type.
     """
+    import public_tokenizers
+
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(public_tokenizers.path(vocabulary)))
+    names = ["id", "piece", "start", "length", "ids_crc32"]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         if vocabulary not in _LOADED:
-            _LOADED[vocabulary] = Ids(public_tokenizers.path(vocabulary))
+            _LOADED[vocabulary] = Ids(public_tokenizers.path(vocabulary), *ranks.value)
         ids, tail, step = _LOADED[vocabulary], np.array([end], "<u4").tobytes(), 4 * width
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["id"], batch["text"], strict=True):
-                data = b"".join(map(ids.__getitem__, text.replace("\n", " ").split(" "))) + tail if text else tail
-                for i in range(0, len(data), step):
-                    part = data[i : i + step]
-                    rows.append((key, i // step, i // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+            texts = batch.column(1)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(sizes, AT_ONCE + (sizes[lo - 1] if lo else 0), "right")))
+                parts = [(x or "").replace("\n", " ").split(" ") for x in texts.slice(lo, hi - lo).to_pylist()]
+                known = ids.learn(set().union(*parts))
+                rows = []
+                for at, words in enumerate(parts, lo):
+                    data = b"".join(map(known.__getitem__, words)) + tail
+                    for i in range(0, len(data), step):
+                        part = data[i : i + step]
+                        rows.append((at, i // step, i // 4, len(part) // 4, zlib.crc32(part)))
+                at, *columns = map(list, zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *[pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]], names)
+                lo = hi
         released()
 
-    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([rows.schema["id"], *(T.StructField(n, T.IntegerType() if n == "piece" else T.LongType()) for n in names[1:])])
+    return rows.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
 
 
 def patterns(classes: int, most: int = 4, coarse: int = 8) -> list[tuple[int, ...]]:
@@ -251,18 +306,19 @@ def pack(pieces: DataFrame, order: list[str], length_col: str = "length", width:
             rank += n
     plan = spark.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in (keys, first, base, place)))
 
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first, base, place = plan.value
         lows = np.searchsorted(keys, np.arange(width + 2))
         for batch in batches:
-            k, rank = batch[length_col].to_numpy(), batch["_rank"].to_numpy()
-            at = np.empty(len(batch), np.int64)
+            k, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (length_col, "_rank"))
+            at = np.empty(batch.num_rows, np.int64)
             by = np.argsort(k, kind="stable")
-            edges = np.flatnonzero(np.r_[True, np.diff(k[by]) != 0, True])
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            edges = np.flatnonzero(np.r_[True, np.diff(k[by]) != 0, True]) if len(k) else []
+            for lo, hi in itertools.pairwise(edges):
                 a, b = lows[k[by[lo]]], lows[k[by[lo]] + 1]
                 at[by[lo:hi]] = a + np.searchsorted(first[a:b], rank[by[lo:hi]], "right") - 1
-            yield batch.drop(columns="_rank").assign(sequence_id=base[at] + rank - first[at], offset=place[at])
+            kept = [i for i, n in enumerate(batch.schema.names) if n != "_rank"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(base[at] + rank - first[at]), pa.array(place[at])], [*[batch.schema.names[i] for i in kept], "sequence_id", "offset"])
 
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order, F.lit("salt")), F.lit(salts)))
     sums = salted.groupBy(length_col, "_salt").agg(F.count("*").alias("_n"))
@@ -271,8 +327,8 @@ def pack(pieces: DataFrame, order: list[str], length_col: str = "length", width:
     inside = Window.partitionBy(length_col, "_salt").orderBy(*order)
     ranked = salted.withColumn("_row", F.row_number().over(inside)).join(starts, [length_col, "_salt"])
     ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(places, schema)
+    schema = T.StructType([*pieces.schema, *(T.StructField(n, T.LongType()) for n in ("sequence_id", "offset"))])
+    return ranked.mapInArrow(places, schema)
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
