@@ -14,11 +14,13 @@ empty result; other columns of the input are ignored. The job is one pass withou
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .spark_tools import table, text_batches
 from .text_kernels import released
@@ -37,6 +39,7 @@ HUMP = r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+"
 
 
 SCHEMA = "spans array<struct<kind:string,start:int,end:int,text:string>>"
+SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
 
 
 def _encoding(path: str):
@@ -62,7 +65,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     min_chars: least length of a candidate for the token test; max_ratio: most characters per token of a finding.
     """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         assign, access, hexes = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX)
         candidate, plain = re.compile(rf"[A-Za-z0-9+/_=-]{{{min_chars},}}"), re.compile(IDENTIFIER)
         encoding = _encoding(vocabulary)
@@ -70,8 +73,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         letters, hump, part = re.compile(LETTERS), re.compile(HUMP), re.compile("[^-/_=]+")
 
         def size(s: str) -> int:
-            # a long run is judged piece by piece, so that the encoder's cost stays linear in its length
-            return sum(len(encoding.encode_ordinary(s[i : i + 1000])) for i in range(0, len(s), 1000))
+            return len(encoding.encode_ordinary(s))
 
         def known(s: str) -> bool:
             return bool(plain.fullmatch(s) or len(s) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s))
@@ -118,19 +120,30 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if m.end(2) - m.start(2) >= 8]
             found += [(m.start(), 1, m.end()) for m in access.finditer(text) if m.end() - m.start() >= 16]
             found += [(m.start(), 2, m.end()) for m in hexes.finditer(text)]
-            base = found[:]
-            for m in candidate.finditer(text):
-                if not any(a <= m.start() and m.end() <= b for a, _, b in base):
-                    found += [(a, 3, b) for a, b in judged(m[0], m.start()) if not any(x <= a and b <= y for x, _, y in base)]
-            return [(KINDS[k], a, b, text[a:b]) for a, k, b in sorted(found)]
+            found.sort()
+            # a place is inside a base span if one that starts at or before it reaches its end
+            starts, reach = [a for a, _, _ in found], list(itertools.accumulate((b for _, _, b in found), max))
+
+            def based(a: int, b: int) -> bool:
+                i = bisect.bisect_right(starts, a)
+                return i > 0 and reach[i - 1] >= b
+
+            more = [(a, 3, b) for m in candidate.finditer(text) if not based(*m.span()) for a, b in judged(m[0], m.start()) if not based(a, b)]
+            return [(KINDS[k], a, b, text[a:b]) for a, k, b in sorted(found + more)]
 
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "spans": [spans(x) if x else [] for x in batch["text"]]})
+            # a part of the batch at a time, so that its texts are few
+            for lo in range(0, batch.num_rows, 256):
+                rows = [spans(x) if x else [] for x in batch.column(1).slice(lo, 256).to_pylist()]
+                flat = list(zip(*itertools.chain.from_iterable(rows), strict=True)) or [[]] * 4
+                inner = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(flat, SPAN, strict=True)], fields=list(SPAN))
+                offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), pa.ListArray.from_arrays(offsets, inner)], ["id", "spans"])
         released()
 
     rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(scan, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL(SCHEMA)])
+    return rows.mapInArrow(scan, schema).withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
