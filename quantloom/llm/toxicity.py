@@ -1,17 +1,20 @@
-"""Toxicity: nearest labelled examples by TF-IDF cosine over chosen words, with block-max indexes and weighted votes.
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine, with block-max inverted indexes and weighted votes.
 
-Terms are words whose presence depends on the label (chi-squared, on a bounded sample of the labelled rows that may
-be learned from), at most TERMS of them: all other words are left out, so a toxic text without any of them is missed
-(README: measured recall). Their inverse document frequencies count all documents. The examples are the sample's distinct
-TF-IDF vectors with the number of rows and of toxic rows. They are sorted, cut into blocks, and posted by term and
-block with each block's greatest weight. A search visits blocks by falling upper bound (the sum of greatest weights)
-and stops when no block can hold one of the `k` nearest; so the cosines are exact over these words. Neighbours vote by rows, with
-weights that fall with the distance; the prior of all examples is added as a few more votes, which calibrates thin
-evidence. A text without any term has the share of toxic rows among such examples.
+The examples are the distinct vectors of a bounded sample of the labelled rows that may be learned from, with the
+number of rows and of toxic rows. The terms are all words of the examples; none is left out. A word weighs
+(1 + log count) * idf * tie: idf counts all documents, and tie is how closely the word goes with the label among the
+examples (the phi coefficient, FLOOR where it is not significant), as plain TF-IDF finds examples on the same subject
+more often than toxic ones (README: measured). Postings are sorted by term. Terms that many examples have are cut into
+blocks of rows with each block's greatest weight; a search adds up the rarer terms, visits blocks by falling upper bound
+and stops when no block can hold one of the `k` nearest, so cosines are exact (to single precision). Neighbours vote by
+rows, with weights that fall with the distance; the prior of all examples is added as a few more votes, which
+calibrates thin evidence. A text without any term has the share of toxic rows among such examples.
 
 Cases: null and empty texts are texts without terms; unlabelled and null labels are not learned from; without any
-labelled row every score is 0; identical rows score alike; an empty table gives an empty result; other columns are
-never looked at. A null doc_id is scored, and learned from by no one.
+labelled row every score is 0; identical rows score alike; rows that share a doc_id are scored each by itself, and are
+one example, their smallest text; equally near examples are taken by their place in the index, which depends on the
+examples only; an empty table gives an empty result; other columns are never looked at. A null doc_id is scored, and
+learned from by no one.
 """
 
 from __future__ import annotations
@@ -19,16 +22,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .spark_tools import join_checked, stage, table, text_batches
-from .text_kernels import ALNUM, lists, slices, word_hashes, words
+from .spark_tools import stage, table, text_batches
+from .text_kernels import ALNUM, lists, released, slices, word_hashes, words
 
-#: Bound of the sample that is learned from, of the terms, and the chi-squared that a term needs.
-FIT_ROWS, TERMS, CHI2, LEAST_ROWS = 20_000, 128, 15.0, 4
+#: Bound of the sample that is learned from; chi-squared and rows that a word needs to weigh more than FLOOR.
+FIT_ROWS, CHI2, LEAST_ROWS, FLOOR = 20_000, 15.0, 4, 0.01
 K, BLOCK, SHARPNESS, PRIOR_VOTES = 10, 64, 4.0, 0.5
+#: A term has blocks if more than one of so many examples has it; texts that are searched together, and
+#: those of them with one product; results that a worker keeps for equal texts.
+COMMON, TOGETHER, GROUP, KEPT = 24, 256, 32, 5_000
 THRESHOLD = 0.3
 
 
@@ -37,139 +42,233 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _term_rows(texts: DataFrame) -> DataFrame:
-    """(toxic, word) for each distinct word of each text."""
+def _counted(column: pa.Array, vocabulary: np.ndarray | None = None) -> Iterator[tuple]:
+    """(first row, row after the last, row, word, count) for each slice of a text column, by row and word.
+
+    A word is its hash, or its place in the sorted vocabulary; then words that it lacks are left out.
+    """
+    for lo, hi, raw, off in slices(column):
+        start, end, bounds = words(raw, off, ALNUM)
+        h = word_hashes(raw, start, end)
+        row = np.repeat(np.arange(hi - lo), np.diff(bounds))
+        if vocabulary is not None:
+            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1) if len(vocabulary) else np.zeros(0, np.int64)
+            hit = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
+            row, h = row[hit], at[hit] if len(vocabulary) else h[:0].astype(np.int64)
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+        yield lo, hi, row[first], h[first], np.diff(np.r_[first, len(h)])
+
+
+def _examples(fit: DataFrame) -> pa.Table:
+    """(id, toxic, words, counts) of the sample's texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, off in slices(batch.column(1)):
-                start, end, bounds = words(raw, off, ALNUM)
-                pairs = np.unique(np.stack([np.repeat(np.arange(hi - lo), np.diff(bounds)).astype(np.uint64), word_hashes(raw, start, end)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(pairs[:, 0].astype(np.int64))), pa.array(pairs[:, 1].view(np.int64))], ["toxic", "word"])
+            for lo, hi, row, word, n in _counted(batch.column(2)):
+                per = np.bincount(row, minlength=hi - lo)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in (0, 1)], lists(word.view(np.int64), per, pa.int64()), lists(n, per, pa.int32())], ["id", "toxic", "words", "counts"])
 
-    return texts.select("toxic", "text").mapInArrow(scan, "toxic int, word long")
+    schema = T.StructType([*fit.schema.fields[:2], T.StructField("words", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    return fit.mapInArrow(scan, schema).toArrow().combine_chunks()
 
 
-def _vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """docs' first column with terms (indexes) and counts of the words among the sorted term hashes."""
-    first = docs.schema[0]
+def _document_counts(texts: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
+    """In how many texts each word of the broadcast vocabulary is, and the number of texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(len(vocabulary.value), np.int64), 0
         for batch in batches:
-            for lo, hi, raw, off in slices(batch.column(1)):
-                start, end, bounds = words(raw, off, ALNUM)
-                h = word_hashes(raw, start, end)
-                at = np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
-                hit = terms[at] == h if len(terms) else np.zeros(len(h), bool)
-                code = np.repeat(np.arange(hi - lo), np.diff(bounds))[hit] * max(1, len(terms)) + at[hit]
-                code, n = np.unique(code, return_counts=True)
-                per = np.bincount(code // max(1, len(terms)), minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists(code % max(1, len(terms)), per, pa.int32()), lists(n, per, pa.int32())], [first.name, "terms", "counts"])
+            rows += batch.num_rows
+            for *_, word, _ in _counted(batch.column(0), vocabulary.value):
+                total += np.bincount(word, minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen]), pa.array(np.r_[rows, total[seen]])], ["word", "n"])
+        released()
 
-    return docs.mapInArrow(scan, f"`{first.name}` {first.dataType.simpleString()}, terms array<int>, counts array<int>")
+    # at most a row for each word of the examples
+    found = texts.mapInArrow(scan, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    word, n = (found.column(i).to_numpy() for i in (0, 1))
+    out = np.zeros(len(vocabulary.value), np.int64)
+    out[word[word >= 0]] = n[word >= 0]
+    return out, int(n[word < 0].sum())
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term and block; nearest() gives the k nearest rows exactly."""
+    """Postings of unit vectors by term; nearest() gives the k nearest rows exactly."""
 
     def __init__(self, vectors: np.ndarray, block: int = BLOCK) -> None:
-        n, terms = vectors.shape
-        self.block, self.n = block, n
-        blocks = -(-n // block)
-        padded = np.zeros((blocks * block, terms))
-        padded[:n] = vectors
-        self.most = padded.reshape(blocks, block, terms).max(1)
-        row, term = np.nonzero(padded)
-        order = np.lexsort((row, term))
-        self.row, self.weight = row[order], padded[row[order], term[order]]
-        # postings of term t in block b start at start[t, b]
-        key = term[order] * blocks + self.row // block
-        self.start = np.searchsorted(key, np.arange(terms * blocks + 1))
-        self.blocks = blocks
+        row, term = np.nonzero(vectors)
+        self._build(row, term, vectors[row, term], vectors.shape, block)
+
+    @classmethod
+    def of(cls, row: np.ndarray, term: np.ndarray, weight: np.ndarray, shape: tuple[int, int], block: int = BLOCK) -> BlockMaxIndex:
+        out = cls.__new__(cls)
+        out._build(row, term, weight, shape, block)
+        return out
+
+    def _build(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, shape: tuple[int, int], block: int) -> None:
+        self.n, terms = shape
+        self.block, self.blocks = block, -(-self.n // block)
+        size = np.bincount(term, minlength=terms)
+        often = size > self.n // COMMON
+        self.column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        common = often[term]
+        # a common term's weights by block, and the greatest of each block
+        self.dense = np.zeros((int(often.sum()), self.blocks, block), np.float32)
+        self.dense[self.column[term[common]], row[common] // block, row[common] % block] = weight[common]
+        self.most = self.dense.max(2)
+        order = np.lexsort((row[~common], term[~common]))
+        self.row, self.weight = row[~common][order].astype(np.int32), weight[~common][order].astype(np.float32)
+        self.start = np.r_[0, np.cumsum(np.where(often, 0, size))]
+
+    def _rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the rarer terms add to each row, by block."""
+        if not len(terms):
+            return np.zeros((self.blocks, self.block), np.float32)
+        ranges = list(map(slice, self.start[terms].tolist(), self.start[terms + 1].tolist()))
+        row = np.concatenate([self.row[r] for r in ranges])
+        added = np.concatenate([self.weight[r] for r in ranges]) * np.repeat(weights.astype(np.float32), self.start[terms + 1] - self.start[terms])
+        return np.bincount(row, added, self.blocks * self.block).astype(np.float32).reshape(self.blocks, self.block)
+
+    def _best(self, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        best = np.lexsort((rows, -scores))[:k]
+        return rows[best], scores[best]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        bound = self.most[:, terms] @ weights
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(scores) >= k and bound[b] < scores[k - 1] - 1e-12:
-                break
-            s = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                s[self.row[lo:hi] - b * self.block] += w * self.weight[lo:hi]
-            own = np.flatnonzero(s > 0)
-            rows, scores = np.r_[rows, own + b * self.block], np.r_[scores, s[own]]
-            best = np.lexsort((rows, -scores))[:k]
-            rows, scores = rows[best], scores[best]
-        return rows, scores
+        return self.nearest_of([(terms, weights)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, scores) of the k nearest for each query (terms, weights), best first, equals by row."""
+        columns = [self.column[t] for t, _ in queries]
+        q = np.zeros((len(queries), len(self.dense)), np.float32)
+        for i, (c, (_, w)) in enumerate(zip(columns, queries, strict=True)):
+            q[i, c[c >= 0]] = w[c >= 0]
+        bounds = q @ self.most
+        out: list = [None] * len(queries)
+        rest = []
+        for i, (c, (t, w)) in enumerate(zip(columns, queries, strict=True)):
+            part = self._rare(t[c < 0], w[c < 0])
+            bound = bounds[i] + part.max(1)
+            order = np.argsort(-bound, kind="stable")
+            c, w = c[c >= 0], q[i, c[c >= 0]]
+            rows, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
+            for at in (order[:4], order[4:]):
+                least = max(1e-9, scores[k - 1] - 1e-6 if len(scores) >= k else 0)
+                at = at[bound[at] >= least]
+                if len(at) > max(4, self.blocks // 8):  # many blocks: one product for several such queries
+                    rest.append((int(order[0]), i, part, at, order[:4]))
+                    break
+                if len(at):
+                    s = part[at] + (w @ self.dense[c[:, None], at[None, :]].reshape(len(c), len(at) * self.block)).reshape(len(at), self.block)
+                    b, r = np.nonzero(s > least)
+                    rows, scores = self._best(np.r_[rows, at[b] * self.block + r], np.r_[scores, s[b, r]], k)
+            else:
+                out[i] = rows, scores
+        # queries with the same best block have many terms and blocks in common
+        rest.sort(key=lambda x: x[:2])
+        for lo in range(0, len(rest), GROUP):
+            group = rest[lo : lo + GROUP]
+            mine = q[[x[1] for x in group]]
+            c, at = np.flatnonzero(mine.any(0)), np.unique(np.concatenate([x[3] for x in group] + [x[4] for x in group]))
+            products = (mine[:, c] @ self.dense[c[:, None], at[None, :]].reshape(len(c), len(at) * self.block)).reshape(len(group), len(at), self.block)
+            for s, (_, i, part, _, _) in zip(products, group, strict=True):
+                s += part[at]
+                top = s.max(1)
+                least = np.partition(top, -k)[-k] if len(top) >= k else 0
+                b, r = np.nonzero(s >= max(least, 1e-9))
+                out[i] = self._best(at[b] * self.block + r, s[b, r], k)
+        return out
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = K, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(id, score, evidence) for each row of docs; evidence: array of (doc_id, cosine, rows, toxic) of the neighbours,
-    doc_id being one row with that vector. labels: the labelled ids that may be learned from."""
-    spark = docs.sparkSession
+    """(id, score, evidence) for each row of docs; evidence: array of (id, cosine, rows, toxic) of the neighbours,
+    id being one row with that vector. labels: the labelled ids that may be learned from."""
+    context = docs.sparkSession.sparkContext
     rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     sample = stage(usable.orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(fit_rows))
-    fit = stage(rows.join(F.broadcast(sample), "id"))  # at most fit_rows rows
-    totals = fit.groupBy("toxic").count().collect()
-    n = {r["toxic"]: r["count"] for r in totals}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    words_ = _term_rows(fit).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where(F.col("n") >= LEAST_ROWS)
-    a, m, total = F.col("n1").cast("double"), F.col("n").cast("double"), float(max(1, n0 + n1))
-    expected = m * F.lit(n1 / total)
-    chi2 = F.try_divide((a - expected) * (a - expected) * F.lit(total), expected * (F.lit(float(n0)) / total) * (F.lit(total) - m) + F.lit(1e-9)) * F.lit(1.0)
-    chosen = words_.withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).toPandas()
-    terms = np.sort(chosen["word"].to_numpy(np.int64).view(np.uint64))
-
-    vectors = stage(_vectors(rows, terms))
-    seen = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().toPandas()  # at most TERMS rows
-    all_rows = vectors.count()
-    df = np.zeros(len(terms))
-    df[seen["t"].to_numpy(int)] = seen["count"]
-    idf = np.log((1 + all_rows) / (1 + df)) + 1
-
-    own = _vectors(fit.select(F.struct("id", "toxic").alias("key"), "text"), terms)
-    examples = own.groupBy("terms", "counts").agg(F.count("*").alias("rows"), F.sum("key.toxic").alias("toxic"), F.min("key.id").alias("id")).orderBy("terms", "counts").toPandas()  # at most fit_rows rows
-
-    def unit(t: np.ndarray, c: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(c)) * idf[t]
-        return w / np.linalg.norm(w)
-
-    filled = examples[examples["terms"].map(len) > 0]
-    blank = examples[examples["terms"].map(len) == 0]
-    dense = np.zeros((len(filled), len(terms)))
-    for i, (t, c) in enumerate(zip(filled["terms"], filled["counts"], strict=True)):
-        dense[i, t] = unit(np.asarray(t), np.asarray(c))
-    prior = n1 / total
-    blank_rows = int(blank["rows"].sum())
-    blank_score = float((blank["toxic"].sum() + PRIOR_VOTES * prior) / (blank_rows + PRIOR_VOTES)) if n0 + n1 else 0.0
-    shared = spark.sparkContext.broadcast((BlockMaxIndex(dense), filled["rows"].to_numpy(float), filled["toxic"].to_numpy(float), filled["id"].to_numpy()))
-    id_kind = rows.schema["id"].dataType.simpleString()
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, votes, toxic, ids = shared.value
+    # at most fit_rows rows, also where ids repeat
+    fit = rows.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    found = _examples(fit)
+    toxic = found.column("toxic").to_numpy().astype(np.float64)
+    total, prior = max(1, len(toxic)), float(toxic.mean()) if len(toxic) else 0.0
+    hashes, counts = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("words", "counts"))
+    sizes = np.diff(np.asarray(found.column("words").combine_chunks().offsets))
+    vocabulary, term = np.unique(hashes.view(np.uint64), return_inverse=True)
+    shared = context.broadcast(vocabulary)
+    df, all_rows = _document_counts(rows.select("text"), shared)
+
+    # how closely a word goes with the label
+    at = np.repeat(np.arange(len(toxic)), sizes)
+    m, m1 = np.bincount(term, minlength=len(vocabulary)).astype(float), np.bincount(term, toxic[at], len(vocabulary))
+    phi2 = (m1 - m * prior) ** 2 / np.maximum(m * prior * (1 - prior) * (total - m), 1e-9)
+    tie = np.where((phi2 * total >= CHI2) & (m >= LEAST_ROWS), np.maximum(np.sqrt(phi2), FLOOR), FLOOR)
+    weight = (np.log((1 + all_rows) / (1 + df)) + 1) * tie
+
+    # equal vectors are one example; alike ones are neighbours in the index
+    w = (1 + np.log(counts)) * weight[term]
+    norm = np.sqrt(np.bincount(at, w * w, len(toxic)))
+    w /= norm[at]
+    ends = np.r_[0, np.cumsum(sizes)]
+    kinds: dict[tuple, list[int]] = {}
+    for i in range(len(toxic)):
+        own = slice(ends[i], ends[i + 1])
+        kinds.setdefault((term[own].tobytes(), counts[own].tobytes()), []).append(i)
+    blank = kinds.pop((b"", b""), [])
+    ids = found.column("id").to_pylist()
+    groups = [sorted(g, key=ids.__getitem__) for g in kinds.values()]
+    # an example's place: its heaviest word that goes with a label, then its most frequent words, which tell languages apart
+    own = [slice(ends[g[0]], ends[g[0] + 1]) for g in groups]
+    tied = [np.where(tie[term[o]] > FLOOR, w[o], 0) for o in own]
+    top = [(int(term[o][x.argmax()]) if x.any() else -1, *term[o][np.lexsort((weight[term[o]], -counts[o]))[:2]].tolist()) for o, x in zip(own, tied, strict=True)]
+    groups = [groups[i] for i in sorted(range(len(groups)), key=lambda i: (top[i], ids[groups[i][0]]))]
+    own = np.concatenate([np.arange(ends[g[0]], ends[g[0] + 1]) for g in groups]) if groups else np.zeros(0, np.int64)
+    index = BlockMaxIndex.of(np.repeat(np.arange(len(groups)), [sizes[g[0]] for g in groups]), term[own], w[own], (len(groups), len(vocabulary)))
+    votes, bad = np.array([float(len(g)) for g in groups]), np.array([toxic[g].sum() for g in groups])
+    names = pa.array([ids[g[0]] for g in groups], found.schema.field("id").type)
+    blank_score = float((toxic[blank].sum() + PRIOR_VOTES * prior) / (len(blank) + PRIOR_VOTES)) if len(toxic) else 0.0
+    model = context.broadcast((index, votes, bad, names, weight))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, votes, bad, names, weight = model.value
         known: dict = {}
+
+        def judge(vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+            """(score, rows, cosines) for each vector (terms, counts)."""
+            asked = [i for i, (t, _) in enumerate(vectors) if len(t) and index.n]
+            weighted = [(1 + np.log(c)) * weight[t] for t, c in map(vectors.__getitem__, asked)]
+            found = index.nearest_of([(vectors[i][0], q / np.linalg.norm(q)) for i, q in zip(asked, weighted, strict=True)], k) if asked else []
+            out = [(blank_score, np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+            for i, (near, cosine) in zip(asked, found, strict=True):
+                cosine = np.minimum(cosine.astype(np.float64), 1)
+                v = votes[near] * np.exp(SHARPNESS * (cosine - 1))
+                out[i] = float((v @ (bad[near] / votes[near]) + PRIOR_VOTES * prior) / (v.sum() + PRIOR_VOTES)), near, cosine
+            return out
+
         for batch in batches:
-            scores, evidence = np.empty(len(batch)), []
-            for i, (t, c) in enumerate(zip(batch["terms"], batch["counts"], strict=True)):
-                key = (t.tobytes(), c.tobytes())
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    if not len(t) or not index.n:
-                        known[key] = blank_score, []
-                    else:
-                        near, cos = index.nearest(t, unit(t, c), k)
-                        w = votes[near] * np.exp(SHARPNESS * (np.minimum(cos, 1) - 1))
-                        share = (w @ (toxic[near] / votes[near]) + PRIOR_VOTES * prior) / (w.sum() + PRIOR_VOTES)
-                        known[key] = float(share), [{"id": ids[j], "cosine": float(min(1.0, x)), "rows": int(votes[j]), "toxic": int(toxic[j])} for j, x in zip(near, cos, strict=True)]
-                scores[i], found = known[key]
-                evidence.append(found)
-            yield pd.DataFrame({"id": batch["id"], "score": np.clip(scores, 0, 1), "evidence": evidence})
-
-    out = vectors.mapInPandas(search, f"id {id_kind}, score double, evidence array<struct<id:{id_kind},cosine:double,rows:long,toxic:long>>")
-    return out.withColumnRenamed("id", id_col)
+            for lo, hi, row, term, n in _counted(batch.column(1), shared.value):
+                ends = np.searchsorted(row, np.arange(hi - lo + 1))
+                own = [(term[a:b], n[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                keys = [(t.tobytes(), c.tobytes()) for t, c in own]
+                if len(known) > KEPT:
+                    known.clear()
+                new = list({key: i for i, key in enumerate(keys) if key not in known}.items())
+                for at in range(0, len(new), TOGETHER):
+                    some = new[at : at + TOGETHER]
+                    known.update(zip((key for key, _ in some), judge([own[i] for _, i in some]), strict=True))
+                results = list(map(known.__getitem__, keys))
+                near = np.concatenate([r[1] for r in results])
+                inner = pa.StructArray.from_arrays([names.take(pa.array(near)), pa.array(np.concatenate([r[2] for r in results])), pa.array(votes[near].astype(np.int64)), pa.array(bad[near].astype(np.int64))], ["id", "cosine", "rows", "toxic"])
+                offsets = pa.array(np.cumsum([0, *(len(r[1]) for r in results)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.clip([r[0] for r in results], 0, 1)), pa.ListArray.from_arrays(offsets, inner)], ["id", "score", "evidence"])
+        released()
+
+    kind = rows.schema["id"].dataType
+    neighbour = T.StructType([T.StructField("id", kind), T.StructField("cosine", T.DoubleType()), T.StructField("rows", T.LongType()), T.StructField("toxic", T.LongType())])
+    schema = T.StructType([rows.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(neighbour))])
+    return rows.mapInArrow(search, schema).withColumnRenamed("id", id_col)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
