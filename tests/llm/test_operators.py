@@ -522,3 +522,217 @@ def test_toxicity(spark):
     assert not any(e.id in held for r in out for e in r.evidence)
     assert all(r.score == 0 for r in toxicity.score_toxicity(docs(spark, rows[:5]), lab.limit(0)).collect())
     assert toxicity.score_toxicity(docs(spark, []), usable).count() == 0
+
+
+# --- ids -------------------------------------------------------------------------------------------------------
+
+
+BIG = [(1 << 53) + 1, -(1 << 53) - 3, (1 << 63) - 1, None]
+
+
+def test_large_ids_beside_null_ones_stay_as_they_are(spark):
+    text = "password = hunter2hunter2 and some more words to read here"
+    df = docs(spark, [(i, f"{text} {k}") for k, i in enumerate(BIG)]).coalesce(1)
+    want = sorted(BIG, key=str)
+    same = lambda found: sorted((r[0] for r in found.collect()), key=str) == want
+    assert same(secrets.find_secrets(df)) and same(secrets.redact(df).select("doc_id"))
+    pieces = spark_tools.stage(packing.token_pieces(df))
+    assert same(packing.pack(pieces, ["doc_id", "piece"]).select("doc_id"))
+    labels = spark.createDataFrame([(BIG[0], 1), (BIG[1], 0)], "doc_id long, toxic int")
+    assert same(toxicity.score_toxicity(df, labels))
+    assert same(mixing.mix_sources(df).select("doc_id")) and same(ngram_join.jaccard_groups(df)) and same(licenses.scan_licenses(df))
+
+
+def test_vectors_without_an_id_link_like_others(spark):
+    rng = np.random.default_rng(40)
+    v, w = rng.standard_normal(16), rng.standard_normal(16)
+    near = lambda x, s: (x + rng.standard_normal(16) * s).tolist()
+    rows = [(BIG[0], v.tolist(), 1), (None, near(v, 0.01), 1), (BIG[1], near(v, 0.01), 1), (None, w.tolist(), 1), (None, near(w, 0.01), 1), (None, None, 1), (7, [0.0] * 16, 1)]
+    out = [tuple(r) for r in embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()]
+    assert sorted(out, key=str) == sorted([(BIG[0], 2, BIG[1], False), (None, 2, BIG[1], None), (BIG[1], 2, BIG[1], True), (None, 1, None, None), (None, 1, None, None), (None, 0, None, None), (7, 0, 7, True)], key=str)
+
+
+def test_planted_random_keys_are_found_and_plain_words_are_not(spark):
+    """Recall of the token test on random keys of many alphabets, and its false finds on prose and identifiers."""
+    rng = random.Random(41)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"base62": low + up + digits, "letters": low + up, "lower": low, "base64": low + up + digits + "+/", "urlsafe": low + up + digits + "-_", "upper": up + digits}
+    keys = [(k, "".join(rng.choice(a) for _ in range(n))) for k, a in kinds.items() for n in (20, 28, 40) for _ in range(40)]
+    out = {r.doc_id: r.spans for r in secrets.find_secrets(docs(spark, [(i, f"the key is {k} and that is all") for i, (_, k) in enumerate(keys)])).collect()}
+    for kind in kinds:
+        mine = [any(s.kind in ("random", "hex", "access") for s in out[i]) for i, (k, _) in enumerate(keys) if k == kind]
+        assert np.mean(mine) >= (0.9 if kind == "lower" else 0.98), (kind, np.mean(mine))
+    plain = [f"{a}{sep}{b}{sep}{c}" for sep in "_-/=" for a in ("internal", "get", "user") for b in ("configuration", "response", "implementation") for c in ("factory", "listener", "documentation")]
+    assert not any(r.spans for r in secrets.find_secrets(docs(spark, list(enumerate(plain)))).collect())
+
+
+def test_many_findings_in_one_long_text_take_linear_time(spark):
+    text = "token=abcdefgh12345678 " * 20_000
+    assert len(secrets.find_secrets(docs(spark, [(1, text)])).first().spans) == 20_000
+
+
+def test_toxicity_without_a_term_cap(spark):
+    """Each toxic row has its own pair out of hundreds of rare words, which only its copy shares: examples are found by any word."""
+    rng = random.Random(42)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 10 == 0
+        rows.append((i, prose(rng, 30, 200) + f" rare{i}a rare{i}b rare{i}c"))
+        labels.append((i, int(bad)))
+    learned = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows += [(10_000 + i, rows[i][1] + " again") for i in learned]
+    usable = spark.createDataFrame(labels, "doc_id long, toxic int").where(~toxicity.held_out(F.col("doc_id")))
+    out = {r.doc_id: r for r in toxicity.score_toxicity(docs(spark, rows), usable).collect()}
+    assert all(out[10_000 + i].evidence[0].id == i for i in learned)
+
+
+def brute_scores(rows, labels, k=10):
+    """Scores by all cosines in double precision."""
+    words = {i: Counter(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))) for i, t in rows}
+    ex = sorted(i for i in labels if i in words)
+    y = {i: labels[i] for i in ex}
+    prior, total = sum(y.values()) / len(ex), len(ex)
+    df, m, m1 = Counter(), Counter(), Counter()
+    for i, w in words.items():
+        df.update(w.keys())
+        if i in y:
+            m.update(w.keys())
+            m1.update(k for k in w if y[i])
+    weight = {}
+    for w in m:
+        phi2 = (m1[w] - m[w] * prior) ** 2 / max(m[w] * prior * (1 - prior) * (total - m[w]), 1e-9)
+        tie = max(phi2**0.5, 0.01) if phi2 * total >= 15 and m[w] >= 4 else 0.01
+        weight[w] = (np.log((1 + len(rows)) / (1 + df[w])) + 1) * tie
+
+    def unit(c):
+        v = {w: (1 + np.log(n)) * weight[w] for w, n in c.items() if w in weight}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    units = {i: unit(words[i]) for i in ex}
+    out = {}
+    for i, _ in rows:
+        q = unit(words[i])
+        cosine = sorted(((sum(x * units[e].get(w, 0) for w, x in q.items()), y[e]) for e in ex), reverse=True)[:k]
+        v = [np.exp(4 * (min(c, 1) - 1)) for c, _ in cosine]
+        out[i] = (sum(a * b for a, (_, b) in zip(v, cosine)) + 0.5 * prior) / (sum(v) + 0.5)
+    return out
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = random.Random(43)
+    rows = [(i, prose(rng, rng.randrange(20, 60), 300) + (" vile rotten scum"[: rng.choice([5, 12, 17])] if i % 7 == 0 else "")) for i in range(300)]
+    labels = {i: int(i % 7 == 0) for i in range(300) if i % 3}
+    usable = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    want = brute_scores(rows, labels)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs(spark, rows), usable).collect()}
+    assert np.allclose([got[i] for i in want], list(want.values()), atol=1e-4)
+
+
+# --- 9 media by components -------------------------------------------------------------------------------------
+
+
+def test_media_edits_are_found_and_other_scenes_are_not(spark):
+    """Recall of each edit on planted copies, and no links between scenes."""
+    rng = np.random.default_rng(44)
+    n = media_copies.EDITS
+    rows = [(i, rng.standard_normal(24).tolist()) for i in range(30 * n)] + [(None, rng.standard_normal(24).tolist())]
+    vectors = media_copies.planted(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    out = {r.vec_id: r.component_id for r in media_copies.image_groups(media_copies.render(vectors), "vec_id").collect()}
+    assert len(out) == len(rows)
+    for kind in range(1, n):
+        assert np.mean([out[i * n + kind] == out[i * n] for i in range(30)]) >= 0.9, kind
+    assert all(out[i] // n == i // n for i in range(30 * n))
+
+
+def brute_groups(found, distance=12, consensus=4):
+    """Components by all pairs of images and all pairs of descriptors."""
+    root = {i: i for i in found}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def bits(f):
+        return np.array([[d["lo"], d["hi"]] for d in f], np.int64).view(np.uint64).reshape(-1, 2)
+
+    for a in found:
+        for b in (b for b in found if a < b):
+            x = bits(found[a])[:, None] ^ bits(found[b])[None]
+            agree = np.zeros(x.shape[:2], bool)
+            for shift in (0, 32):
+                agree |= ((x >> np.uint64(shift)) & np.uint64(0xFFFFFFFF) == 0).any(2)
+            votes = defaultdict(set)
+            for i, j in zip(*np.nonzero(agree & (np.bitwise_count(x).sum(2) <= distance))):
+                p, q = found[a][i], found[b][j]
+                s, t = p["scale"] / q["scale"], p["angle"] - q["angle"]
+                dx = p["cx"] - s * (np.cos(t) * q["cx"] - np.sin(t) * q["cy"])
+                dy = p["cy"] - s * (np.cos(t) * q["cy"] + np.sin(t) * q["cx"])
+                for g in (0, 1):
+                    for o in (0, 1):
+                        votes[round(2 * np.log2(s)), g, o, (np.degrees(t) % 360 + 15 * g) % 360 // 30, (dx + 6 * o) // 12, (dy + 6 * o) // 12].add(i)
+            if any(len(v) >= consensus for v in votes.values()):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in found}
+
+
+def test_media_groups_equal_brute_force(spark):
+    """Noisy versions of scenes, chains of crops that only meet through each other, and all edits."""
+    rng = np.random.default_rng(45)
+    images = {i: x for i, x in enumerate(noisy_scene(25))}
+    wide = 128 + 45 * rng.standard_normal((60, 400))
+    for _ in range(3):
+        wide = media_copies._blur(wide)
+    wide = np.clip(128 + 45 * (wide - wide.mean()) / wide.std(), 0, 255)
+    images |= {100 + k: wide[:, 25 * k : 25 * k + 90].astype(np.uint8) for k in range(12)}
+    for s in range(3):
+        scene = 128 + 45 * rng.standard_normal((media_copies.CANVAS,) * 2)
+        for _ in range(3):
+            scene = media_copies._blur(scene)
+        scene = 128 + 45 * (scene - scene.mean()) / scene.std()
+        images |= {200 + s * 20 + k: media_copies.edited(scene, k) for k in range(media_copies.EDITS)}
+    found = {}
+    for i, x in images.items():
+        found[i] = [d | {"cx": d["x"] - x.shape[1] / 2, "cy": d["y"] - x.shape[0] / 2} for d in media_copies.descriptors(x)]
+    want = brute_groups(found)
+    assert len(set(want.values())) < 12
+    df = spark.createDataFrame([(i, bytearray(media_copies.write_pgm(x))) for i, x in images.items()], "vec_id long, image binary").repartition(4)
+    assert {r.vec_id: r.component_id for r in media_copies.image_groups(df, "vec_id").collect()} == want
+
+
+def png(pixels, how):
+    """A PNG whose lines are all filtered alike."""
+    h, w = pixels.shape[:2]
+    flat = pixels.reshape(h, -1).astype(int)
+    c = flat.shape[1] // w
+    left = np.pad(flat, ((0, 0), (c, 0)))[:, :-c]
+    up = np.pad(flat, ((1, 0), (0, 0)))[:-1]
+    corner = np.pad(flat, ((1, 0), (c, 0)))[:-1, :-c]
+    q = left + up - corner
+    near = np.where((abs(q - left) <= abs(q - up)) & (abs(q - left) <= abs(q - corner)), left, np.where(abs(q - up) <= abs(q - corner), up, corner))
+    lines = (flat - [0 * flat, left, up, (left + up) // 2, near][how]) % 256
+    raw = b"".join(bytes([how]) + bytes(line.astype(np.uint8)) for line in lines)
+    chunk = lambda name, data: len(data).to_bytes(4, "big") + name + data + zlib.crc32(name + data).to_bytes(4, "big")
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_png_images_are_read():
+    rng = np.random.default_rng(46)
+    gray, color = rng.integers(0, 256, (13, 17)), rng.integers(0, 256, (9, 11, 3))
+    for how in range(5):
+        assert (media_copies.read_image(png(gray, how)) == gray).all()
+        assert (media_copies.read_image(png(color, how)) == np.rint(color @ [0.299, 0.587, 0.114])).all()
+    broken = png(gray, 1)
+    assert media_copies.read_image(broken[:50]) is None and media_copies.read_image(b"") is None and media_copies.read_image(None) is None
+
+
+def test_media_cases(spark):
+    image = bytearray(media_copies.write_pgm(noisy_scene(1)[0]))
+    rows = [(5, image, "x"), (3, image, "x"), (3, image, "x"), (None, image, "x"), (7, None, "x"), (8, bytearray(b""), "x"), (9, bytearray(b"no image"), "x"), (None, None, "x"), (10, bytearray(media_copies.write_pgm(np.zeros((200, 200)))), "x"), (11, bytearray(b"P5 0 0 255\n"), "x")]
+    df = spark.createDataFrame(rows, "vec_id long, image binary, node string")
+    out = [(r.vec_id, r.component_id) for r in media_copies.image_groups(df, "vec_id").collect()]
+    assert sorted(out, key=str) == sorted([(5, 3), (3, 3), (3, 3), (None, 3), (7, 7), (8, 8), (9, 9), (None, None), (10, 10), (11, 11)], key=str)
+    assert media_copies.image_groups(df.limit(0), "vec_id").count() == 0
