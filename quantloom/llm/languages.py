@@ -3,8 +3,8 @@
 Text: naive Bayes over hashed byte 4-grams, trained on a bounded sample of rows that declare a language; the mean
 log-likelihood counts for at most `evidence` grams, since neighbouring grams are not independent. One more hypothesis is
 an unknown language, all of whose grams are equally likely: it is better than a trained language for random letters,
-code and untrained languages, whose grams that language hardly has. Declared language
-(a column, or the lang attribute of the markup) and address suffix (a path's first folder, a host's last label) are
+code and untrained languages, whose grams that language hardly has. Languages are codes of two letters; all that are
+declared are trained, each on an equal share of the sample. Declared language (a column, or the lang attribute of the markup) and address suffix (a path's first folder, a host's last label) are
 observations that are right with a given reliability. Host priors come from grouped aggregation: each row adds its
 posterior from the other evidence to its host and to its host's domain; a row's prior is its host's counts without
 its own, smoothed by the domain's, smoothed by the whole table's.
@@ -27,8 +27,8 @@ from .spark_tools import join_checked, stage, table, text_batches
 from .text_kernels import LOWER, lists, released, slices
 from .url_filters import host_of, path_of
 
-#: Bounds of the training sample: rows, and languages (those with the most different texts).
-FIT_ROWS, LANGUAGES = 4_000, 64
+#: Bound of the training sample; each language has one row at least, and two letters allow no more than 676.
+FIT_ROWS = 4_000
 GRAMS = 1 << 15
 #: Share of all languages' grams in each language's, so that unseen grams weigh alike whatever its training mass.
 BACKGROUND = 0.02
@@ -54,9 +54,9 @@ def _train(rows: DataFrame, fit_rows: int) -> tuple[list[str], np.ndarray]:
     keyed = labelled.select("declared", "text", F.xxhash64("text").alias("h"))
     # copies count once; each language has an equal share of the rows, chosen by hash, and only the chosen texts move
     texts = stage(keyed.groupBy("declared", "h").agg(F.lit(1).alias("one")).drop("one"))
-    top = [r["declared"] for r in texts.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()]
+    top = [r["declared"] for r in texts.select("declared").distinct().collect()]  # at most 676 rows
     at = F.row_number().over(Window.partitionBy("declared").orderBy("h"))
-    chosen = stage(texts.where(F.col("declared").isin(top)).withColumn("at", at).where(F.col("at") <= max(1, fit_rows // max(1, len(top)))).drop("at"))
+    chosen = stage(texts.withColumn("at", at).where(F.col("at") <= max(1, fit_rows // max(1, len(top)))).drop("at"))
     sample = stage(keyed.join(F.broadcast(chosen), ["declared", "h"], "left_semi").dropDuplicates(["declared", "h"]).select("declared", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def _train(rows: DataFrame, fit_rows: int) -> tuple[list[str], np.ndarray]:
                 key, n = np.unique(lang[text].astype(np.int64) * GRAMS + code, return_counts=True)
                 yield pa.RecordBatch.from_arrays([of.dictionary.take(pa.array(key // GRAMS)), pa.array(key % GRAMS), pa.array(n)], ["lang", "gram", "n"])
 
-    # at most LANGUAGES x GRAMS rows
+    # at most 676 x GRAMS rows
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(top)
     table_ = np.zeros((len(names), GRAMS))
@@ -86,8 +86,8 @@ def _domain(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def identify(docs: DataFrame, text: str = "text", declared: Column | None = None, url: Column | None = None, host: Column | None = None, accepted: list[str] | None = None, least: float = 0.5, reliability: float = 0.95, evidence: int = 60, smoothing: float = 20.0, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """docs (a stored table) with text_language, language, confidence and accepted.
+def identify(docs: DataFrame, text: str = "text", declared: Column | None = None, url: Column | None = None, host: Column | None = None, accepted: list[str] | None = None, least: float = 0.5, reliability: float = 0.95, evidence: int = 60, smoothing: float = 20.0, fit_rows: int = FIT_ROWS, keep_text: bool = True) -> DataFrame:
+    """docs (a stored table; without keep_text its other columns) with text_language, language, confidence and accepted.
 
     declared, url, host: the other evidence; the host defaults to that of the URL. accepted: languages that are not
     rejected, by default all that were trained. smoothing: rows' worth of the coarser prior in the finer one.
@@ -97,7 +97,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
     url, declared = null if url is None else url, null if declared is None else declared
     host = F.when(host_of(url) != "", host_of(url)) if host is None else host
     rows = text_batches(docs).select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), F.lower(F.substring(F.trim(declared), 1, 2)).alias("declared"), url.alias("url"), host.alias("host"), F.col(text).alias("text"))
-    rows = rows.withColumn("declared", F.when(F.col("declared") != "", F.col("declared")))
+    rows = rows.withColumn("declared", F.when(F.col("declared").rlike("^[a-z]{2}$"), F.col("declared")))
     names, table_ = _train(rows.select("declared", "text"), fit_rows)
     size = len(names) + 1  # the last one is the unknown language
     model = spark.sparkContext.broadcast(table_)
@@ -106,7 +106,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
         t = model.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            kept = range(batch.num_columns)
+            kept = [i for i in range(batch.num_columns) if keep_text or i != at]
             for lo, hi, raw, off in slices(batch.column(at)):
                 code, of, letters = _grams(raw, off)
                 n = np.bincount(of, minlength=hi - lo)
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
     known = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
     index = lambda c: F.when(F.array_contains(known, c), F.array_position(known, c).cast("int"))
     rows = rows.select("_row", "text", "host", index(F.col("declared")).alias("said"), F.coalesce(index(folder), index(label)).alias("suffix"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("likelihood", T.ArrayType(T.DoubleType())), T.StructField("letters", T.LongType())])
+    schema = T.StructType([*(f for f in rows.schema if keep_text or f.name != "text"), T.StructField("likelihood", T.ArrayType(T.DoubleType())), T.StructField("letters", T.LongType())])
     scored = rows.mapInArrow(likelihood, schema)
 
     right, wrong = float(np.log(reliability)), float(np.log((1 - reliability) / max(1, size - 1) + 1e-12))
@@ -164,10 +164,10 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
     language = name(best(F.col("final")))
     allowed = F.lit(True) if accepted is None else language.isin(accepted)
     ok = (F.col("letters") > 0) & (confidence >= least) & allowed & language.isNotNull()
-    return joined.select(*[F.col("text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns], F.when(F.col("letters") > 0, name(best(F.col("likelihood")))).alias("text_language"), language.alias("language"), confidence.alias("confidence"), F.coalesce(ok, F.lit(False)).alias("accepted"))
+    return joined.select(*[F.col("text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns if keep_text or c != text], F.when(F.col("letters") > 0, name(best(F.col("likelihood")))).alias("text_language"), language.alias("language"), confidence.alias("confidence"), F.coalesce(ok, F.lit(False)).alias("accepted"))
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
+def identify_documents(docs: DataFrame, **options) -> DataFrame:
     """Documents: the column lang is the declared language, the source stands for the host and, if it is one, the URL.
 
     The markup's lang attribute is used where the column is null.
@@ -175,12 +175,12 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     attribute = F.nullif(F.regexp_extract("text", LANG_ATTRIBUTE, 1), F.lit(""))
     source = F.col("source")
     url = F.when(source.contains("://"), source).when(source.contains("."), F.concat(F.lit("http://"), source))
-    return identify(docs, declared=F.coalesce("lang", attribute), url=url, host=source)
+    return identify(docs, declared=F.coalesce("lang", attribute), url=url, host=source, **options)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     """Language ID of all documents."""
-    found = identify_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    found = identify_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
     return found.select("doc_id", "lang", "text_language", "language", "confidence", F.col("accepted").alias("kept"))
 
 
@@ -190,5 +190,5 @@ def pages_language(spark, sf_dir: str) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|nav|footer|header)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     attribute = F.nullif(F.regexp_extract("html", LANG_ATTRIBUTE, 1), F.lit(""))
     rows = stage(pages.select("page_id", "url", body.alias("text"), attribute.alias("declared")))
-    found = identify(rows, declared=F.col("declared"), url=F.col("url"))
+    found = identify(rows, declared=F.col("declared"), url=F.col("url"), keep_text=False)
     return found.select("page_id", "declared", "text_language", "language", "confidence", F.col("accepted").alias("kept"))

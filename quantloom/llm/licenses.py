@@ -1,7 +1,9 @@
 """License scans: given phrases by word positions, and text blocks that contain a license template.
 
-The method is an exact set-similarity join. Blocks are the lines of a text, as word sets; a template's set T is found
-in a block B if |B n T| >= THRESHOLD |T|. Template words are ordered by their frequency in all blocks, rare first
+The method is an exact set-similarity join. Blocks are word sets: the lines of a text for all templates and, as license
+texts are broken into lines at any place, windows across lines for templates of LONG words and more: each 2 n words that
+start at a multiple of n, for a template of n words, so any n words in a row are inside one. A template's set T is found
+in a block B if |B n T| >= THRESHOLD |T|. Template words are ordered by their frequency in all lines, rare first
 (a count over the whole corpus). A block that meets the threshold o = ceil(THRESHOLD |T|) shares one of the first
 |T| - o + 1 words of T, so only blocks with such a word are joined with the templates, on that word (prefix filter);
 they need o words (length filter), and behind the word enough words of both must be left (positional filter). What
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .spark_tools import join_checked, stage, table, text_batches
+from .spark_tools import is_small, stage, table, text_batches
 from .text_kernels import ALNUM, hash_of, lists, slices, word_hashes, words
 
 # The phrases of the query.
@@ -43,8 +45,17 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
 ]
 THRESHOLD = 0.8
+#: Words of a template from which on it is looked for in windows, too; shorter ones would meet prose there.
+LONG = 15
 
 
 def _scan_words(batch: pa.Array) -> Iterator[tuple]:
@@ -66,7 +77,7 @@ def _places(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, n_words, places (array of label, start word), found (array of block, template,
-    label, containment)."""
+    label, containment). block: the number of a line from 0, or -1 - the first word of a window."""
     spark = docs.sparkSession
     rows = text_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -93,6 +104,13 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     for s, o in zip(ordered, needs, strict=True):
         prefix[s[: len(s) - o + 1]] = True
     least = min(needs)
+    # by length: the words of prefixes, and the least that a template of this length needs
+    windows = {}
+    for (_, t), s, o in zip(templates, ordered, needs, strict=True):
+        if (n := len(t.split())) >= LONG:
+            rare, low = windows.get(n, (np.zeros(len(vocabulary), bool), o))
+            rare[s[: len(s) - o + 1]] = True
+            windows[n] = rare, min(low, o)
     wanted = [(np.array([hash_of(w) for w in p.split()], np.uint64), label) for p, label in phrases.items()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,15 +138,33 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                 keep = hit[np.isin(block[hit], hot)]
                 found = np.unique(np.stack([block[keep], rank[at[keep]]], 1), axis=0) if len(keep) else np.zeros((0, 2), np.int64)
                 blocks, first, size = np.unique(found[:, 0], return_index=True, return_counts=True)
-                enough = size >= least
-                blocks, first, size = blocks[enough], first[enough], size[enough]
-                tokens = np.concatenate([found[f : f + s, 1] for f, s in zip(first, size, strict=True)]) if len(blocks) else np.zeros(0, np.int64)
                 one = np.searchsorted(block, blocks)
                 of = doc[one] if len(blocks) else np.zeros(0, np.int64)
                 number = blocks - (block[bounds[of]] if len(blocks) else 0)
+                kinds = [(found[:, 1], first, size, least, of, number, np.zeros(len(of), np.int64))]
+                # windows of each length: a word is in the one that starts at or before it and in the one before that
+                place = hit - bounds[doc[hit]]
+                for n, (rare, low) in windows.items():
+                    code = (doc[hit] << 32) + place // n + 1
+                    near = np.unique(code[rare[r]])
+                    near = np.unique(np.r_[near - 1, near])
+                    both = [np.stack([c, r], 1)[np.isin(c, near)] for c in (code, code - 1)]
+                    found = np.unique(np.concatenate(both), axis=0)
+                    found = found[(found[:, 0] & 0xFFFFFFFF) > 0]
+                    blocks, first, size = np.unique(found[:, 0], return_index=True, return_counts=True)
+                    kinds.append((found[:, 1], first, size, low, blocks >> 32, -1 - ((blocks & 0xFFFFFFFF) - 1) * n, np.full(len(blocks), n)))
+                tokens, size, of, number, length = [], [], [], [], []
+                for words_, first, n, low, *rest in kinds:
+                    enough = n >= low
+                    tokens += [words_[f : f + k] for f, k in zip(first[enough], n[enough], strict=True)]
+                    for into, values in zip((size, of, number, length), (n, *rest), strict=True):
+                        into.append(values[enough])
+                size, of, number, length = map(np.concatenate, (size, of, number, length))
+                order = np.argsort(of, kind="stable")
+                tokens = np.concatenate([tokens[i] for i in order]) if len(order) else np.zeros(0, np.int64)
                 per_doc = np.bincount(of, minlength=m)
                 offsets = pa.array(np.r_[0, np.cumsum(per_doc)].astype(np.int32))
-                inner = pa.StructArray.from_arrays([pa.array(number), lists(tokens, size, pa.int64())], ["block", "words"])
+                inner = pa.StructArray.from_arrays([pa.array(number[order]), pa.array(length[order]), lists(tokens, size[order], pa.int64())], ["block", "length", "words"])
                 p_off = pa.array(np.r_[0, np.cumsum(p_n)].astype(np.int32))
                 labels = pa.array([wanted[i][1] for i in p_label[by]], pa.string())
                 p_inner = pa.StructArray.from_arrays([labels, pa.array(p_at[by])], ["label", "start"])
@@ -137,19 +173,19 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                     ["id", "h", "n_words", "places", "blocks"],
                 )
 
-    scanned = stage(rows.mapInArrow(scan, f"id {kind}, h long, n_words long, places array<struct<label:string,start:long>>, blocks array<struct<block:long,words:array<long>>>"))
-    sides = spark.createDataFrame([(i, label, s, o) for i, ((label, _), s, o) in enumerate(zip(templates, ordered, needs, strict=True))], "template int, label string, t array<long>, o int")
-    probes = sides.select("template", "label", "t", "o", F.posexplode(F.slice("t", F.lit(1), F.size("t") - F.col("o") + 1)).alias("i", "word"))
-    blocks = scanned.where("size(blocks) > 0").select("id", "h", F.explode("blocks").alias("b")).select("id", "h", "b.block", "b.words")
-    pairs = blocks.select("id", "h", "block", "words", F.posexplode("words").alias("j", "word")).join(F.broadcast(probes), "word")  # the templates are a bounded parameter
+    scanned = stage(rows.mapInArrow(scan, f"id {kind}, h long, n_words long, places array<struct<label:string,start:long>>, blocks array<struct<block:long,length:long,words:array<long>>>"))
+    sides = spark.createDataFrame([(i, label, s, o, len(t.split())) for i, ((label, t), s, o) in enumerate(zip(templates, ordered, needs, strict=True))], "template int, label string, t array<long>, o int, n long")
+    probes = sides.select("template", "label", "t", "o", "n", F.posexplode(F.slice("t", F.lit(1), F.size("t") - F.col("o") + 1)).alias("i", "word"))
+    blocks = scanned.where("size(blocks) > 0").select("id", "h", F.explode("blocks").alias("b")).select("id", "h", "b.block", "b.length", "b.words")
+    pairs = blocks.select("id", "h", "block", "length", "words", F.posexplode("words").alias("j", "word")).join(F.broadcast(probes), "word")  # the templates are a bounded parameter
     # i and j are the places of the shared word; of the words before it in the template, each may or may not be shared
+    pairs = pairs.where((F.col("length") == 0) | (F.col("length") == F.col("n")))
     pairs = pairs.where((F.size("words") >= F.col("o")) & (F.least("i", "j") + F.least(F.size("t") - F.col("i"), F.size("words") - F.col("j")) >= F.col("o")))
     common = F.size(F.array_intersect("words", "t"))
     pairs = pairs.withColumn("common", common).where("common >= o")
     found = pairs.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("block", "template", "label", (F.col("common") / F.size("t")).alias("containment")))).alias("found"))
     found = stage(found).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "found")
-    small = found.limit(500_001).count() <= 500_000
-    out = scanned.drop("blocks").join(F.broadcast(found) if small else found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    out = scanned.drop("blocks").join(F.broadcast(found) if is_small(found) else found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     empty = F.array().cast("array<struct<block:bigint,template:int,label:string,containment:double>>")
     return out.select(F.col("id").alias(id_col), "n_words", "places", F.coalesce("found", empty).alias("found"))
 

@@ -148,7 +148,7 @@ def stacked(images: np.ndarray) -> dict[str, np.ndarray]:
     base = images.astype(np.float32)
     _, height, width = base.shape
     most = max(CORNERS, CORNERS * height * width // AREA)
-    found: list[tuple] = []
+    levels, corners = [], []
     for k in range(LEVELS):
         scale = 2 ** (k / 2)
         h, w = round(height / scale), round(width / scale)
@@ -158,21 +158,33 @@ def stacked(images: np.ndarray) -> dict[str, np.ndarray]:
         gy, gx = np.gradient(level, axis=(1, 2))
         xx, yy, xy = (_blur(_blur(v)) for v in (gx * gx, gy * gy, gx * gy))
         response = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        best = response
-        for axis in (1, 2):
-            best = np.maximum(best, np.maximum(np.roll(best, 1, axis), np.roll(best, -1, axis)))
-        ok = (response >= best) & (response > 1)
-        ok[:, :BORDER], ok[:, -BORDER:], ok[:, :, :BORDER], ok[:, :, -BORDER:] = False, False, False, False
+        inner = response[:, BORDER:-BORDER, BORDER:-BORDER]
+        ok = inner > 1
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                ok &= inner >= response[:, BORDER + dy : h - BORDER + dy, BORDER + dx : w - BORDER + dx]
         i, y, x = np.nonzero(ok)
+        y, x = y + BORDER, x + BORDER
         order = np.lexsort((-response[i, y, x], i))
         i, y, x = i[order], y[order], x[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = rank < most
-        i, y, x, rank = i[keep], y[keep], x[keep], rank[keep]
         dx, dy = _peak(response[i, y, x - 1], response[i, y, x], response[i, y, x + 1]), _peak(response[i, y - 1, x], response[i, y, x], response[i, y + 1, x])
-        smooth = _blur(_blur(level))
-        for lo in range(0, len(i), 1024):
-            a, b, c, ex, ey = (v[lo : lo + 1024] for v in (i, y, x, dx, dy))
+        levels.append(_blur(_blur(level)))
+        corners.append((i, x, y, dx, dy, np.full(len(i), k), (rank + 1) * scale))
+    names = ("image", "x", "y", "scale", "angle", "lo", "hi")
+    if not corners:
+        return {n: np.zeros(0, np.int64) for n in names}
+    i, x, y, dx, dy, k, place = map(np.concatenate, zip(*corners, strict=True))
+    order = np.lexsort((place, i))
+    order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order]) < most]
+    i, x, y, dx, dy, k = (v[order] for v in (i, x, y, dx, dy, k))
+    out = {"image": i, "x": np.zeros(len(i)), "y": np.zeros(len(i)), "scale": 2 ** (k / 2), "angle": np.zeros(len(i)), "lo": np.zeros(len(i), np.int64), "hi": np.zeros(len(i), np.int64)}
+    for at, smooth in enumerate(levels):
+        _, h, w = smooth.shape
+        mine = np.flatnonzero(k == at)
+        for lo in range(0, len(mine), 1024):
+            own = mine[lo : lo + 1024]
+            a, b, c, ex, ey = (v[own] for v in (i, y, x, dx, dy))
             disc = smooth[a[:, None], b[:, None] + ROUND[:, 1], c[:, None] + ROUND[:, 0]]
             angle = np.arctan2(disc @ ROUND[:, 1], disc @ ROUND[:, 0])
             cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
@@ -183,12 +195,9 @@ def stacked(images: np.ndarray) -> dict[str, np.ndarray]:
             upper, lower = (smooth[n, y0 + d, x0] * (1 - fx) + smooth[n, y0 + d, x0 + 1] * fx for d in (0, 1))
             value = upper * (1 - fy) + lower * fy
             bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1).view(">i8").astype(np.int64)
-            found.append((a, (c + ex + 0.5) * width / w - 0.5, (b + ey + 0.5) * height / h - 0.5, np.full(len(a), scale), angle, bits[:, 0], bits[:, 1], (rank[lo : lo + 1024] + 1) * scale))
-    names = ("image", "x", "y", "scale", "angle", "lo", "hi", "order")
-    out = {n: np.concatenate(v) for n, v in zip(names, zip(*found, strict=True), strict=True)} if found else {n: np.zeros(0, np.int64) for n in names}
-    order = np.lexsort((out["order"], out["image"]))
-    order = order[np.arange(len(order)) - np.searchsorted(out["image"][order], out["image"][order]) < most]
-    return {n: v[order] for n, v in out.items() if n != "order"}
+            for name, v in zip(names[1:], ((c + ex + 0.5) * width / w - 0.5, (b + ey + 0.5) * height / h - 0.5, out["scale"][own], angle, bits[:, 0], bits[:, 1]), strict=True):
+                out[name][own] = v
+    return out
 
 
 def descriptors(pixels: np.ndarray) -> list[dict]:

@@ -7,7 +7,8 @@ once more until the words are used up; the last one gives its first words only.
 target exactly, and no document exceeds ceil(e) <= max_epochs times its size.
 
 Cases: null text has size 0 and is never taken; null source is a source of its own, the last; identical rows share
-their extra words evenly (rounded down); an empty table gives an empty result; other columns stay as they are.
+their extra words evenly (rounded down); an empty table gives an empty result; other columns stay as they are, but
+mixed() replaces those that are named like its results (repeat_rows() keeps them).
 Sources are ranked by a range-partitioned count, documents by hash buckets; no source is ordered in one task.
 """
 
@@ -17,9 +18,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .spark_tools import dense_index, join_checked, stage, table
+from .spark_tools import dense_index, is_small, join_checked, stage, table
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
 #: About so many documents are in each hash bucket; there are at most MOST_BUCKETS for a source.
 BUCKET_ROWS, MOST_BUCKETS = 512, 65536
 
@@ -33,12 +34,12 @@ class Mix:
 
 
 def _prepared(docs: DataFrame, buckets: int, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    return docs.withColumns(
-        {
-            "_key": F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")),
-            "_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
-            "_h": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)),
-        }
+    return docs.select(
+        F.struct("*").alias("_row"),
+        F.col(id_col).alias("_id"),
+        F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")).alias("_key"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"),
     ).withColumn("_b", F.pmod("_h", F.lit(buckets)))
 
 
@@ -62,7 +63,7 @@ def water_level(sources: DataFrame, total: float) -> float:
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_epochs: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     """weights are given to the sources in code-point order, again and again; share: the mix's words over all words."""
     options = {"id_col": id_col, "text_col": text_col, "source_col": source_col, "seed": seed}
-    rows = stage(_prepared(docs, 1, **options).select("_key", F.col(id_col).alias("_id"), "_size", "_h"))
+    rows = stage(_prepared(docs, 1, **options).select("_key", "_id", "_size", "_h"))
     n = rows.count()
     buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
     rows = rows.withColumn("_b", F.pmod("_h", F.lit(buckets)))
@@ -99,14 +100,13 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     """docs with size, source_size, target, whole (times taken), part (words taken beside) and taken (words in all)."""
     o = mix.options
-    rows = _prepared(docs, mix.buckets, **o).withColumn("_id", F.col(o["id_col"]))
+    rows = _prepared(docs, mix.buckets, **o)
     rows = join_checked(rows, mix.sources, ["_key"], "left")
     ends = mix.edges.select(F.col("_h").alias("_eh"), F.col("_id").alias("_eid"), "_edge_size", "_part")
-    small = ends.limit(500_001).count() <= 500_000
-    rows = rows.join(F.broadcast(ends) if small else ends, (F.col("_h") == F.col("_eh")) & F.col("_id").eqNullSafe(F.col("_eid")) & (F.col("_size") == F.col("_edge_size")) & (F.col("_b") == F.col("_edge")), "left")
+    rows = rows.join(F.broadcast(ends) if is_small(ends) else ends, (F.col("_h") == F.col("_eh")) & F.col("_id").eqNullSafe(F.col("_eid")) & (F.col("_size") == F.col("_edge_size")) & (F.col("_b") == F.col("_edge")), "left")
     part = F.when(F.col("_b") < F.col("_edge"), F.col("_size")).otherwise(F.coalesce("_part", F.lit(0)))
     return rows.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "whole", "part", "taken")],
+        *[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("size", "source_size", "target", "whole", "part", "taken")],
         F.col("_size").alias("size"), "source_size", "target", F.col("_whole").alias("whole"), part.cast("long").alias("part"),
         (F.col("_whole") * F.col("_size") + part).cast("long").alias("taken"),
     )
@@ -117,13 +117,14 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 
 def repeat_rows(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with docs' columns; a part has the text's first words."""
-    m = mixed(docs.select(F.struct("*").alias("_row"), *[F.col(options.get(k, d)) for k, d in (("id_col", "doc_id"), ("source_col", "source"))], F.col(text_col)), plan_mix(docs, text_col=text_col, **options))
+    """The mix itself: each document as often as it is taken, with docs' columns; a part has the text up to the end of its
+    last word."""
+    m = mixed(docs.select(F.struct("*").alias("_docs"), *[F.col(options.get(k, d)) for k, d in (("id_col", "doc_id"), ("source_col", "source"))], F.col(text_col)), plan_mix(docs, text_col=text_col, **options))
     copies = F.col("whole") + F.when(F.col("part") == F.col("size"), F.sign("part")).otherwise(0)
-    whole = m.where(copies > 0).select("_row", F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("_copy")).select("_row.*")
-    cut = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, '([^\\\\x20\\\\x09-\\\\x0D]+)', 1), 1, cast(part as int)), ' ')")
-    part = m.where("part > 0 and part < size").withColumn("_cut", cut)
-    return whole.unionByName(part.select("_row.*", "_cut").withColumn(text_col, F.col("_cut")).drop("_cut"))
+    whole = m.where(copies > 0).select("_docs", F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("_copy")).select("_docs.*")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({SPACE}{WORD})"), 1), F.lit(1), F.col("part").cast("int")), "")
+    part = m.where("part > 0 and part < size").select("_docs", cut.alias("_cut")).select(*[F.col("_cut").alias(c) if c == text_col else F.col("_docs").getField(c).alias(c) for c in docs.columns])
+    return whole.unionByName(part)
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -7,9 +7,12 @@
 3. Signature trees find what is left. Every linking pair shares a shingle among the first n - ceil(0.8 n) + 1 of
    either set in one global order (frequent shingles last), so each such shingle is the root of a tree over the
    documents that have it there. A root whose documents are all in one component is pruned by a map-side
-   aggregate. Below the others, nodes are size classes and leaves of up to LEAF documents with OR-combined token
-   bitmaps, size ranges and component ranges. Pairs of nodes are pruned if sizes, components or the largest overlap
-   that the bitmaps permit rule out a link; then pairs of documents in the surviving leaf pairs, alike.
+   aggregate. Below the others come size classes, two levels by the documents' smallest shingle hash, which brings
+   similar ones together, and levels of FAN children each down to leaves of about LEAF documents. Every node has its
+   documents' OR-combined token bitmap, size range and component range. The traversal goes down level by level: the
+   pairs of children of surviving pairs of nodes are joined, and pruned if sizes, components or the largest overlap
+   that the bitmaps permit rule out a link; at the leaves, pairs of documents alike. A root with up to LEAF documents
+   is a leaf.
 4. Surviving pairs are verified on whole texts; the rest is connected components.
 
 Nothing is approximate: bands only save work, step 3 misses no pair of different components.
@@ -35,6 +38,8 @@ SHINGLE, PERCENT = 5, 80
 BANDS, SEGMENTS = 8, 16
 #: 64-bit words of a node's bitmap and least ones of a document's, bits that a document's has for each shingle; documents in a leaf.
 BITMAP, DENSITY, LEAF = 16, 4, 32
+#: Bits of a path that one level of a tree takes (FAN is 8), those that come from the smallest shingle, and all.
+LEVEL_BITS, LIKE_BITS, PATH_BITS = 3, 6, 45
 #: A shingle counts as frequent from so many occurrences on; that only changes the order. At most MOST_FREQUENT are told apart.
 FREQUENT, MOST_FREQUENT = 100, 200_000
 #: Shingles that a task sorts at once to find recurring ones, and the least count that it reports.
@@ -106,7 +111,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, frequent, wanted=None) -> DataFrame:
-    """(doc_id, n, prefix[, places, bits, node]): the first shingles of each set in the global order.
+    """(doc_id, n, prefix[, places, bits, node, smallest]): the first shingles of each set in the global order.
 
     frequent: broadcast (sorted shingles, places in the order); wanted: broadcast bit filter over shingles to which the
     prefix is restricted; then documents without any are left out and the others have their bitmaps.
@@ -152,13 +157,14 @@ def _prefixes(docs: DataFrame, k: int, percent: int, frequent, wanted=None) -> D
                 node = np.zeros((len(has), BITMAP), np.uint64)
                 np.bitwise_or.at(node, (np.repeat(np.arange(len(has)), size), (np.arange(len(bits)) - np.repeat(base[:-1], size)) % BITMAP), bits)
                 per = np.bincount(of[pt], minlength=len(has))
+                smallest = s[first[has]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, rows).take(pa.array(has)), pa.array(n[has]), lists(ps.view(np.int64), per, pa.int64()), lists(pos, per, pa.int64()), lists(bits.view(np.int64), size, pa.int64()), lists(node.view(np.int64).ravel(), np.full(len(has), BITMAP), pa.int64())],
-                    ["doc_id", "n", "prefix", "places", "bits", "node"],
+                    [batch.column(0).slice(lo, rows).take(pa.array(has)), pa.array(n[has]), lists(ps.view(np.int64), per, pa.int64()), lists(pos, per, pa.int64()), lists(bits.view(np.int64), size, pa.int64()), lists(node.view(np.int64).ravel(), np.full(len(has), BITMAP), pa.int64()), pa.array(smallest.view(np.int64))],
+                    ["doc_id", "n", "prefix", "places", "bits", "node", "smallest"],
                 )
         released()
 
-    return docs.mapInArrow(scan, "doc_id long, n long, prefix array<long>" + (", places array<long>, bits array<long>, node array<long>" if wanted is not None else ""))
+    return docs.mapInArrow(scan, "doc_id long, n long, prefix array<long>" + (", places array<long>, bits array<long>, node array<long>, smallest long" if wanted is not None else ""))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -199,37 +205,73 @@ def _bit_count(a: Column, b: Column | None = None) -> Column:
 
 
 def _tree_pairs(rows: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) from rows (key, pos, doc_id, comp, n), by dual traversal of each key's tree.
+    """Candidate pairs (a, b) from staged rows (key, pos, doc_id, comp, n), by dual traversal of each key's tree.
 
     pos: the key's place in the document's order; a linking pair passes the test of places at its first common key.
-
-    bits: (doc_id, bits, node), a document's bitmap and the same folded to a node's size. Pairs are made by sizes and components first, once for all keys that they share; then they
-    meet their bitmaps.
+    bits: (doc_id, bits, node, smallest), a document's bitmap, the same folded to a node's size, and its smallest shingle.
+    Pairs are made by sizes and components first, once for all keys that they share; then they meet their bitmaps.
     """
     # sizes of linking sets differ by at most this factor; a class holds sizes within it
     ratio = percent / 100
     share = ratio / (1 + ratio)
-    place = ["key", "class", "leaf"]
-    rows = rows.withColumn("class", F.floor(-F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))).cast("int"))
-    large = stage(rows.groupBy("key", "class").agg(F.count("*").alias("m")).where(F.col("m") > LEAF).select("key", "class", F.ceil(F.col("m") / LEAF).alias("leaves")))
-    rows = join_checked(rows, large, ["key", "class"]).withColumn("leaf", F.when(F.col("leaves").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), "leaves")))
-    rows = stage(rows)
-    node = rows.groupBy(*place).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.collect_list(F.struct("doc_id", "comp", "n", "pos")).alias("docs"))
-    # only classes of several leaves have bitmaps to prune by; the others' pairs are few
-    filled = rows.where("leaves is not null").join(bits, "doc_id").groupBy(*place).agg(F.array(*[F.bit_or(F.col("node")[i]) for i in range(BITMAP)]).alias("union"), F.min(_bit_count(F.col("node"))).alias("b0"))
-    node = stage(join_checked(node, stage(filled), place))
-    x, y = node.alias("x"), node.alias("y")
-
-    def fits(p: str, q: str) -> Column:
-        """Documents of p and q may have bitmaps that overlap enough: |a - b| is at most (1 - share) |a| - share |b|."""
-        missing = (1 - share) * F.col(f"{p}.hi") - share * F.col(f"{q}.lo")
-        return F.coalesce(_bit_count(F.col(f"{p}.union"), F.col(f"{q}.union")) >= F.col(f"{p}.b0") - missing, F.lit(True))
-
-    order = F.struct("x.class", "x.leaf") <= F.struct("y.class", "y.leaf")
-    near = (F.col("y.class") - F.col("x.class") <= 1) & (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
-    apart = (F.col("x.c0") != F.col("x.c1")) | (F.col("y.c0") != F.col("y.c1")) | (F.col("x.c0") != F.col("y.c0"))
-    own = (F.col("x.class") == F.col("y.class")) & (F.col("x.leaf") == F.col("y.leaf"))
-    nodes = x.hint("merge").join(y, (F.col("x.key") == F.col("y.key")) & order & near & apart & fits("x", "y") & fits("y", "x"))
+    document = F.struct("doc_id", "comp", "n", "pos")
+    large = stage(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LEAF).select("key"))
+    leaves = [join_checked(rows, large, ["key"], "left_anti").select("key", F.lit(-1).cast("long").alias("id"), document.alias("doc"))]
+    pairs = [leaves[0].select("key", "id", F.col("id").alias("other")).distinct()]
+    if not large.isEmpty():
+        many = join_checked(rows, large, ["key"], "inner").join(bits.select("doc_id", "node", "smallest"), "doc_id")
+        # a path: the size class, bits of the smallest shingle, bits of the document
+        like = F.shiftrightunsigned(F.xxhash64("smallest"), 64 - LIKE_BITS)
+        many = many.withColumn("class", F.floor(-F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))).cast("long"))
+        many = many.withColumn("path", F.shiftleft(like, PATH_BITS - LIKE_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - PATH_BITS + LIKE_BITS)))
+        many = stage(many.withColumn("like", like))
+        # a tree is as deep as its fullest part needs
+        full = many.groupBy("key", "class", "like").agg(F.count("*").alias("m")).groupBy("key").agg(F.max("m").alias("m"))
+        levels = LIKE_BITS // LEVEL_BITS + F.greatest(F.lit(0), F.ceil(F.log(F.col("m") / F.lit(float(LEAF))) / F.log(F.lit(2.0**LEVEL_BITS))))
+        depth = stage(full.select("key", F.least(levels, F.lit(PATH_BITS // LEVEL_BITS)).cast("int").alias("depth")))
+        deepest = depth.agg(F.max("depth")).first()[0]
+        many = join_checked(many, depth, ["key"], "inner").withColumn("id", F.expr(f"shiftleft(class, {PATH_BITS}) | shiftrightunsigned(path, {PATH_BITS} - {LEVEL_BITS} * depth)"))
+        leaves.append(many.select("key", "id", document.alias("doc")))
+        ranges = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.array(*[F.bit_or(F.col("bits")[i]) for i in range(BITMAP)]).alias("bits"), F.min("b0").alias("b0")]
+        own = many.select("key", "id", "depth", F.lit(0).alias("up"), F.col("n").alias("lo"), F.col("n").alias("hi"), F.col("comp").alias("c0"), F.col("comp").alias("c1"), F.col("node").alias("bits"), _bit_count(F.col("node")).alias("b0"))
+        level = stage(own.groupBy("key", "id", "depth", "up").agg(*ranges))
+        nodes = [level]
+        for _ in range(deepest):  # up to the size classes
+            mask = F.expr(f"shiftleft(shiftrightunsigned(id, {PATH_BITS}), {PATH_BITS}) | shiftrightunsigned(id & {(1 << PATH_BITS) - 1}L, {LEVEL_BITS})")
+            level = stage(level.where("up < depth").withColumns({"id": mask, "up": F.col("up") + 1}).groupBy("key", "id", "depth", "up").agg(*ranges))
+            nodes.append(level)
+        tree = nodes[0]
+        for level in nodes[1:]:
+            tree = tree.union(level)
+        tree = tree.withColumn("parent", F.expr(f"shiftleft(shiftrightunsigned(id, {PATH_BITS}), {PATH_BITS}) | shiftrightunsigned(id & {(1 << PATH_BITS) - 1}L, {LEVEL_BITS})")).withColumn("level", F.col("depth") - F.col("up"))
+        kept = ("id", "lo", "hi", "c0", "c1", "bits", "b0")
+        node = lambda name: F.struct(*kept).alias(name)
+
+        def fits(p: str, q: str) -> Column:
+            """Documents of p and q may have bitmaps that overlap enough: |a - b| is at most (1 - share) |a| - share |b|."""
+            missing = (1 - share) * F.col(f"{p}.hi") - share * F.col(f"{q}.lo")
+            return _bit_count(F.col(f"{p}.bits"), F.col(f"{q}.bits")) >= F.col(f"{p}.b0") - missing
+
+        near = (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
+        apart = (F.col("x.c0") != F.col("x.c1")) | (F.col("y.c0") != F.col("y.c1")) | (F.col("x.c0") != F.col("y.c0"))
+        linkable = (F.col("x.id") <= F.col("y.id")) & near & apart & fits("x", "y") & fits("y", "x")
+        at = tree.where("level = 0")
+        front = stage(at.select("key", "depth", node("x")).hint("merge").join(at.select("key", node("y")).hint("merge"), "key").where(linkable).select("key", "depth", F.col("x.id").alias("id"), F.col("y.id").alias("other")))
+        for k in range(1, deepest + 1):
+            below = tree.where(F.col("level") == k)
+            front = front.where(F.col("depth") >= k).hint("merge").join(below.select("key", F.col("parent").alias("id"), node("x")).hint("merge"), ["key", "id"])
+            front = front.hint("merge").join(below.select("key", F.col("parent").alias("other"), node("y")).hint("merge"), ["key", "other"]).where(linkable)
+            front = stage(front.select("key", "depth", F.col("x.id").alias("id"), F.col("y.id").alias("other")))
+            pairs.append(front.where(F.col("depth") == k).select("key", "id", "other"))
+    leaf, nodes = leaves[0], pairs[0]
+    for more in leaves[1:]:
+        leaf = leaf.union(more)
+    for more in pairs[1:]:
+        nodes = nodes.union(more)
+    leaf = stage(leaf.groupBy("key", "id").agg(F.collect_list("doc").alias("docs")))
+    own = F.col("id") == F.col("other")
+    nodes = nodes.hint("merge").join(leaf.select("key", "id", F.col("docs").alias("x")), ["key", "id"]).hint("merge").join(leaf.select("key", F.col("id").alias("other"), F.col("docs").alias("y")), ["key", "other"])
+    nodes = nodes.select(own.alias("own"), "x", "y")
 
     def sized(p: Column, q: Column) -> Column:
         # where the key is the first common shingle, all common ones stand from it on in both orders
@@ -237,7 +279,7 @@ def _tree_pairs(rows: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
         return (p["comp"] != q["comp"]) & (~F.col("own") | (p["doc_id"] < q["doc_id"])) & (left * (100 + percent) >= (p["n"] + q["n"]) * percent)
 
     pair = lambda p, q: F.struct(F.least(p["doc_id"], q["doc_id"]).alias("a"), F.greatest(p["doc_id"], q["doc_id"]).alias("b"), F.when(p["doc_id"] < q["doc_id"], p["n"]).otherwise(q["n"]).alias("na"), F.when(p["doc_id"] < q["doc_id"], q["n"]).otherwise(p["n"]).alias("nb"))
-    found = nodes.select(own.alias("own"), F.col("x.docs").alias("p"), F.col("y.docs").alias("q"))
+    found = nodes.select("own", F.col("x").alias("p"), F.col("y").alias("q"))
     found = found.select(F.explode(F.flatten(F.transform("p", lambda a: F.transform(F.filter("q", lambda b: sized(a, b)), lambda b: pair(a, b))))).alias("e"))
     found = found.select("e.a", "e.b", "e.na", "e.nb").distinct()
     found = found.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("p")), "a").join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("q")), "b")
@@ -260,8 +302,11 @@ def _bit_filter(keys: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs, which is read several times and so best a stored table."""
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, stars: bool = True) -> DataFrame:
+    """(id, n_shingles, component_id) for each row of docs, which is read several times and so best a stored table.
+
+    Without stars the trees make all links but those of equal sets; the result is the same.
+    """
     spark = docs.sparkSession
     docs = _texts(docs, id_col, text_col)
     scanned = stage(_signatures(docs, k))
@@ -280,11 +325,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     # 2. stars
-    banded = sets.where(F.col("n") >= _least(percent)).select("rep", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("band", "hub")
-    stars = banded.hint("merge").join(hubs, "band").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("m"))
-    stars = stage(stars.groupBy("rep").agg(F.max_by("hub", F.struct("m", -F.col("hub"))).alias("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    known = copies.union(verified(docs, stars, k, percent))
+    if stars:
+        banded = sets.where(F.col("n") >= _least(percent)).select("rep", F.explode("bands").alias("band"))
+        hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("band", "hub")
+        hubbed = banded.hint("merge").join(hubs, "band").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("m"))
+        hubbed = stage(hubbed.groupBy("rep").agg(F.max_by("hub", F.struct("m", -F.col("hub"))).alias("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    known = copies.union(verified(docs, hubbed, k, percent)) if stars else copies
     comps = components(known, "a", "b")
     comps = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
 
@@ -303,7 +349,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = near.select("doc_id", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("doc_id", "n", F.col("p.prefix").alias("key"), F.col("p.places").alias("pos")).hint("merge").join(roots, "key", "left_semi")
         extra = stage(copies.select(F.col("a").alias("doc_id")).distinct())
         rows = with_comp(join_checked(rows, extra, ["doc_id"], "left_anti")).select("key", "pos", "doc_id", "comp", "n").distinct()
-        links = verified(docs, stage(_tree_pairs(stage(rows), near.select("doc_id", "bits", "node").dropDuplicates(["doc_id"]), percent)), k, percent)
+        links = verified(docs, stage(_tree_pairs(stage(rows), near.select("doc_id", "bits", "node", "smallest").dropDuplicates(["doc_id"]), percent)), k, percent)
         linked = with_comp(links.select(F.col("a").alias("doc_id"), "b")).select(F.col("comp").alias("a"), F.col("b").alias("doc_id"))
         linked = with_comp(linked).select("a", F.col("comp").alias("b"))
         merged = components(linked, "a", "b").select(F.col("node").alias("comp"), F.col("component").alias("to"))

@@ -4,28 +4,51 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-#: A side with at most this many rows may be broadcast; beyond it the joins shuffle.
-BROADCAST_ROWS = 500_000
+#: A side with at most so many rows and bytes may be broadcast; beyond it the joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: spark.checkpoint.dir, or in a local session without it a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    name = spark.sparkContext.applicationId
+    if name not in _LOCAL:
+        _LOCAL[name] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[name]
+
+
+#: Temporary folders of local sessions; staged tables to delete, for each temporary_tables() that is open.
+_LOCAL: dict[str, str] = {}
+_STAGED: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside are deleted at the end, so results must be written before."""
+    _STAGED.append([])
+    try:
+        yield
+    finally:
+        for path in _STAGED.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if _STAGED:
+        _STAGED[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,10 +70,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def _width(field: T.StructField) -> Column:
+    """About the bytes that a column takes in memory."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.MapType)):
+        return F.greatest(F.size(c), F.lit(0)) * 16 + 16
+    return F.lit(32 if isinstance(field.dataType, T.StructType) else 8)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """A staged table has at most so many rows and bytes; it looks at one row more at most."""
+    found = df.select(sum(map(_width, df.schema), F.lit(0)).cast("long").alias("width")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("width"), F.lit(0))).first()
+    return found[0] <= rows and found[1] <= size
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a staged right side: broadcast if it has few rows, else shuffled (AQE splits skewed keys)."""
-    small = right.limit(rows + 1).count() <= rows
-    return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
+    """Join with a staged right side: broadcast if it is small, else shuffled (AQE splits skewed keys)."""
+    return left.join(F.broadcast(right) if is_small(right, rows) else right.hint("merge"), on, how)
 
 
 def dense_index(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -1,18 +1,22 @@
 """Vectorized text helpers for Arrow batches: word bounds, word hashes and shingles over the raw UTF-8 bytes.
 
 Everything works on slices of about a megabyte, so memory does not depend on the batch size; a longer text is a
-slice of its own. Hashes are 64-bit: equal words have equal hashes; unequal ones collide with chance 2^-64.
+slice of its own. Hashes are 64-bit: equal words have equal hashes; unequal ones collide by chance only, of about 2^-64.
+Sums of powers modulo 2^64 have known collisions among words of about a thousand bytes, so words of LONG bytes and more
+have a BLAKE2 hash instead.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+LONG = 128
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -96,7 +100,10 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTES[raw] * up[: len(raw)], out=total[1:])
     h = (total[end] - total[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(end - start >= LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(LOWER[raw[start[i] : end[i]]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def hash_of(word: str) -> int:

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .spark_tools import stage, table, text_batches
@@ -31,9 +32,9 @@ from .text_kernels import ALNUM, lists, released, slices, word_hashes, words
 #: Bound of the sample that is learned from; chi-squared and rows that a word needs to weigh more than FLOOR.
 FIT_ROWS, CHI2, LEAST_ROWS, FLOOR = 20_000, 15.0, 4, 0.01
 K, BLOCK, SHARPNESS, PRIOR_VOTES = 10, 64, 4.0, 0.5
-#: A term has blocks if more than one of so many examples has it; texts that are searched together, and
+#: A term has blocks if more than one of so many examples has it; blocks that are visited first; texts that are searched together, and
 #: those of them with one product; results that a worker keeps for equal texts.
-COMMON, TOGETHER, GROUP, KEPT = 24, 256, 32, 5_000
+COMMON, FIRST, TOGETHER, GROUP, KEPT = 12, 4, 256, 64, 5_000
 THRESHOLD = 0.3
 
 
@@ -42,23 +43,51 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _counted(column: pa.Array, vocabulary: np.ndarray | None = None) -> Iterator[tuple]:
+class Vocabulary:
+    """Sorted word hashes, with the place where each value of their first bits begins."""
+
+    BITS = 20
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.begin = np.searchsorted(words, np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS)).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.words):
+            return out
+        at, left = self.begin[(h >> np.uint64(64 - self.BITS)).astype(np.int64)].astype(np.int64), np.arange(len(h))
+        while len(left):
+            word = self.words[np.minimum(at, len(self.words) - 1)]
+            hit = word == h
+            out[left[hit]] = at[hit]
+            more = (word < h) & (at < len(self.words) - 1)
+            at, left, h = at[more] + 1, left[more], h[more]
+        return out
+
+
+def _counted(column: pa.Array, vocabulary: Vocabulary | None = None) -> Iterator[tuple]:
     """(first row, row after the last, row, word, count) for each slice of a text column, by row and word.
 
-    A word is its hash, or its place in the sorted vocabulary; then words that it lacks are left out.
+    A word is its hash, or its place in the vocabulary; then words that it lacks are left out.
     """
     for lo, hi, raw, off in slices(column):
         start, end, bounds = words(raw, off, ALNUM)
-        h = word_hashes(raw, start, end)
+        word = word_hashes(raw, start, end)
         row = np.repeat(np.arange(hi - lo), np.diff(bounds))
-        if vocabulary is not None:
-            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1) if len(vocabulary) else np.zeros(0, np.int64)
-            hit = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
-            row, h = row[hit], at[hit] if len(vocabulary) else h[:0].astype(np.int64)
-        order = np.lexsort((h, row))
-        row, h = row[order], h[order]
-        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
-        yield lo, hi, row[first], h[first], np.diff(np.r_[first, len(h)])
+        if vocabulary is None:
+            order = np.lexsort((word, row))
+            row, word = row[order], word[order]
+        else:
+            at = vocabulary.places(word)
+            code = np.sort(row[at >= 0] * max(1, len(vocabulary)) + at[at >= 0])
+            row, word = np.divmod(code, max(1, len(vocabulary)))
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])]) if len(word) else np.zeros(0, np.int64)
+        yield lo, hi, row[first], word[first], np.diff(np.r_[first, len(word)])
 
 
 def _examples(fit: DataFrame) -> pa.Table:
@@ -71,10 +100,11 @@ def _examples(fit: DataFrame) -> pa.Table:
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in (0, 1)], lists(word.view(np.int64), per, pa.int64()), lists(n, per, pa.int32())], ["id", "toxic", "words", "counts"])
 
     schema = T.StructType([*fit.schema.fields[:2], T.StructField("words", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
-    return fit.mapInArrow(scan, schema).toArrow().combine_chunks()
+    # by id, so that equal samples give equal indexes
+    return fit.mapInArrow(scan, schema).toArrow().combine_chunks().sort_by("id")
 
 
-def _document_counts(texts: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
+def _document_counts(texts: DataFrame, vocabulary: Broadcast) -> tuple[np.ndarray, int]:
     """In how many texts each word of the broadcast vocabulary is, and the number of texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +125,24 @@ def _document_counts(texts: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
     return out, int(n[word < 0].sum())
 
 
+def _distinct(term: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> tuple[list[list[int]], list[int]]:
+    """The examples of each different vector, and those without a word."""
+    kinds: dict[int, list[int]] = {}
+    for i in range(len(ends) - 1):
+        own = slice(ends[i], ends[i + 1])
+        kinds.setdefault(hash((term[own].tobytes(), counts[own].tobytes())), []).append(i)
+    groups: list[list[int]] = []
+    for same in kinds.values():
+        rest = same
+        while rest:  # those that only share a hash are told apart
+            first = slice(ends[rest[0]], ends[rest[0] + 1])
+            alike = [i for i in rest if np.array_equal(term[ends[i] : ends[i + 1]], term[first]) and np.array_equal(counts[ends[i] : ends[i + 1]], counts[first])]
+            groups.append(alike)
+            done = set(alike)
+            rest = [i for i in rest if i not in done]
+    return [g for g in groups if ends[g[0] + 1] > ends[g[0]]], [i for g in groups if ends[g[0] + 1] == ends[g[0]] for i in g]
+
+
 class BlockMaxIndex:
     """Postings of unit vectors by term; nearest() gives the k nearest rows exactly."""
 
@@ -120,17 +168,20 @@ class BlockMaxIndex:
         self.dense[self.column[term[common]], row[common] // block, row[common] % block] = weight[common]
         self.most = self.dense.max(2)
         order = np.lexsort((row[~common], term[~common]))
-        self.row, self.weight = row[~common][order].astype(np.int32), weight[~common][order].astype(np.float32)
-        self.start = np.r_[0, np.cumsum(np.where(often, 0, size))]
+        # a posting is a row and the weight's bits, side by side
+        self.postings = np.empty((len(order), 2), np.int32)
+        self.postings[:, 0] = row[~common][order]
+        self.postings[:, 1] = weight[~common][order].astype(np.float32).view(np.int32)
+        self.start = np.r_[0, np.cumsum(np.where(often, 0, size))].astype(np.int32)
 
     def _rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What the rarer terms add to each row, by block."""
         if not len(terms):
             return np.zeros((self.blocks, self.block), np.float32)
-        ranges = list(map(slice, self.start[terms].tolist(), self.start[terms + 1].tolist()))
-        row = np.concatenate([self.row[r] for r in ranges])
-        added = np.concatenate([self.weight[r] for r in ranges]) * np.repeat(weights.astype(np.float32), self.start[terms + 1] - self.start[terms])
-        return np.bincount(row, added, self.blocks * self.block).astype(np.float32).reshape(self.blocks, self.block)
+        lo, hi = self.start[terms], self.start[terms + 1]
+        found = np.concatenate(list(map(self.postings.__getitem__, map(slice, lo.tolist(), hi.tolist()))))
+        added = np.ascontiguousarray(found[:, 1]).view(np.float32) * np.repeat(weights.astype(np.float32), hi - lo)
+        return np.bincount(found[:, 0], added, self.blocks * self.block).astype(np.float32).reshape(self.blocks, self.block)
 
     def _best(self, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         best = np.lexsort((rows, -scores))[:k]
@@ -154,11 +205,11 @@ class BlockMaxIndex:
             order = np.argsort(-bound, kind="stable")
             c, w = c[c >= 0], q[i, c[c >= 0]]
             rows, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
-            for at in (order[:4], order[4:]):
+            for at in (order[:FIRST], order[FIRST:]):
                 least = max(1e-9, scores[k - 1] - 1e-6 if len(scores) >= k else 0)
                 at = at[bound[at] >= least]
-                if len(at) > max(4, self.blocks // 8):  # many blocks: one product for several such queries
-                    rest.append((int(order[0]), i, part, at, order[:4]))
+                if len(at) > max(FIRST, self.blocks // 8):  # many blocks: one product for several such queries
+                    rest.append((int(bounds[i].argmax()), i, part, at, order[:FIRST]))
                     break
                 if len(at):
                     s = part[at] + (w @ self.dense[c[:, None], at[None, :]].reshape(len(c), len(at) * self.block)).reshape(len(at), self.block)
@@ -166,15 +217,20 @@ class BlockMaxIndex:
                     rows, scores = self._best(np.r_[rows, at[b] * self.block + r], np.r_[scores, s[b, r]], k)
             else:
                 out[i] = rows, scores
-        # queries with the same best block have many terms and blocks in common
+        # queries whose common terms have the same best block have many terms and blocks in common
         rest.sort(key=lambda x: x[:2])
         for lo in range(0, len(rest), GROUP):
             group = rest[lo : lo + GROUP]
             mine = q[[x[1] for x in group]]
             c, at = np.flatnonzero(mine.any(0)), np.unique(np.concatenate([x[3] for x in group] + [x[4] for x in group]))
-            products = (mine[:, c] @ self.dense[c[:, None], at[None, :]].reshape(len(c), len(at) * self.block)).reshape(len(group), len(at), self.block)
+            if 2 * len(at) > self.blocks:  # whole rows are copied faster
+                at = np.arange(self.blocks)
+                dense = self.dense[c]
+            else:
+                dense = self.dense[c[:, None], at[None, :]]
+            products = (mine[:, c] @ dense.reshape(len(c), len(at) * self.block)).reshape(len(group), len(at), self.block)
             for s, (_, i, part, _, _) in zip(products, group, strict=True):
-                s += part[at]
+                s += part if len(at) == self.blocks else part[at]
                 top = s.max(1)
                 least = np.partition(top, -k)[-k] if len(top) >= k else 0
                 b, r = np.nonzero(s >= max(least, 1e-9))
@@ -192,44 +248,48 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     # at most fit_rows rows, also where ids repeat
     fit = rows.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
     found = _examples(fit)
+    ids, kind = found.column("id"), rows.schema["id"].dataType
     toxic = found.column("toxic").to_numpy().astype(np.float64)
     total, prior = max(1, len(toxic)), float(toxic.mean()) if len(toxic) else 0.0
     hashes, counts = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("words", "counts"))
     sizes = np.diff(np.asarray(found.column("words").combine_chunks().offsets))
-    vocabulary, term = np.unique(hashes.view(np.uint64), return_inverse=True)
+    del found
+    vocabulary = Vocabulary(np.unique(hashes.view(np.uint64)))
+    term = vocabulary.places(hashes.view(np.uint64)).astype(np.int32)
+    del hashes
     shared = context.broadcast(vocabulary)
     df, all_rows = _document_counts(rows.select("text"), shared)
 
     # how closely a word goes with the label
-    at = np.repeat(np.arange(len(toxic)), sizes)
+    at = np.repeat(np.arange(len(toxic), dtype=np.int32), sizes)
     m, m1 = np.bincount(term, minlength=len(vocabulary)).astype(float), np.bincount(term, toxic[at], len(vocabulary))
     phi2 = (m1 - m * prior) ** 2 / np.maximum(m * prior * (1 - prior) * (total - m), 1e-9)
     tie = np.where((phi2 * total >= CHI2) & (m >= LEAST_ROWS), np.maximum(np.sqrt(phi2), FLOOR), FLOOR)
     weight = (np.log((1 + all_rows) / (1 + df)) + 1) * tie
+    w = ((1 + np.log(counts)) * weight[term]).astype(np.float32)
+    w /= np.sqrt(np.bincount(at, np.square(w, dtype=np.float64), len(toxic))).astype(np.float32)[at]
+    del at, df, m, m1, phi2
 
     # equal vectors are one example; alike ones are neighbours in the index
-    w = (1 + np.log(counts)) * weight[term]
-    norm = np.sqrt(np.bincount(at, w * w, len(toxic)))
-    w /= norm[at]
     ends = np.r_[0, np.cumsum(sizes)]
-    kinds: dict[tuple, list[int]] = {}
-    for i in range(len(toxic)):
-        own = slice(ends[i], ends[i + 1])
-        kinds.setdefault((term[own].tobytes(), counts[own].tobytes()), []).append(i)
-    blank = kinds.pop((b"", b""), [])
-    ids = found.column("id").to_pylist()
-    groups = [sorted(g, key=ids.__getitem__) for g in kinds.values()]
-    # an example's place: its heaviest word that goes with a label, then its most frequent words, which tell languages apart
-    own = [slice(ends[g[0]], ends[g[0] + 1]) for g in groups]
-    tied = [np.where(tie[term[o]] > FLOOR, w[o], 0) for o in own]
-    top = [(int(term[o][x.argmax()]) if x.any() else -1, *term[o][np.lexsort((weight[term[o]], -counts[o]))[:2]].tolist()) for o, x in zip(own, tied, strict=True)]
-    groups = [groups[i] for i in sorted(range(len(groups)), key=lambda i: (top[i], ids[groups[i][0]]))]
-    own = np.concatenate([np.arange(ends[g[0]], ends[g[0] + 1]) for g in groups]) if groups else np.zeros(0, np.int64)
-    index = BlockMaxIndex.of(np.repeat(np.arange(len(groups)), [sizes[g[0]] for g in groups]), term[own], w[own], (len(groups), len(vocabulary)))
+    groups, blank = _distinct(term, counts, ends)
+    # an example's place: its most frequent words, which tell languages apart, then its heaviest word that goes with a label
+    places = []
+    for g in groups:
+        t, c, x = (v[ends[g[0]] : ends[g[0] + 1]] for v in (term, counts, w))
+        tied = np.where(tie[t] > FLOOR, x, 0)
+        places.append(([*t[np.lexsort((weight[t], -c))[:2]].tolist()], int(t[tied.argmax()]) if tied.any() else -1))
+    groups = [groups[i] for i in sorted(range(len(groups)), key=lambda i: (places[i], groups[i][0]))]
+    own = np.concatenate([np.arange(ends[g[0]], ends[g[0] + 1], dtype=np.int32) for g in groups]) if groups else np.zeros(0, np.int32)
+    term, w = term[own], w[own]
+    del own, counts, places
+    index = BlockMaxIndex.of(np.repeat(np.arange(len(groups), dtype=np.int32), [sizes[g[0]] for g in groups]), term, w, (len(groups), len(vocabulary)))
+    del term, w
     votes, bad = np.array([float(len(g)) for g in groups]), np.array([toxic[g].sum() for g in groups])
-    names = pa.array([ids[g[0]] for g in groups], found.schema.field("id").type)
+    names = ids.take(pa.array([g[0] for g in groups], pa.int64())).combine_chunks()
     blank_score = float((toxic[blank].sum() + PRIOR_VOTES * prior) / (len(blank) + PRIOR_VOTES)) if len(toxic) else 0.0
     model = context.broadcast((index, votes, bad, names, weight))
+    del index
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, votes, bad, names, weight = model.value
@@ -265,7 +325,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.clip([r[0] for r in results], 0, 1)), pa.ListArray.from_arrays(offsets, inner)], ["id", "score", "evidence"])
         released()
 
-    kind = rows.schema["id"].dataType
     neighbour = T.StructType([T.StructField("id", kind), T.StructField("cosine", T.DoubleType()), T.StructField("rows", T.LongType()), T.StructField("toxic", T.LongType())])
     schema = T.StructType([rows.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(neighbour))])
     return rows.mapInArrow(search, schema).withColumnRenamed("id", id_col)

@@ -1,8 +1,11 @@
 """URL filters: explicit host and path rules, and redirect equivalence that carries blocks over to aliases.
 
-Pages are nodes by their normalized URL; declared canonical links, refresh redirects and URL variants that servers
-redirect (scheme, fragment, tracking parameters, closing slash, index page) are edges. Connected components are
-found by distributed hooking and contraction. A page under an explicit rule keeps the rule's verdict, so an allow
+Pages are nodes by their URL; declared canonical links and refresh redirects (outside of comments, character references
+read, relative ones resolved against their page) are edges. Connected components are found by distributed hooking and
+contraction. With `variants` (the default), variants of a URL are one node, for these reasons: a fragment is never sent to
+the server; sites answer on http and https alike or redirect one to the other; servers redirect a folder without its
+closing slash and serve its index page there; tracking parameters are read by scripts and analyses only. Without it, a URL
+is its own node but for scheme and fragment. A page under an explicit rule keeps the rule's verdict, so an allow
 always wins for itself; a page without one is blocked if its component holds a blocked URL and no allowed one.
 
 Only DataFrame functions are used. Cases: a null URL or one without "://" has empty host and path, no rule and no
@@ -22,6 +25,9 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+COMMENT = r"(?s)<!--.*?(-->|$)"
+#: Character references that stand in URLs; the ampersand's comes last.
+REFERENCES = [("(?i)&quot;|&#34;|&#x22;", '"'), ("(?i)&apos;|&#39;|&#x27;", "'"), ("(?i)&sol;|&#47;|&#x2f;", "/"), ("(?i)&quest;|&#63;|&#x3f;", "?"), ("(?i)&equals;|&#61;|&#x3d;", "="), ("(?i)&colon;|&#58;|&#x3a;", ":"), ("(?i)&amp;|&#38;|&#x26;", "&")]
 TRACKING = r"(^|&)(utm_[a-z]+|ref|gclid|fbclid|sessionid)=[^&]*"
 
 
@@ -44,30 +50,50 @@ def rule_index(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def normalized(url: Column) -> Column:
-    """The URL that variants redirect to; null without "://"."""
+def normalized(url: Column, variants: bool = True) -> Column:
+    """The URL without scheme and fragment, or the one that its variants redirect to; null without "://"."""
+    if not variants:
+        return F.when(url.contains("://"), F.concat(host_of(url), path_of(url), F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)))
     query = F.regexp_replace(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), TRACKING, "")
     query = F.regexp_replace(query, "^&", "")
     path = F.regexp_replace(path_of(url), r"(/index\.html?|/)+$", "")
     return F.when(url.contains("://"), F.concat(host_of(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def _without_dots(url: Column) -> Column:
+    """An absolute URL with the steps . and .. of its path carried out."""
+    parts = r"(?s)^([^/?#]*//[^/?#]*)([^?#]*)(.*)$"
+    steps = F.filter(F.split(F.regexp_extract(url, parts, 2), "/"), lambda _, i: i > 0)
+    open_end = F.concat(steps, F.when(F.try_element_at(steps, F.lit(-1)).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    kept = F.aggregate(
+        open_end, F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))),
+    )
+    return F.when(F.regexp_extract(url, parts, 2).contains("/."), F.concat(F.regexp_extract(url, parts, 1), F.lit("/"), F.array_join(kept, "/"), F.regexp_extract(url, parts, 3))).otherwise(url)
+
+
 def absolute(link: Column, url: Column) -> Column:
     """A link as an absolute URL, taken against its page."""
-    root = F.concat(F.lit("http://"), host_of(url))
+    for name, letter in REFERENCES:
+        link = F.regexp_replace(link, name, letter)
+    scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
+    root = F.concat(scheme, F.lit("//"), host_of(url))
     folder = F.concat(root, F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1))
-    return (
+    full = (
         F.when(F.coalesce(link, F.lit("")) == "", None)
-        .when(link.contains("://"), link)
-        .when(link.startswith("//"), F.concat(F.lit("http:"), link))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(root, path_of(url), link))
+        .when(link.startswith("#"), url)
         .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(root, F.lit("/"))), link))
     )
+    return _without_dots(full)
 
 
-def judge_pages(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge_pages(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", variants: bool = True) -> DataFrame:
     """(id, host, path, rule, verdict) for each row; rule: host and path of the explicit rule, or null."""
-    url, html = F.col(url_col), F.col(html_col)
+    url, html = F.col(url_col), F.regexp_replace(F.col(html_col), COMMENT, "")
 
     def ruled(df: DataFrame, at: Column) -> DataFrame:
         return df.withColumn("_host", host_of(at)).withColumn("_path", path_of(at)).withColumn("_rule", rule_index(F.col("_host"), F.col("_path"), rules))
@@ -77,12 +103,12 @@ def judge_pages(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     pick = lambda array: F.when(F.col("_rule").isNotNull(), F.get(array, F.col("_rule")))
     rows = stage(
         ruled(pages.select(F.col(id_col).alias("_id"), url.alias("_url"), html.alias("_html")), F.col("_url")).select(
-            "_id", "_host", "_path", "_rule", normalized(F.col("_url")).alias("_node"),
+            "_id", "_host", "_path", "_rule", normalized(F.col("_url"), variants).alias("_node"),
             F.array_compact(F.array(*[absolute(F.regexp_extract("_html", p, 1), F.col("_url")) for p in (CANONICAL, REFRESH)])).alias("_links"),
         )
     )
     links = rows.where("size(_links) > 0").select("_node", F.explode("_links").alias("_to"))
-    targets = stage(ruled(links.withColumn("_tonode", normalized(F.col("_to"))), F.col("_to")).select("_node", "_tonode", "_rule"))
+    targets = stage(ruled(links.withColumn("_tonode", normalized(F.col("_to"), variants)), F.col("_to")).select("_node", "_tonode", "_rule"))
     aliases = components(targets, "_node", "_tonode")
     # what is decided for each URL: a row for each normalized URL
     decided = rows.select("_node", "_rule").union(targets.select("_tonode", "_rule")).where("_node is not null and _rule is not null").withColumn("_v", pick(verdicts))

@@ -736,3 +736,288 @@ def test_media_cases(spark):
     out = [(r.vec_id, r.component_id) for r in media_copies.image_groups(df, "vec_id").collect()]
     assert sorted(out, key=str) == sorted([(5, 3), (3, 3), (3, 3), (None, 3), (7, 7), (8, 8), (9, 9), (None, None), (10, 10), (11, 11)], key=str)
     assert media_copies.image_groups(df.limit(0), "vec_id").count() == 0
+
+
+# --- 5 licenses across lines -----------------------------------------------------------------------------------
+
+
+def test_licenses_broken_into_lines_are_found(spark):
+    """Each long template, wrapped at 40 columns behind prose, with a word changed; and no label for prose of its words."""
+    import textwrap
+
+    rng = random.Random(47)
+    long_ones = [(label, t) for label, t in licenses.TEMPLATES if len(t.split()) >= licenses.LONG]
+    rows = []
+    for i, (_, t) in enumerate(long_ones):
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed"
+        rows.append((i, prose(rng, rng.randrange(0, 70)) + "\n" + "\n".join(textwrap.wrap(" ".join(w).capitalize() + ".", 40)) + "\n" + prose(rng, 50)))
+    words = sorted({w for _, t in long_ones for w in t.split()})
+    rows += [(100 + i, "\n".join(" ".join(rng.choice(words + ["x", "y", "z"] * 60) for _ in range(9)) for _ in range(80))) for i in range(20)]
+    out = {r.doc_id: {f.label for f in r.found} for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert all(label in out[i] for i, (label, _) in enumerate(long_ones)) and not any(out[100 + i] for i in range(20))
+
+
+def test_windows_equal_brute_force(spark):
+    rng = random.Random(48)
+    vocabulary = [f"v{i}" for i in range(30)]
+    templates = [(f"t{i}", " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate((15, 15, 17, 20))]
+    rows = [(i, " ".join(rng.choice(vocabulary) + rng.choice(["", "", "\n"]) for _ in range(rng.randrange(0, 120)))) for i in range(80)]
+    out = licenses.scan_licenses(docs(spark, [*rows, (900, None), (901, "")]), {"never there": "n"}, templates, 0.7).collect()
+    got = {(r.doc_id, f.block, f.template) for r in out for f in r.found if f.block < 0}
+    want = set()
+    for i, t in rows:
+        w = t.split()
+        for k, (_, words) in enumerate(templates):
+            n, s = len(words.split()), set(words.split())
+            for a in range(0, len(w), n):
+                if len(s & set(w[a : a + 2 * n])) >= np.ceil(0.7 * len(s) - 1e-9):
+                    want.add((i, -1 - a, k))
+    assert got == want and want
+    assert licenses.scan_licenses(docs(spark, [])).count() == 0
+
+
+def test_long_words_of_known_collisions_differ():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    assert text_kernels.hash_of(a) != text_kernels.hash_of(b) and text_kernels.hash_of("X" * 300) == text_kernels.hash_of("x" * 300)
+
+
+# --- 2 columns and broken-up texts ------------------------------------------------------------------------------
+
+
+def test_mix_keeps_columns_of_any_name_and_white_space(spark):
+    text = "one\ttwo\n\nthree  four \n five"
+    names = ["_row", "_key", "_size", "_h", "_b", "_id", "_docs", "_copy", "whole", "part", "size", "target"]
+    rows = [(i, text, "s", *[f"{n}{i}" for n in names]) for i in range(40)] + [(100 + i, "w " * 300, "t", *["x"] * len(names)) for i in range(30)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'{n} string' for n in names)}")
+    out = mixing.mix_sources(df).collect()
+    assert all(r[n] == f"{n}{r.doc_id}" for r in out if r.doc_id < 40 for n in names[:8])
+    copies = mixing.repeat_rows(df).collect()
+    assert copies[0].asDict().keys() == set(df.columns) and all(r[n] == f"{n}{r.doc_id}" for r in copies if r.doc_id < 40 for n in names)
+    assert all(text.startswith(r.text) or ("w " * 300).startswith(r.text) for r in copies)
+
+
+def test_temporary_tables_are_deleted(spark):
+    with spark_tools.temporary_tables(spark):
+        df = spark_tools.stage(spark.range(3))
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert __import__("os").path.exists(path) and df.count() == 3
+    assert not __import__("os").path.exists(path)
+
+
+def test_wide_tables_are_not_broadcast(spark):
+    wide = spark_tools.stage(spark.range(100).withColumn("v", F.sequence(F.lit(1), F.lit(10_000))))
+    assert not spark_tools.is_small(wide, size=10_000_000) and spark_tools.is_small(wide) and not spark_tools.is_small(wide, rows=99)
+
+
+# --- 7 links ---------------------------------------------------------------------------------------------------
+
+
+def brute_verdicts(rows, rules):
+    """Rules, and union-find over links that the standard library resolves; URLs count without scheme and fragment."""
+    import html
+    from urllib.parse import urljoin
+
+    node = lambda u: re.sub("^[^:]*://([^/?#]*)([^#]*).*$", lambda m: m[1].lower() + m[2], u, flags=re.S)
+
+    def rule(u):
+        host, path = re.match(r"(?s)^([^/?#]*)([^?#]*)", node(u)).groups()
+        fit = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        return max(fit, key=lambda r: len(r[1] + r[2]))[0] if fit else None
+
+    root, said = {}, defaultdict(set)
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for _, u, page in rows:
+        said[node(u)].add(rule(u))
+        for m in re.finditer(r'(?:rel="canonical" href="|content="0; url=)([^"]*)"', re.sub(r"(?s)<!--.*?-->", "", page or "")):
+            to = urljoin(u, html.unescape(m[1]))
+            said[node(to)].add(rule(to))
+            root[find(node(u))] = find(node(to))
+    groups = defaultdict(set)
+    for n, v in said.items():
+        groups[find(n)] |= v
+    return {i: rule(u) or ("block" if "block" in groups[find(node(u))] and "allow" not in groups[find(node(u))] else "allow") for i, u, _ in rows}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_carry_blocks_like_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rules = [("block", "bad.org", "/"), ("allow", "ok.org", "/"), ("block", "mixed.org", "/no/")]
+    sites = [f"http://s{i}.net" for i in range(60)]
+    urls = [f"{s}/{a}/{b}" for s in sites for a in ("x", "y") for b in ("1", "2?q=1&r=2")]
+    ends = ["http://bad.org/1", "https://ok.org/2", "http://mixed.org/no/3", "http://mixed.org/yes/4", "HTTP://BAD.org/1#part"]
+    rows = []
+    for i, u in enumerate(urls):
+        link = rng.choice([None, None, rng.choice(urls), rng.choice(ends), "../y/1", "./1", "/x/2?q=1&amp;r=2", "//s1.net/x/1", "../../../x/./1", "?q=1&#38;r=2", "1"])
+        tag = '<meta http-equiv="refresh" content="0; url={}">' if i % 3 else '<link rel="canonical" href="{}">'
+        page = None if link is None else f"<html><!-- <link rel=\"canonical\" href=\"http://bad.org/1\"> -->{tag.format(link)}</html>"
+        rows.append((i, u, page))
+    rows += [(1000 + i, u, "") for i, u in enumerate(ends)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = brute_verdicts(rows, rules)
+    assert {r.page_id: r.verdict for r in url_filters.judge_pages(df, rules, variants=False).collect()} == want
+    blocked = [i for i, v in want.items() if v == "block" and i < 1000]
+    assert len(blocked) > 5
+
+
+# --- 4 languages against brute force ----------------------------------------------------------------------------
+
+
+def gram_counts(t):
+    low = [b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()]
+    return Counter(((a | b << 8 | c << 16 | d << 24) * 2654435761 & 0xFFFFFFFF) >> 17 for a, b, c, d in zip(low, low[1:], low[2:], low[3:]))
+
+
+def brute_languages(rows, reliability=0.95, evidence=60, smoothing=20.0, least=0.5):
+    """rows: (id, text, declared, host); every step by plain loops over dictionaries."""
+    trained = {l: Counter() for _, t, l, _ in rows if l and t}
+    for l, t in {(l, t) for _, t, l, _ in rows if l and t}:
+        trained[l].update(gram_counts(t))
+    names = sorted(trained)
+    size = len(names) + 1
+    share = {l: {g: n / sum(c.values()) for g, n in c.items()} for l, c in trained.items()}
+
+    def chance(l, g):
+        pooled = 0.5 * sum(share[m].get(g, 0) for m in names) / len(names) + 0.5 / 32768
+        return 0.98 * share[l].get(g, 0) + 0.02 * pooled
+
+    def normal(x):
+        e = np.exp(np.array(x) - max(x))
+        return e / e.sum()
+
+    wrong = (1 - reliability) / (size - 1) + 1e-12
+    logs, letters = [], []
+    for _, t, l, _ in rows:
+        grams = gram_counts(t)
+        n = sum(grams.values())
+        own = [sum(k * np.log(chance(m, g)) for g, k in grams.items()) for m in names] + [n * np.log(1 / 32768)]
+        own = np.array(own) * min(n, evidence) / max(n, 1)
+        said = [np.log(reliability if l == m else wrong) if l in names else 0.0 for m in [*names, None]]
+        logs.append((own - own.max(), own - own.max() + said))
+        letters.append(sum(97 <= b <= 122 or 65 <= b <= 90 or b >= 128 for b in (t or "").encode()))
+    p = [normal(log) for _, log in logs]
+    domain = lambda h: None if h is None else ".".join(h.split(".")[-2:])
+    by_host, by_domain = defaultdict(lambda: np.zeros(size)), defaultdict(lambda: np.zeros(size))
+    for (_, _, _, h), x in zip(rows, p):
+        by_host[h] = by_host[h] + x
+        by_domain[domain(h)] = by_domain[domain(h)] + x
+    whole = (sum(p) + 1) / (len(rows) + size)
+    out = {}
+    for (i, _, _, h), x, (text, log), k in zip(rows, p, logs, letters):
+        prior = whole
+        for sums in (by_domain[domain(h)], by_host[h]) if h is not None else ():
+            rest = np.maximum(sums - x, 0)
+            prior = (rest + smoothing * prior) / (rest.sum() + smoothing)
+        final = normal(log + np.log(prior))
+        best = [*names, None][int(final.argmax())]
+        out[i] = ([*names, None][int(text.argmax())] if k else None, best, float(final.max()), bool(k and best and final.max() >= least))
+    return out
+
+
+def test_languages_equal_brute_force(spark):
+    rng = random.Random(50)
+    make = lambda s, n: " ".join(rng.choice(s.split()) for _ in range(n))
+    rows = []
+    for i in range(90):
+        t, l = ((EN, "en"), (DE, "de"), (FR, "fr"))[rng.randrange(3)]
+        rows.append((i, make(t, rng.choice([1, 2, 12, 40])), rng.choice([l, l, None, "fr"]), rng.choice([None, f"a.{l}.org", f"b.{l}.org", "c.net"])))
+    rows += [(200, None, "en", "c.net"), (201, "", None, None), (202, "12 34", "de", "a.de.org"), (203, "qxzj vkwq zzxq jjqx", None, "a.fr.org")]
+    df = spark_tools.stage(docs(spark, [(i, t, l, h) for i, t, l, h in rows]))
+    want = brute_languages(rows)
+    for r in languages.identify(df, declared=F.col("lang"), host=F.col("source")).collect():
+        text, best, confidence, accepted = want[r.doc_id]
+        assert r.confidence == pytest.approx(confidence, rel=1e-3), r.doc_id
+        assert (r.language, r.accepted) == (best, accepted) and (r.text_language == text or r.doc_id in (200, 201)), r.doc_id
+
+
+def test_withheld_labels_are_named_by_text_and_hosts(spark):
+    """Accuracy on rows whose label is withheld: neither evidence nor training."""
+    rng = random.Random(51)
+    make = lambda s, n: " ".join(rng.choice(s.split()) for _ in range(n))
+    rows = [(i, make(t, rng.choice([2, 5, 30])), l, f"{l}{i % 3}.org") for i in range(300) for t, l in [((EN, "en"), (DE, "de"), (FR, "fr"))[i % 3]]]
+    df = spark_tools.stage(docs(spark, rows))
+    known = F.when(F.col("doc_id") % 5 != 0, F.col("lang"))
+    out = languages.identify(df, declared=known, host=F.col("source")).where("doc_id % 5 = 0").collect()
+    assert np.mean([r.text_language == r.lang for r in out]) >= 0.9 and np.mean([r.language == r.lang for r in out]) >= 0.95
+
+
+def test_rare_and_many_languages_all_count(spark):
+    """A hundred declared languages, one of them with a single row; codes that are none are no evidence."""
+    rng = random.Random(52)
+    codes = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    word = {c: [c * 2 + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for c in codes}
+    rows = [(i, " ".join(rng.choice(word[c]) for _ in range(30)), c, "h") for i, c in enumerate(codes * 2 + codes[1:] * 2)]
+    rows += [(900, " ".join(word[codes[0]]), None, "h"), (901, " ".join(word[codes[5]]), "?!", "h"), (902, " ".join(word[codes[7]]), codes[7].upper() + "-XY", "h")]
+    out = {r.doc_id: r for r in languages.identify(spark_tools.stage(docs(spark, rows)), declared=F.col("lang"), host=F.col("source")).collect()}
+    assert all(out[i].language == c for i, _, c, _ in rows[:-3]) and [out[i].text_language for i in (900, 901, 902)] == [codes[0], codes[5], codes[7]]
+
+
+def test_pages_language(spark, tmp_path):
+    """Markup, comments and navigation are no text; the lang attribute, the path and the host are evidence."""
+    rng = random.Random(53)
+    make = lambda s: " ".join(rng.choice(s.split()) for _ in range(40))
+    page = lambda lang, body: f"<!DOCTYPE html><html{lang}><head><script>{make(EN)}</script></head><!-- {make(EN)} --><nav>{make(EN)}</nav><body><p>{body}</p></body></html>"
+    kinds = ((EN, "en"), (DE, "de"), (FR, "fr"))
+    rows = [(i, f"http://www.s{i % 4}.org/{l}/x{i}", page(f' lang="{l}"', make(t))) for i in range(60) for t, l in [kinds[i % 3]]]
+    rows += [(100, "http://www.s1.org/de/y", page("", "zzzz")), (101, None, page("", make(FR))), (102, "http://x.org/en/", None), (103, "http://x.org/en/", "<html lang='en'><body>12 34</body></html>"), (104, "http://x.org/", page(' lang="de"', make(FR)))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = {r.page_id: r for r in languages.pages_language(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows) and all(out[i].language == kinds[i % 3][1] and out[i].kept for i in range(60))
+    assert out[100].language == "de" and out[101].language == "fr" and not out[102].kept and not out[103].kept and out[104].text_language == "fr"
+    none = tmp_path / "none"
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(none / "pages.parquet"))
+    assert languages.pages_language(spark, str(none)).count() == 0
+
+
+# --- 6 trees ---------------------------------------------------------------------------------------------------
+
+
+def brute_links_by_index(rows):
+    """Components of documents by counting the shingles that each two of them share."""
+    sets = {i: brute_shingles(t) for i, t in rows}
+    where = defaultdict(list)
+    for i, x in sets.items():
+        for s in x:
+            where[s].append(i)
+    common = Counter()
+    for ids in where.values():
+        common.update((a, b) for k, b in enumerate(ids) for a in ids[:k])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for (a, b), n in common.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in sets}
+
+
+def test_trees_alone_find_all_links_of_thousands_of_rows(spark):
+    """Without stars: groups of near copies from two to hundreds among different texts with common passages."""
+    rng = random.Random(60)
+    rows = []
+    for size in [400, 90, 30, *[5] * 60, *[2] * 150]:
+        base = prose(rng, rng.choice([25, 60, 150]), 10**6)
+        rows += [(len(rows) + k, edited(rng, base, rng.randrange(0, max(1, len(base.split()) // 40) + 1))) for k in range(size)]
+    passages = [prose(rng, 30, 10**6) for _ in range(3)]
+    rows += [(10_000 + i, rng.choice(passages) + " " + prose(rng, rng.choice([3, 6, 9, 40]), 10**6)) for i in range(1200)]
+    want = brute_links_by_index(rows)
+    df = spark_tools.stage(docs(spark, rows))
+    for stars in (False, True):
+        assert {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(df, stars=stars).collect()} == want, stars
+
+
+def test_one_shingle_in_all_short_documents(spark, monkeypatch):
+    """A hot key of different documents, whose tree has several levels."""
+    monkeypatch.setattr(ngram_join, "LEAF", 4)
+    rng = random.Random(61)
+    common = "all of them share this one passage here"
+    rows = [(i, f"{common} {prose(rng, rng.randrange(1, 4), 40)}") for i in range(900)]
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(spark_tools.stage(docs(spark, rows)), stars=False).collect()} == brute_links_by_index(rows)
