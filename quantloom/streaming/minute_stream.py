@@ -29,14 +29,13 @@ def ingest_keep_last(df: DataFrame, path: str, checkpoint: str, order: str = "se
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        days = batch.select("trade_date").distinct()
         fresh = dedup_keep_last(batch, ["instrument", "datetime"], [order])
-        try:
-            old = spark.read.schema(batch.schema).parquet(path).join(F.broadcast(days), "trade_date", "left_semi")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            # a batch's dates are days of a calendar, so they are few; as literals they prune the table's partitions
+            days = [r["trade_date"] for r in batch.select("trade_date").distinct().collect()]
+            old = spark.read.schema(batch.schema).parquet(path).where(F.col("trade_date").isin(days))
             fresh = dedup_keep_last(old.select(*batch.columns).unionByName(fresh), ["instrument", "datetime"], [order])
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         # the dates are read and rewritten, so they pass through a table of their own
         fresh.write.mode("overwrite").parquet(f"{staging}/{number}")
         spark.read.schema(fresh.schema).parquet(f"{staging}/{number}").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(path)
