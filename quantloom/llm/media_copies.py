@@ -206,7 +206,7 @@ def descriptors(pixels: np.ndarray) -> list[dict]:
     return [dict(zip(("x", "y", "scale", "angle", "lo", "hi"), values, strict=True)) for values in zip(*(found[n].tolist() for n in ("x", "y", "scale", "angle", "lo", "hi")), strict=True)]
 
 
-POINT = {"x": "double", "y": "double", "cx": "double", "cy": "double", "scale": "double", "angle": "double", "lo": "bigint", "hi": "bigint"}
+POINT = {"x": "float", "y": "float", "cx": "float", "cy": "float", "scale": "float", "angle": "float", "lo": "bigint", "hi": "bigint"}
 POINTS = f"array<struct<{','.join(f'{n}:{k}' for n, k in POINT.items())}>>"
 
 
@@ -231,14 +231,14 @@ def describe(images: DataFrame, image: str = "image") -> DataFrame:
                     parts.append(found | {"image": some[found["image"].astype(np.int64)], "cx": found["x"] - w / 2, "cy": found["y"] - h / 2})
             all_ = {n: np.concatenate([p[n] for p in parts]) if parts else np.zeros(0) for n in ("image", *POINT)}
             order = np.argsort(all_["image"], kind="stable")
-            kinds = {"double": pa.float64(), "bigint": pa.int64()}
+            kinds = {"float": pa.float32(), "bigint": pa.int64()}
             inner = pa.StructArray.from_arrays([pa.array(all_[n][order], kinds[k]) for n, k in POINT.items()], list(POINT))
             offsets = np.r_[0, np.cumsum(np.bincount(all_["image"].astype(np.int64), minlength=batch.num_rows))]
             kept = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)], [*others, "found"])
         released()
 
-    found = T.StructField("found", T.ArrayType(T.StructType([T.StructField(n, T.LongType() if k == "bigint" else T.DoubleType()) for n, k in POINT.items()])))
+    found = T.StructField("found", T.ArrayType(T.StructType([T.StructField(n, T.LongType() if k == "bigint" else T.FloatType()) for n, k in POINT.items()])))
     return images.mapInArrow(run, T.StructType([*(f for f in images.schema if f.name != image), found]))
 
 
@@ -297,21 +297,23 @@ def image_groups(images: DataFrame, id_col: str, image: str = "image", distance:
         both = both.hint("merge").join(placed.select(F.col("node").alias("b"), F.col("i").alias("ib"), F.col("at").alias("q")), ["b", "ib"])
         return stage(_agreeing(both, consensus))
 
-    # 1. the first and the last image of each value
-    ends = points.groupBy("key").agg(F.min(F.struct("node", "i", "lo", "hi")).alias("first"), F.max(F.struct("node", "i", "lo", "hi")).alias("last")).where("first.node < last.node")
-    hubs = ends.select("key", F.explode(F.array("first", "last")).alias("p"))
-    stars = points.select("key", F.struct("node", "i", "lo", "hi").alias("q")).hint("merge").join(hubs.hint("merge"), "key").where(near("p", "q") & (F.col("p.node") != F.col("q.node")))
+    # 1. all images meet the first and the last image of each value; both sides lie by the value, so they move once
+    ends = points.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    shared = points.hint("merge").join(ends, "key")
+    body = F.struct("node", "i", "lo", "hi")
+    hubs = shared.where("node = first or node = last").select("key", body.alias("p"))
+    stars = hubs.hint("merge").join(shared.select("key", body.alias("q")), "key").where(near("p", "q") & (F.col("p.node") != F.col("q.node")))
     known = links(stage(matched(stars)))
     comps = components(known, "a", "b").select("node", F.col("component").alias("comp"))
 
     # 2. pairs of different components; the most frequent component of a value only meets the others
-    owned = stage(join_checked(points, comps, ["node"]).withColumn("comp", F.coalesce("comp", "node")))
+    owned = join_checked(points, comps, ["node"]).withColumn("comp", F.coalesce("comp", "node"))
     counts = owned.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    main = counts.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("main.comp").alias("main"))
-    mixed = stage(owned.hint("merge").join(main, "key"))
-    left = mixed.where("comp <> main").select("key", F.struct("node", "i", "lo", "hi", "comp").alias("p"))
-    right = mixed.select("key", F.struct("node", "i", "lo", "hi", "comp", (F.col("comp") == F.col("main")).alias("main")).alias("q"))
-    rest = left.hint("merge").join(right.hint("merge"), "key").where(near("p", "q") & (F.col("p.comp") != F.col("q.comp")) & (F.col("q.main") | (F.col("p.node") < F.col("q.node"))))
+    main = counts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
+    mixed = owned.hint("merge").join(main, "key")
+    body = F.struct("node", "i", "lo", "hi", "comp", (F.col("comp") == F.col("main")).alias("main"))
+    left, right = mixed.where("comp <> main").select("key", body.alias("p")), mixed.select("key", body.alias("q"))
+    rest = left.hint("merge").join(right, "key").where(near("p", "q") & (F.col("p.comp") != F.col("q.comp")) & (F.col("q.main") | (F.col("p.node") < F.col("q.node"))))
     more = links(stage(matched(rest)))
 
     groups = components(known.union(more), "a", "b")
@@ -419,7 +421,10 @@ def planted(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """vectors, where each EDITS ids in a row have the vector of the first of them: the versions of one scene."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).withColumn("group", F.floor(F.col("id") / EDITS))
     first = rows.where("v is not null and id is not null").groupBy("group").agg(F.min(F.struct("id", "v")).alias("first"))
-    return rows.select("id", "group").hint("merge").join(first, "group", "left").select(F.col("id").alias(id_col), F.col("first.v").alias(vector_col))
+    out = rows.select("id", "group").hint("merge").join(first, "group", "left").select(F.col("id").alias(id_col), F.col("first.v").alias(vector_col))
+    # few bytes, but much to draw: dealt to all cores
+    spark = vectors.sparkSession
+    return out.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def op9_media_copies(spark, sf_dir: str) -> DataFrame:
