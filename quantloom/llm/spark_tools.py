@@ -43,11 +43,12 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+def stage(df: DataFrame, temporary: bool = True) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, and survives lost executors. A table
+    that is not temporary outlasts temporary_tables()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    if _STAGED:
+    if _STAGED and temporary:
         _STAGED[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

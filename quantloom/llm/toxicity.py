@@ -90,18 +90,49 @@ def _counted(column: pa.Array, vocabulary: Vocabulary | None = None) -> Iterator
         yield lo, hi, row[first], word[first], np.diff(np.r_[first, len(word)])
 
 
-def _examples(fit: DataFrame) -> pa.Table:
-    """(id, toxic, words, counts) of the sample's texts."""
+def _words(fit: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted word hashes of the sample's texts, and how many texts and toxic texts have each."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, row, word, n in _counted(batch.column(2)):
-                per = np.bincount(row, minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in (0, 1)], lists(word.view(np.int64), per, pa.int64()), lists(n, per, pa.int32())], ["id", "toxic", "words", "counts"])
+            for lo, hi, row, word, _ in _counted(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(word.view(np.int64))], ["toxic", "word"])
+
+    rows = fit.select("toxic", "text").mapInArrow(scan, "toxic int, word long")
+    found = rows.groupBy("word").agg(F.count("*").alias("m"), F.sum("toxic").alias("m1")).toArrow()
+    word = found.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    return word[order], *(found.column(c).to_numpy()[order].astype(np.float64) for c in ("m", "m1"))
+
+
+def _examples(fit: DataFrame, vocabulary: Broadcast, weight: Broadcast, parts: int = 8) -> pa.Table:
+    """(id, toxic, place, terms, weights) of the sample's texts, unit vectors; they come to the driver in parts.
+
+    place: an example's two most frequent words, which tell languages apart, and its heaviest one that goes with a label.
+    """
 
-    schema = T.StructType([*fit.schema.fields[:2], T.StructField("words", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_, tied = weight.value
+        for batch in batches:
+            for lo, hi, row, term, n in _counted(batch.column(2), vocabulary.value):
+                per = np.bincount(row, minlength=hi - lo)
+                ends = np.r_[0, np.cumsum(per)]
+                w = (1 + np.log(n)) * all_[term]
+                w /= np.sqrt(np.bincount(row, w * w, hi - lo))[row]
+                place = np.full((hi - lo, 3), -1)
+                for i in np.flatnonzero(per):
+                    own = slice(ends[i], ends[i + 1])
+                    often = term[own][np.lexsort((all_[term[own]], -n[own]))[:2]]
+                    place[i, : len(often)] = often
+                    heavy = np.where(tied[term[own]], w[own], 0)
+                    place[i, 2] = term[own][heavy.argmax()] if heavy.any() else -1
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in (0, 1)], lists(place.ravel(), np.full(hi - lo, 3), pa.int32()), lists(term, per, pa.int32()), lists(w, per, pa.float32())], ["id", "toxic", "place", "terms", "weights"])
+
+    fields = [T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.FloatType()))]
+    schema = T.StructType([*fit.schema.fields[:2], *fields])
+    found = [fit.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).mapInArrow(scan, schema).toArrow() for i in range(parts)]
     # by id, so that equal samples give equal indexes
-    return fit.mapInArrow(scan, schema).toArrow().combine_chunks().sort_by("id")
+    return pa.concat_tables(found).combine_chunks().sort_by("id")
 
 
 def _document_counts(texts: DataFrame, vocabulary: Broadcast) -> tuple[np.ndarray, int]:
@@ -125,18 +156,18 @@ def _document_counts(texts: DataFrame, vocabulary: Broadcast) -> tuple[np.ndarra
     return out, int(n[word < 0].sum())
 
 
-def _distinct(term: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> tuple[list[list[int]], list[int]]:
+def _distinct(term: np.ndarray, w: np.ndarray, ends: np.ndarray) -> tuple[list[list[int]], list[int]]:
     """The examples of each different vector, and those without a word."""
     kinds: dict[int, list[int]] = {}
     for i in range(len(ends) - 1):
         own = slice(ends[i], ends[i + 1])
-        kinds.setdefault(hash((term[own].tobytes(), counts[own].tobytes())), []).append(i)
+        kinds.setdefault(hash((term[own].tobytes(), w[own].tobytes())), []).append(i)
     groups: list[list[int]] = []
     for same in kinds.values():
         rest = same
         while rest:  # those that only share a hash are told apart
             first = slice(ends[rest[0]], ends[rest[0] + 1])
-            alike = [i for i in rest if np.array_equal(term[ends[i] : ends[i + 1]], term[first]) and np.array_equal(counts[ends[i] : ends[i + 1]], counts[first])]
+            alike = [i for i in rest if np.array_equal(term[ends[i] : ends[i + 1]], term[first]) and np.array_equal(w[ends[i] : ends[i + 1]], w[first])]
             groups.append(alike)
             done = set(alike)
             rest = [i for i in rest if i not in done]
@@ -246,53 +277,41 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     sample = stage(usable.orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(fit_rows))
     # at most fit_rows rows, also where ids repeat
-    fit = rows.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
-    found = _examples(fit)
-    ids, kind = found.column("id"), rows.schema["id"].dataType
-    toxic = found.column("toxic").to_numpy().astype(np.float64)
-    total, prior = max(1, len(toxic)), float(toxic.mean()) if len(toxic) else 0.0
-    hashes, counts = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("words", "counts"))
-    sizes = np.diff(np.asarray(found.column("words").combine_chunks().offsets))
-    del found
-    vocabulary = Vocabulary(np.unique(hashes.view(np.uint64)))
-    term = vocabulary.places(hashes.view(np.uint64)).astype(np.int32)
-    del hashes
-    shared = context.broadcast(vocabulary)
+    fit = stage(rows.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")))
+    counts = {r["toxic"]: r["count"] for r in fit.groupBy("toxic").count().collect()}
+    total = max(1, sum(counts.values()))
+    prior = counts.get(1, 0) / total
+    words_, m, m1 = _words(fit)
+    shared = context.broadcast(Vocabulary(words_))
     df, all_rows = _document_counts(rows.select("text"), shared)
-
     # how closely a word goes with the label
-    at = np.repeat(np.arange(len(toxic), dtype=np.int32), sizes)
-    m, m1 = np.bincount(term, minlength=len(vocabulary)).astype(float), np.bincount(term, toxic[at], len(vocabulary))
     phi2 = (m1 - m * prior) ** 2 / np.maximum(m * prior * (1 - prior) * (total - m), 1e-9)
     tie = np.where((phi2 * total >= CHI2) & (m >= LEAST_ROWS), np.maximum(np.sqrt(phi2), FLOOR), FLOOR)
-    weight = (np.log((1 + all_rows) / (1 + df)) + 1) * tie
-    w = ((1 + np.log(counts)) * weight[term]).astype(np.float32)
-    w /= np.sqrt(np.bincount(at, np.square(w, dtype=np.float64), len(toxic))).astype(np.float32)[at]
-    del at, df, m, m1, phi2
+    weights = context.broadcast(((np.log((1 + all_rows) / (1 + df)) + 1) * tie, tie > FLOOR))
+    terms = len(words_)
+    del words_, m, m1, df, phi2, tie
 
     # equal vectors are one example; alike ones are neighbours in the index
-    ends = np.r_[0, np.cumsum(sizes)]
-    groups, blank = _distinct(term, counts, ends)
-    # an example's place: its most frequent words, which tell languages apart, then its heaviest word that goes with a label
-    places = []
-    for g in groups:
-        t, c, x = (v[ends[g[0]] : ends[g[0] + 1]] for v in (term, counts, w))
-        tied = np.where(tie[t] > FLOOR, x, 0)
-        places.append(([*t[np.lexsort((weight[t], -c))[:2]].tolist()], int(t[tied.argmax()]) if tied.any() else -1))
-    groups = [groups[i] for i in sorted(range(len(groups)), key=lambda i: (places[i], groups[i][0]))]
+    found = _examples(fit, shared, weights)
+    ids, toxic = found.column("id"), found.column("toxic").to_numpy().astype(np.float64)
+    place = found.column("place").combine_chunks().flatten().to_numpy().reshape(-1, 3).tolist()
+    term, w = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "weights"))
+    ends = np.asarray(found.column("terms").combine_chunks().offsets)
+    groups, blank = _distinct(term, w, ends)
+    groups = [groups[i] for i in sorted(range(len(groups)), key=lambda i: (place[groups[i][0]], groups[i][0]))]
     own = np.concatenate([np.arange(ends[g[0]], ends[g[0] + 1], dtype=np.int32) for g in groups]) if groups else np.zeros(0, np.int32)
     term, w = term[own], w[own]
-    del own, counts, places
-    index = BlockMaxIndex.of(np.repeat(np.arange(len(groups), dtype=np.int32), [sizes[g[0]] for g in groups]), term, w, (len(groups), len(vocabulary)))
-    del term, w
+    row = np.repeat(np.arange(len(groups), dtype=np.int32), [ends[g[0] + 1] - ends[g[0]] for g in groups])
+    index = BlockMaxIndex.of(row, term, w, (len(groups), terms))
     votes, bad = np.array([float(len(g)) for g in groups]), np.array([toxic[g].sum() for g in groups])
     names = ids.take(pa.array([g[0] for g in groups], pa.int64())).combine_chunks()
-    blank_score = float((toxic[blank].sum() + PRIOR_VOTES * prior) / (len(blank) + PRIOR_VOTES)) if len(toxic) else 0.0
-    model = context.broadcast((index, votes, bad, names, weight))
-    del index
+    blank_score = float((toxic[blank].sum() + PRIOR_VOTES * prior) / (len(blank) + PRIOR_VOTES)) if counts else 0.0
+    model = context.broadcast((index, votes, bad, names))
+    del found, ids, term, w, own, row, index
+    released()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, votes, bad, names, weight = model.value
+        (index, votes, bad, names), weight = model.value, weights.value[0]
         known: dict = {}
 
         def judge(vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
@@ -325,6 +344,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.clip([r[0] for r in results], 0, 1)), pa.ListArray.from_arrays(offsets, inner)], ["id", "score", "evidence"])
         released()
 
+    kind = rows.schema["id"].dataType
     neighbour = T.StructType([T.StructField("id", kind), T.StructField("cosine", T.DoubleType()), T.StructField("rows", T.LongType()), T.StructField("toxic", T.LongType())])
     schema = T.StructType([rows.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(neighbour))])
     return rows.mapInArrow(search, schema).withColumnRenamed("id", id_col)
