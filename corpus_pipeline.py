@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quantloom.llm import languages, mixing, ngram_join, packing, secrets
-from quantloom.llm.spark_tools import join_checked, stage, table
+from quantloom.llm.spark_tools import join_checked, stage, table, temporary_tables
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id, or any of its equal rows.
 
-    Rows without a doc_id are kept once for each different text.
+    Rows without a doc_id are kept once for each different text, whatever the named rows have: they have no place in a
+    group, so near copies of theirs stay.
     """
     groups = ngram_join.jaccard_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
     left = join_checked(docs, stage(groups), ["doc_id"], "left_anti").select(*docs.columns)
@@ -72,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for _, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir))
+        with temporary_tables(spark):  # what a stage has staged for itself goes when its result is written
+            docs = stage(function(spark, docs, sf_dir), temporary=False)
     return docs
