@@ -285,16 +285,24 @@ def _described(images: DataFrame, id_col: str, image: str) -> tuple[DataFrame, D
 def image_groups(images: DataFrame, id_col: str, image: str = "image", distance: int = 12, consensus: int = 4) -> DataFrame:
     """(id, n_corners, component_id) for each row."""
     rows, seen = _described(images, id_col, image)
-    places = F.struct(F.col("d.cx").alias("x"), F.col("d.cy").alias("y"), "d.scale", "d.angle")
     points = seen.select("node", F.posexplode("found").alias("i", "d")).select("node", "i", "d.lo", "d.hi", F.explode(F.array(*[F.lit(p).cast("long") * (1 << 32) + _part(p, "d.lo", "d.hi") for p in range(4)])).alias("key"))
     near = lambda p, q: F.bit_count(F.col(f"{p}.lo").bitwiseXOR(F.col(f"{q}.lo"))) + F.bit_count(F.col(f"{p}.hi").bitwiseXOR(F.col(f"{q}.hi"))) <= distance
     matched = lambda df: df.select(F.col("p.node").alias("a"), F.col("p.i").alias("ia"), F.col("q.node").alias("b"), F.col("q.i").alias("ib")).distinct()
-    placed = seen.select("node", F.posexplode("found").alias("i", "d")).select("node", "i", places.alias("at"))
+    placed = seen.select("node", F.posexplode("found").alias("i", "d"))
+
+    def place(node: str, i: str, name: str) -> DataFrame:
+        """The places of corners under these names; flat, as they move."""
+        return placed.select(F.col("node").alias(node), F.col("i").alias(i), *[F.col(f"d.{c}").alias(f"{name}_{c}") for c in ("cx", "cy", "scale", "angle")])
+
+    def at(name: str) -> Column:
+        return F.struct(*[F.col(f"{name}_{c}").alias(n) for c, n in (("cx", "x"), ("cy", "y"), ("scale", "scale"), ("angle", "angle"))]).alias(name)
 
     def links(matches: DataFrame) -> DataFrame:
         """Pairs (a, b) of images whose matches agree on a change of size, a turn and a shift."""
-        both = matches.hint("merge").join(placed.select(F.col("node").alias("a"), F.col("i").alias("ia"), F.col("at").alias("p")), ["a", "ia"])
-        both = both.hint("merge").join(placed.select(F.col("node").alias("b"), F.col("i").alias("ib"), F.col("at").alias("q")), ["b", "ib"])
+        # a pair needs so many corners that match; the others don't move on
+        enough = matches.groupBy("a", "b").agg(F.count_distinct("ia").alias("n")).where(F.col("n") >= consensus).select("a", "b")
+        both = matches.hint("merge").join(enough, ["a", "b"]).hint("merge").join(place("a", "ia", "p"), ["a", "ia"]).hint("merge").join(place("b", "ib", "q"), ["b", "ib"])
+        both = both.select("a", "ia", "b", at("p"), at("q"))
         return stage(_agreeing(both, consensus))
 
     # 1. all images meet the first and the last image of each value; both sides lie by the value, so they move once
