@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import by_instrument, finite
 from ..operators import minute as M, windows as Wn
 from ..operators.evaluate import evaluate
+from ..operators.panel_joins import asof_rows
 from ..sources.panels import calendar_of, factor_long
 
 
@@ -27,10 +28,11 @@ class FactorSpec:
     stage: tuple[tuple[str, Callable[[], Column]], ...] = ()
 
 
-def compute(specs: list[FactorSpec], daily: DataFrame | None = None, minute: DataFrame | None = None) -> DataFrame:
+def compute(specs: list[FactorSpec], daily: DataFrame | None = None, minute: DataFrame | None = None, asof: DataFrame | None = None) -> DataFrame:
     """The long factor table of all specs.
 
-    Series factors are columns over one window partitioning, so they share one shuffle on the instrument whatever
+    asof: a calendar (trade_date); daily factors then have a value on each of its dates, from the instrument's last bar
+    at or before it. Series factors are columns over one window partitioning, so they share one shuffle on the instrument whatever
     their number; cross-sections share a second one on the date. Only the columns that specs name are read.
     """
     parts: list[DataFrame] = []
@@ -40,13 +42,17 @@ def compute(specs: list[FactorSpec], daily: DataFrame | None = None, minute: Dat
             raise ValueError("daily bars are needed")
         needed = list(dict.fromkeys(c for s in flat for c in s.columns))
         df = daily.select("instrument", "trade_date", *needed)
+        df = df if asof is None else asof_rows(df, asof)
         df = df.withColumns({n: b() for s in flat for n, b in s.stage} or {"_": F.lit(0)})
         df = df.withColumns({s.name: s.build() for s in flat if s.kind == "series"} or {"_": F.lit(0)})
         df = df.withColumns({s.name: s.build() for s in flat if s.kind == "cross_section"} or {"_": F.lit(0)})
         parts.append(factor_long(df, [s.name for s in flat]))
-    for s in (s for s in specs if s.kind == "minute"):
-        if minute is None:
-            raise ValueError("minute bars are needed")
+    intraday = [s for s in specs if s.kind == "minute"]
+    if intraday and minute is None:
+        raise ValueError("minute bars are needed")
+    if len(intraday) > 1:  # each needs the rows of an instrument's day together: they move once for all
+        minute = minute.repartition("instrument", "trade_date")
+    for s in intraday:
         parts.append(s.build(minute).select(F.lit(s.name).alias("factor_name"), "trade_date", "instrument", finite(F.col("value")).alias("value")))
     out = parts[0]
     for p in parts[1:]:
@@ -66,9 +72,9 @@ def mask_limit_up(factors: DataFrame, limit_up: DataFrame) -> DataFrame:
     return factors.join(hit, ["trade_date", "instrument"], "left").withColumn("value", F.when(F.col("_hit").isNull(), F.col("value"))).drop("_hit")
 
 
-def run(specs: list[FactorSpec], daily: DataFrame, limit_up: DataFrame | None = None, minute: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def run(specs: list[FactorSpec], daily: DataFrame, limit_up: DataFrame | None = None, minute: DataFrame | None = None, asof: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(factor table, evaluation)."""
-    factors = compute(specs, daily, minute)
+    factors = compute(specs, daily, minute, asof)
     if limit_up is not None:
         factors = mask_limit_up(factors, limit_up)
     return factors, evaluate(with_labels(factors, daily))

@@ -959,6 +959,119 @@ def walk_forward(spark, sf):
     return rounded(WF.walk_forward(WF.features(A.daily(spark, sf))))
 
 
+# --- whole results of the same operators ---------------------------------------------------------------------
+
+
+def _universe(d: DataFrame) -> list[str]:
+    """All instruments: the columns of a wide table."""
+    return [r[0] for r in d.select("instrument").distinct().orderBy("instrument").collect()]
+
+
+@query(f"{CAL} SELECT cal.trade_date, u.instrument, close AS value FROM cal CROSS JOIN (SELECT DISTINCT instrument FROM d) u LEFT JOIN d ON d.trade_date = cal.trade_date AND d.instrument = u.instrument")
+def factor_wide_universe(spark, sf):
+    """The wide table of all instruments, read back."""
+    d = A.daily(spark, sf)
+    path, names = scratch_dir(spark, "wide"), _universe(d)
+    S.write_factor_wide(d.select(F.lit("price").alias("factor_name"), "trade_date", "instrument", F.col("close").alias("value")), S.calendar_of(d), names, path)
+    return spark.read.parquet(f"{path}/price").unpivot(["trade_date"], names, "instrument", "value")
+
+
+@query(f"{DAILY} SELECT trade_date, instrument, close AS value FROM d")
+def wide_to_long_universe(spark, sf):
+    d = A.daily(spark, sf)
+    wide = S.factor_wide(d.select("trade_date", "instrument", F.col("close").alias("value")), S.calendar_of(d), _universe(d))
+    return S.wide_to_long(wide.withColumn("Date", F.date_format("trade_date", "yyyy-MM-dd")).drop("trade_date"))
+
+
+@query(f"{MINUTE} SELECT instrument, CAST(epoch(date_trunc('second', datetime)) AS BIGINT) AS second, trade_date, close, volume FROM m")
+def read_minute_days(spark, sf):
+    """All days of the minute files."""
+    path = scratch_dir(spark, "minute")
+    m = A.minute(spark, sf).withColumn("date", F.col("trade_date").cast("string")).drop("trade_date").withColumnsRenamed({"instrument": "symbol", "datetime": "trade_date"})
+    m.write.partitionBy("date").parquet(path)
+    days = [r[0] for r in m.select("date").distinct().collect()]  # a row for each day
+    return S.read_minute(spark, path, days, ["close", "volume"]).withColumn("second", F.floor(F.unix_timestamp("datetime")).cast("long")).drop("datetime")
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, '. ')) AS part, generate_subscripts(string_split(text, '. '), 1) - 1 AS chunk FROM documents),
+ s AS (SELECT doc_id, chunk, CASE WHEN chunk = 0 THEN 'preface' ELSE 'head' END AS heading, regexp_replace(CASE WHEN chunk = 0 THEN part ELSE 'body ' || part END, '^\\s+|\\s+$', '', 'g') AS t FROM p)
+ SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, heading, md5(t) AS h FROM s WHERE t <> ''""")
+def chunk_sections(spark, sf):
+    """All sections of every document, whose sentences are made sections."""
+    docs = A.read(spark, sf, "documents").withColumn("text", F.replace("text", F.lit(". "), F.lit("\n## head\nbody ")))
+    return X.chunk_markdown(docs).select("doc_id", "chunk", "heading", F.md5("text").alias("h"))
+
+
+@query(ORACLES["vol_ratio"].replace("SELECT instrument, trade_date, round(ratio, 4) AS ratio FROM z WHERE ratio IS NOT NULL", f", v AS (SELECT * FROM z WHERE ratio IS NOT NULL) SELECT instrument, trade_date, round({_z('ratio')}, 4) AS value FROM v"))
+def vol_ratio_zscore(spark, sf):
+    return M.vol_ratio(ticks(spark, sf), 5, "00:00", "12:00").select("instrument", "trade_date", F.round("value", 4).alias("value"))
+
+
+@query(ORACLES["volume_amplitude_factors"].replace("SELECT instrument, trade_date, round(", ", u AS (SELECT instrument, trade_date, round(").replace(", 4) AS signed_volume", ", 12) AS signed_volume").replace(", 3) AS amplitude_jump", ", 12) AS amplitude_jump").replace(", 4) AS extreme_share", ", 12) AS extreme_share")
+       + f") SELECT instrument, trade_date, round(({_z('signed_volume')} + {_z('amplitude_jump')} + {_z('extreme_share')}) / 3, 4) + 0.0 AS volume_amplitude FROM u")
+def volume_amplitude_composite(spark, sf):
+    return W.volume_amplitude_factors(A.daily(spark, sf)).select("instrument", "trade_date", F.round("volume_amplitude", 4).alias("volume_amplitude"))
+
+
+@query(f"{MINUTE} SELECT instrument, trade_date, CASE WHEN stddev_pop(volume) > 0 THEN round((avg(volume * volume * volume) - 3 * avg(volume) * avg(volume * volume) + 2 * pow(avg(volume), 3)) / pow(stddev_pop(volume), 3), 4) END AS volume_skew FROM m GROUP BY 1, 2")
+def volume_skew(spark, sf):
+    return M.volume_moments(A.minute(spark, sf)).select("instrument", "trade_date", F.round("volume_skew", 4).alias("volume_skew"))
+
+
+@query(f"""{MINUTE}, b AS (SELECT instrument, trade_date, time_bucket(INTERVAL 5 MINUTE, datetime) AS start, arg_max(close, row(datetime, seq)) AS close FROM m GROUP BY 1, 2, 3),
+ br AS (SELECT instrument, trade_date, close / lag(close) OVER (PARTITION BY instrument, trade_date ORDER BY start) - 1 AS ret FROM b)
+ SELECT instrument, trade_date, round(sqrt(sum(ret * ret)), 5) AS volatility, round(sqrt(count(ret)) * sum(ret * ret * ret) / nullif(pow(sum(ret * ret), 1.5), 0), 5) AS skew, round(count(ret) * sum(ret * ret * ret * ret) / nullif(sum(ret * ret) * sum(ret * ret), 0), 5) AS kurtosis FROM br GROUP BY 1, 2""")
+def realized_moments_5m(spark, sf):
+    """Moments of the returns of 5-minute bars."""
+    return rounded(M.realized_moments(M.bar_returns(M.bars(A.minute(spark, sf), 5))), 5)
+
+
+_ASOF = f"""{CAL}, g AS (SELECT instrument, cal.trade_date FROM cal CROSS JOIN (SELECT DISTINCT instrument FROM d) u), ad AS (SELECT g.instrument, g.trade_date, d.close, d.roe, d.gross_margin FROM g ASOF JOIN d ON g.instrument = d.instrument AND g.trade_date >= d.trade_date),
+ fa AS (SELECT 'momentum_5' AS factor_name, trade_date, instrument, close / lag(close, 5) OVER {WI} - 1 AS value FROM ad UNION ALL SELECT 'reversal_1', trade_date, instrument, 1 - close / lag(close) OVER {WI} FROM ad
+ UNION ALL SELECT 'ma_ratio_5_20', trade_date, instrument, ({_roll('close', 5, 'avg')}) / ({_roll('close', 20, 'avg')}) - 1 FROM ad)
+ SELECT factor_name, trade_date, instrument, round(value, 5) + 0.0 AS value FROM fa WHERE value IS NOT NULL"""
+
+
+def _series_specs() -> list[P.FactorSpec]:
+    return [s for s in P.standard_specs() if s.kind == "series"]
+
+
+@query(_ASOF)
+def asof_factors(spark, sf):
+    """Daily factors on every calendar date, from the last bar at or before it."""
+    d = A.daily(spark, sf)
+    return rounded(P.compute(_series_specs(), d, asof=S.calendar_of(d)).where("value is not null"), 5)
+
+
+@query(_ASOF)
+def incremental_factors(spark, sf):
+    """Stored factors that end on different dates, extended with the look-backs' dates only: equal to the full run."""
+    d = A.daily(spark, sf)
+    calendar = S.calendar_of(d)
+    panel = J.asof_rows(d.select("instrument", "trade_date", "close"), calendar).drop("bar_date")
+    full = P.compute(_series_specs(), panel)
+    stored = full.where("factor_name = 'momentum_5' and trade_date <= date'2000-06-30' or factor_name = 'reversal_1' and trade_date <= date'1999-12-31'")
+    return rounded(N.update_factors(stored, _series_specs(), panel, calendar).where("value is not null"), 5)
+
+
+@query(f"""{DAILY}, {MINUTE.removeprefix("WITH ")}, z AS (SELECT instrument, trade_date, close / lag(close, 5) OVER {WI} - 1 AS m5, 1 - close / lag(close) OVER {WI} AS r1, ({_roll('close', 5, 'avg')}) / ({_roll('close', 20, 'avg')}) - 1 AS ma, {_z('roe')} + {_z('gross_margin')} AS q FROM d),
+ zz AS (SELECT *, {_z('m5')} AS mz FROM z), va AS (SELECT instrument, trade_date, avg(r) OVER {_rows(20)} AS v FROM (SELECT instrument, trade_date, sum(volume) / (sum(vwap * volume) + 1e-8) AS r FROM m GROUP BY 1, 2)),
+ al AS (SELECT 'momentum_5' AS factor_name, trade_date, instrument, m5 AS value FROM zz UNION ALL SELECT 'reversal_1', trade_date, instrument, r1 FROM zz UNION ALL SELECT 'ma_ratio_5_20', trade_date, instrument, ma FROM zz
+ UNION ALL SELECT 'quality', trade_date, instrument, q FROM zz UNION ALL SELECT 'momentum_z', trade_date, instrument, mz FROM zz UNION ALL SELECT 'volume_amount', trade_date, instrument, v FROM va) SELECT factor_name, trade_date, instrument, round(value, 5) + 0.0 AS value FROM al WHERE value IS NOT NULL""")
+def standard_factors(spark, sf):
+    """All standard specs: series, cross-sections with and without a stage, and minute bars."""
+    return rounded(P.compute(P.standard_specs(), A.daily(spark, sf), A.minute(spark, sf)).where("value is not null"), 5)
+
+
+@query(ORACLES["user_minute_days"])
+def user_minute_series(spark, sf):
+    """A function that returns a series of values by name."""
+    import pandas as pd
+
+    m = A.minute(spark, sf).select("instrument", "trade_date", "datetime", "close")
+    return U.minute_days(m, "x", lambda rows, stock: pd.Series({"hi": rows["close"].max(), "lo": rows["close"].min()})).where("error is null").drop("error")
+
+
 def entry(spark, sf):
     return _monthly_evaluation(spark, sf)
 

@@ -213,3 +213,40 @@ def test_wide_round_trip(spark):
     assert back.exceptAll(df).isEmpty() and back.count() == df.count()
     odd = spark.createDataFrame([("20240101", "000001", "x"), ("2024-01-01", "1", "2.5")], "Date string, Code string, v string")
     assert [tuple(r) for r in S.wide_to_long(odd).collect()] == [(day(0), "1", 2.5)]
+
+
+def test_series_of_names_and_failing_first_stages(spark):
+    import pandas as pd
+
+    from quantloom.plans import user_functions as U
+
+    rows = [("1", "2024-01-02", f"2024-01-02 09:3{i}:00", float(i)) for i in range(3)] + [("2", "2024-01-02", "2024-01-02 09:30:00", 5.0)]
+    df = spark.createDataFrame(rows, "instrument string, trade_date string, datetime string, close double").withColumn("trade_date", F.to_date("trade_date"))
+    got = {(r.instrument, r.factor_name): r.value for r in U.minute_days(df, "x", lambda b, s: pd.Series({"hi": b["close"].max(), "n": float(len(b))})).collect()}
+    assert got == {("1", "hi"): 2.0, ("1", "n"): 3.0, ("2", "hi"): 5.0, ("2", "n"): 1.0}
+    last = {r.instrument: (r.factor_name, r.value) for r in U.minute_days(df, "x", lambda b, s: b["close"].cumsum()).collect()}
+    assert last == {"1": ("x", 3.0), "2": ("x", 5.0)}
+
+    def raw(bars, stock):
+        if stock == "2":
+            raise ValueError("odd")
+        return {"hi": bars["close"].max()}
+
+    out = U.minute_cross_sections(df, raw, lambda wide, day: {s: {"v": x} for s, x in zip(wide["instrument"], wide["hi"])}).collect()
+    assert sorted((r.instrument, r.value, r.error) for r in out) == [("1", 2.0, None), ("2", None, "ValueError: odd")]
+
+
+def test_many_factors_are_updated_to_the_full_run(spark):
+    import datetime as dt
+
+    from quantloom.plans import factors as P, incremental as N
+    from quantloom.sources import panels as S
+
+    rows = [(str(s), dt.date(2024, 1, 1) + dt.timedelta(d), 10.0 + s + d * d % 7) for s in range(3) for d in range(40)]
+    daily = spark.createDataFrame(rows, "instrument string, trade_date date, close double")
+    specs = [s for s in P.standard_specs() if s.kind == "series"]
+    full = P.compute(specs, daily)
+    stored = full.where("factor_name = 'momentum_5' and trade_date <= '2024-01-25' or factor_name = 'reversal_1' and trade_date <= '2024-02-01'")
+    key = lambda df: sorted((r.factor_name, r.trade_date, r.instrument, r.value) for r in df.where("value is not null").collect())
+    assert key(N.update_factors(stored, specs, daily, S.calendar_of(daily))) == key(full)
+    assert key(N.update_factors(full, specs, daily, S.calendar_of(daily))) == key(full)
