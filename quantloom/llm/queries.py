@@ -12,6 +12,7 @@ from .mixing import op2_source_mix
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op3_best_fit_packing
 from .secrets import op1_secret_scan
+from .token_files import op11_token_files
 from .toxicity import op10_toxicity
 from .url_filters import RULES, op7_url_filter
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_embedding_near_dup": op8_embedding_near_dup,
     "op9_media_copies": op9_media_copies,
     "op10_toxicity": op10_toxicity,
+    "op11_token_files": op11_token_files,
     "pages_language": pages_language,
 }
 
