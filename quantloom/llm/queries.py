@@ -11,6 +11,7 @@ from .media_copies import op9_media_copies
 from .mixing import op2_source_mix
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op3_best_fit_packing
+from .periodic_runs import op13_periodic_runs
 from .secrets import op1_secret_scan
 from .token_files import op11_token_files
 from .toxicity import op10_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_media_copies": op9_media_copies,
     "op10_toxicity": op10_toxicity,
     "op11_token_files": op11_token_files,
+    "op13_periodic_runs": op13_periodic_runs,
     "pages_language": pages_language,
 }
 
