@@ -13,6 +13,7 @@ from .ngram_join import op6_ngram_jaccard_join
 from .packing import op3_best_fit_packing
 from .periodic_runs import op13_periodic_runs
 from .secrets import op1_secret_scan
+from .spelling import op12_spelling_variants
 from .token_files import op11_token_files
 from .toxicity import op10_toxicity
 from .url_filters import RULES, op7_url_filter
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_media_copies": op9_media_copies,
     "op10_toxicity": op10_toxicity,
     "op11_token_files": op11_token_files,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
     "pages_language": pages_language,
 }
@@ -74,8 +76,23 @@ def _url_sql() -> str:
      SELECT page_id, host, path, rule, coalesce(v, CASE WHEN coalesce(b, false) AND NOT coalesce(a, false) THEN 'block' ELSE 'allow' END) AS verdict FROM k LEFT JOIN g USING (node)"""
 
 
+# crc32 by its table, which is made from the polynomial; near words share the word with one place left open, or are it with one letter less
+_SPELLING_SQL = f"""WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda x: list_reduce([CAST(x AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tb),
+ r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS r FROM documents), d AS (SELECT doc_id, r, count(*) AS n FROM r WHERE length(r) >= 7 GROUP BY 1, 2),
+ s AS (SELECT r, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x FROM d),
+ h AS (SELECT r, n, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(x) // 2 + 1), lambda i: CAST('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT)), lambda c, b: xor(c >> 8, tb[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM s, tb),
+ v AS (SELECT w AS word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w FROM h) WHERE length(w) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+ o AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS k, substr(word, 1, i - 1) || substr(word, i + 1) AS c FROM v, range(1, length(word) + 1) t(i)),
+ e AS (SELECT a.word, b.word AS other, b.n FROM o a JOIN o b ON a.k = b.k WHERE a.word <> b.word UNION SELECT o.word, v.word, v.n FROM o JOIN v ON v.word = o.c UNION SELECT v.word, o.word, o.n FROM o JOIN v ON v.word = o.c),
+ b AS (SELECT word, count(*) AS n_near, max(n) AS most FROM e GROUP BY 1), g AS (SELECT e.word, min(other) AS other FROM e JOIN b ON b.word = e.word AND e.n = most GROUP BY 1),
+ f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * v.n THEN g.other END AS form, CASE WHEN most >= 10 * v.n THEN most END AS form_n FROM v LEFT JOIN b USING (word) LEFT JOIN g USING (word)),
+ c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+ SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f z ON z.word = c.root WHERE z.form IS NULL"""
+
+
 ORACLES: dict[str, str] = {
     "op5_license_scan": " ".join(_license_sql().split()),
     "op6_ngram_jaccard_join": " ".join(_JACCARD_SQL.split()),
     "op7_url_filter": " ".join(_url_sql().split()),
+    "op12_spelling_variants": " ".join(_SPELLING_SQL.split()),
 }
