@@ -36,6 +36,8 @@ from .text_kernels import released
 #: Corners kept for each AREA pixels of an image, and at least; levels of the pyramid; binary tests; descriptors in a
 #: block of a part's value.
 CORNERS, AREA, LEVELS, BITS, BLOCK = 48, 128 * 128, 5, 128, 256
+#: Most pixels of a PNG that is read.
+PIXELS = 1 << 26
 #: Radius of the pattern and of the disc that gives the orientation; least distance of two points that are compared.
 RADIUS, DISC, APART = 11, 7, 7
 BORDER = RADIUS + 2
@@ -51,42 +53,61 @@ def read_pgm(data: bytes | None) -> np.ndarray | None:
 
 def read_png(data: bytes | None) -> np.ndarray | None:
     """The brightness of a PNG image with 8 bits a channel and without palette or interlacing, else None."""
-    if not data or data[:8] != b"\x89PNG\r\n\x1a\n" or data[12:16] != b"IHDR":
+    if not data or len(data) < 29 or data[:8] != b"\x89PNG\r\n\x1a\n" or data[12:16] != b"IHDR":
         return None
     w, h, depth, kind, *_, laced = (*(int.from_bytes(data[i : i + 4], "big") for i in (16, 20)), *data[24:29])
     channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(kind)
-    body, at = b"", 8
+    if depth != 8 or laced or not channels or not w or not h or w * h > PIXELS:
+        return None
+    parts, at = [], 8
     while at + 8 <= len(data):
         n = int.from_bytes(data[at : at + 4], "big")
-        body += data[at + 8 : at + 8 + n] if data[at + 4 : at + 8] == b"IDAT" else b""
+        if data[at + 4 : at + 8] == b"IDAT":
+            parts.append(data[at + 8 : at + 8 + n])
         at += n + 12
-    try:
-        raw = np.frombuffer(zlib.decompress(body), np.uint8)
+    size = h * (1 + w * channels)
+    unpack = zlib.decompressobj()
+    try:  # about as much as the header says is unpacked, and no more
+        raw = np.frombuffer(unpack.decompress(b"".join(parts), size + 1), np.uint8)
     except zlib.error:
         return None
-    if depth != 8 or laced or not channels or len(raw) < h * (1 + w * channels):
+    if len(raw) < size or len(raw) == size and not unpack.eof:
+        return None
+    lines = raw[:size].reshape(h, -1)
+    if lines[:, 0].max() > 4:
         return None
-    lines = raw[: h * (1 + w * channels)].reshape(h, -1)
-    out = np.zeros((h + 1, w * channels), np.uint8)
-    for y in range(h):
-        how, line, up = lines[y, 0], lines[y, 1:], out[y]
-        if how in (0, 2):
-            out[y + 1] = line + (up if how else 0)
-        elif how == 1:
-            out[y + 1] = np.cumsum(line.reshape(w, channels), 0, dtype=np.uint8).ravel()
-        else:  # each pixel needs the one before it
-            done = out[y + 1]
-            for x in range(0, w * channels, channels):
-                a = done[x - channels : x].astype(int) if x else np.zeros(channels, int)
-                b = up[x : x + channels].astype(int)
-                c = up[x - channels : x].astype(int) if x and how == 4 else np.zeros(channels, int)
-                q = a + b - c
-                near = np.where((abs(q - a) <= abs(q - b)) & (abs(q - a) <= abs(q - c)), a, np.where(abs(q - b) <= abs(q - c), b, c))
-                done[x : x + channels] = (line[x : x + channels] + ((a + b) // 2 if how == 3 else near)) & 255
-    pixels = out[1:].reshape(h, w, channels)
+    pixels = _unfiltered(lines[:, 0], lines[:, 1:].reshape(h, w, channels))
     return pixels[:, :, 0].copy() if channels < 3 else np.rint(pixels[:, :, :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
 
 
+def _unfiltered(how: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The pixels of PNG lines (h, w, channels), with the filter of each line.
+
+    A pixel needs the one before it, the one above it and the one before that, so all pixels of a diagonal are done
+    together: step t has pixel t - y of each line y. Lines are skewed for it, with a pixel of zeros before them and a
+    line of zeros above.
+    """
+    h, w, channels = lines.shape
+    if not (how > 2).any():  # sums along the lines or down the columns only
+        out = np.zeros((h + 1, w, channels), np.uint8)
+        for y in range(h):
+            line = np.cumsum(lines[y], 0, dtype=np.uint8) if how[y] == 1 else lines[y]
+            out[y + 1] = line + out[y] if how[y] == 2 else line
+        return out[1:]
+    out = np.zeros((h + 1, w + 1, channels), np.int16)
+    kinds = how.astype(np.int64)
+    for t in range(h + w - 1):
+        y = np.arange(max(0, t - w + 1), min(h, t + 1))
+        x = t - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]  # before, above, before above
+        q = a + b - c
+        da, db, dc = abs(q - a), abs(q - b), abs(q - c)
+        near = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+        guess = np.choose(kinds[y][:, None], [np.zeros_like(a), a, b, (a + b) // 2, near])
+        out[y + 1, x + 1] = (lines[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def read_image(data: bytes | None) -> np.ndarray | None:
     pixels = read_pgm(data)
     return read_png(data) if pixels is None else pixels
