@@ -33,6 +33,11 @@ GRAMS = 1 << 15
 #: Share of all languages' grams in each language's, so that unseen grams weigh alike whatever its training mass.
 BACKGROUND = 0.02
 LANG_ATTRIBUTE = r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b"""
+# Three-letter codes (both sets) of languages with a code of two letters; other ones are no evidence.
+THREE_LETTERS = """ara:ar ben:bn bul:bg cat:ca ces:cs cze:cs cym:cy wel:cy dan:da deu:de ger:de ell:el gre:el eng:en est:et eus:eu baq:eu fas:fa per:fa
+fin:fi fra:fr fre:fr gle:ga glg:gl heb:he hin:hi hrv:hr hun:hu hye:hy arm:hy ind:id isl:is ice:is ita:it jpn:ja kat:ka geo:ka kor:ko lat:la lav:lv lit:lt
+mkd:mk mac:mk msa:ms may:ms nld:nl dut:nl nno:nn nob:nb nor:no pol:pl por:pt ron:ro rum:ro rus:ru slk:sk slo:sk slv:sl spa:es sqi:sq alb:sq srp:sr swa:sw
+swe:sv tam:ta tgl:tl tha:th tur:tr ukr:uk urd:ur vie:vi zho:zh chi:zh""".split()
 
 
 def _grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,6 +86,13 @@ def _train(rows: DataFrame, fit_rows: int) -> tuple[list[str], np.ndarray]:
     return names, np.log(np.r_[known, np.full((1, GRAMS), 1 / GRAMS)]).astype(np.float32)
 
 
+def language_code(declared: Column) -> Column:
+    """The two-letter code of a declared language, which may have a region behind - or _; null if it has none."""
+    code = F.lower(F.regexp_extract(F.trim(declared), "^([A-Za-z]{2,3})(?:[-_.@].*)?$", 1))
+    known = F.create_map(*[F.lit(x) for pair in THREE_LETTERS for x in pair.split(":")])
+    return F.when(F.length(code) == 2, code).when(F.length(code) == 3, F.try_element_at(known, code))
+
+
 def _domain(host: Column) -> Column:
     """The last two labels of a host."""
     return F.substring_index(host, ".", -2)
@@ -96,8 +108,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
     null = F.lit(None).cast("string")
     url, declared = null if url is None else url, null if declared is None else declared
     host = F.when(host_of(url) != "", host_of(url)) if host is None else host
-    rows = text_batches(docs).select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), F.lower(F.substring(F.trim(declared), 1, 2)).alias("declared"), url.alias("url"), host.alias("host"), F.col(text).alias("text"))
-    rows = rows.withColumn("declared", F.when(F.col("declared").rlike("^[a-z]{2}$"), F.col("declared")))
+    rows = text_batches(docs).select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), language_code(declared).alias("declared"), url.alias("url"), host.alias("host"), F.col(text).alias("text"))
     names, table_ = _train(rows.select("declared", "text"), fit_rows)
     size = len(names) + 1  # the last one is the unknown language
     model = spark.sparkContext.broadcast(table_)

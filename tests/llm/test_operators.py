@@ -729,6 +729,31 @@ def test_png_images_are_read():
     assert media_copies.read_image(broken[:50]) is None and media_copies.read_image(b"") is None and media_copies.read_image(None) is None
 
 
+def test_damaged_png_images_are_none():
+    rng = np.random.default_rng(47)
+    good = png(rng.integers(0, 256, (13, 17)), 4)
+    for cut in range(len(good)):
+        assert media_copies.read_image(good[:cut]) is None or cut >= len(good) - 16  # the last two chunks' ends
+    for at, value in ((16, (0).to_bytes(4, "big")), (20, (0).to_bytes(4, "big")), (16, b"\xff" * 4), (20, b"\xff" * 4), (24, b"\x10"), (25, b"\x03"), (28, b"\x01")):
+        assert media_copies.read_image(good[:at] + value + good[at + len(value) :]) is None
+    for at in range(41, len(good) - 16):
+        media_copies.read_image(good[:at] + bytes([good[at] ^ 0xFF]) + good[at + 1 :])  # whatever it is, no error
+
+
+def test_png_filters_by_diagonals_equal_pixels():
+    rng = np.random.default_rng(48)
+    h, w, c = 23, 19, 3
+    lines, how = rng.integers(0, 256, (h, w, c)).astype(np.uint8), rng.integers(0, 5, h)
+    want = np.zeros((h + 1, w + 1, c), int)
+    for y in range(h):
+        for x in range(w):
+            for k in range(c):
+                a, b, d = want[y + 1, x, k], want[y, x + 1, k], want[y, x, k]
+                near = min((a, b, d), key=lambda v: abs(a + b - d - v))
+                want[y + 1, x + 1, k] = (int(lines[y, x, k]) + [0, a, b, (a + b) // 2, near][how[y]]) % 256
+    assert (media_copies._unfiltered(how, lines) == want[1:, 1:]).all()
+
+
 def test_media_cases(spark):
     image = bytearray(media_copies.write_pgm(noisy_scene(1)[0]))
     rows = [(5, image, "x"), (3, image, "x"), (3, image, "x"), (None, image, "x"), (7, None, "x"), (8, bytearray(b""), "x"), (9, bytearray(b"no image"), "x"), (None, None, "x"), (10, bytearray(media_copies.write_pgm(np.zeros((200, 200)))), "x"), (11, bytearray(b"P5 0 0 255\n"), "x")]
@@ -1021,3 +1046,15 @@ def test_one_shingle_in_all_short_documents(spark, monkeypatch):
     common = "all of them share this one passage here"
     rows = [(i, f"{common} {prose(rng, rng.randrange(1, 4), 40)}") for i in range(900)]
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(spark_tools.stage(docs(spark, rows)), stars=False).collect()} == brute_links_by_index(rows)
+
+
+def test_codes_of_three_letters_are_not_cut(spark):
+    said = {"fil": None, "fin": "fi", "FIN-FI": "fi", "en": "en", " EN_us ": "en", "deu": "de", "ger": "de", "english": None, "e": None, "": None, "zz": "zz", "est": "et", "en.UTF-8": "en", "12": None}
+    df = spark.createDataFrame([*said.items(), (None, None)], "said string, code string")
+    assert all(r["found"] == r["code"] for r in df.withColumn("found", languages.language_code(F.col("said"))).collect())
+    # a page that says Filipino is no evidence for Finnish
+    fi = "tämä on suomen kieltä ja sen sanoja joita kirjoitetaan täällä usein hyvin pitkästi"
+    rows = [(i, f"{fi} {i}", "fi", "a") for i in range(30)] + [(100 + i, f"{EN} {i}", "eng", "b") for i in range(30)] + [(200, "zxqv wrtk", "fil", "c"), (201, "zxqv wrtk", None, "c")]
+    out = {r.doc_id: r for r in languages.identify(spark_tools.stage(docs(spark, rows)), declared=F.col("lang"), host=F.col("source")).collect()}
+    assert out[200].language == out[201].language and out[200].confidence == pytest.approx(out[201].confidence)
+    assert out[100].language == "en" and out[0].language == "fi"

@@ -59,3 +59,13 @@ def test_stages(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_pass_near_duplicates(spark):
+    rows = [(1, "one two", "x"), (1, "one three", "y"), (2, "one two three four five six", "z"), (None, "no id", "u"), (None, "no id", "v"), (None, None, "w")]
+    df = spark.createDataFrame([(i, t, "en", "s", c, c, c, c) for i, t, c in rows], "doc_id long, text string, lang string, source string, _content string, content string, id string, row string")
+    out = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert out.schema == df.schema
+    got = [tuple(r) for r in out.collect()]
+    assert Counter(r[0] for r in got) == {1: 1, 2: 1, None: 2}
+    assert all(r in [(i, t, "en", "s", c, c, c, c) for i, t, c in rows] for r in got)
