@@ -31,13 +31,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     doubled = stage(left.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"))
     if doubled.isEmpty():
         return left
-    # rows that share a doc_id count as one document: the first of them by content stays
+    # rows that share a doc_id count as one document: the first of them by content stays; rows are kept in a struct, so
+    # that columns of any name pass
     content = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = left.withColumn("_content", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(content))
-    named = marked.where("doc_id is not null")
-    first = stage(named.groupBy("doc_id").agg(F.min("_content").alias("_content")))
-    named = named.join(first, ["doc_id", "_content"], "left_semi").dropDuplicates(["doc_id", "_content"])
-    return named.unionByName(marked.where("doc_id is null").dropDuplicates(["_content"])).select(*docs.columns)
+    marked = left.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(content).alias("content"))
+    named = marked.where("id is not null")
+    first = stage(named.groupBy("id").agg(F.min("content").alias("content")))
+    named = named.join(first, ["id", "content"], "left_semi").dropDuplicates(["id", "content"])
+    kept = named.select("row").unionByName(marked.where("id is null").dropDuplicates(["content"]).select("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
