@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .functions import columns as C
-from .operators import evaluate as E, ingest as I, minute as M, panel_joins as J, quality as Q, risk as R, text as X, windows as W
+from .operators import evaluate as E, ingest as I, segment as G, minute as M, panel_joins as J, quality as Q, risk as R, text as X, windows as W
 from .plans import events as EV, factors as P, incremental as N, user_functions as U, walk_forward as WF
 from .session import scratch_dir
 from .sources import adapters as A, panels as S
@@ -893,6 +893,29 @@ def retrieve(spark, sf):
     return X.retrieve(weights, terms, A.read(spark, sf, "benchmark"), 5, 0.1).select("item_id", "id", "score", "place")
 
 
+# all arcs of each run by a join with the dictionary, the costs from the end of the run in a list, then the path in another
+_SEGMENT = r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word FROM documents), wc AS (SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, word LIMIT 5000),
+ tot AS (SELECT sum(n) AS total, max(length(word)) AS longest FROM wc), dict AS (SELECT word, CAST(round(ln(total / n) * 1000000) AS BIGINT) AS cost FROM wc, tot),
+ dr AS (SELECT doc_id, regexp_extract_all(replace(lower(text), ' ', ''), '[\p{L}\p{N}_]+') AS runs FROM documents), r AS (SELECT run, length(run) AS m FROM (SELECT DISTINCT unnest(runs) AS run FROM dr)),
+ c AS (SELECT run, i, k, substr(run, i, k) AS word FROM r, tot, range(1, m + 1) a(i), range(1, least(m - i + 1, longest) + 1) b(k)),
+ arc AS (SELECT run, i, list({k: CAST(k AS BIGINT), cost: coalesce(cost, (SELECT CAST(round(ln(total) * 1000000) AS BIGINT) FROM tot))}) AS arcs FROM c LEFT JOIN dict USING (word) WHERE k = 1 OR cost IS NOT NULL GROUP BY 1, 2),
+ al AS (SELECT run, [{arcs: [{k: 0::BIGINT, cost: 0::BIGINT}], best: [0::BIGINT], picks: []::BIGINT[]}] || list({arcs: arcs, best: []::BIGINT[], picks: []::BIGINT[]} ORDER BY i DESC) AS steps FROM arc GROUP BY 1),
+ dp AS (SELECT run, list_reduce(steps, lambda p, x: {arcs: x.arcs, best: ([list_min(list_transform(x.arcs, lambda a: a.cost + p.best[a.k]))] || p.best)[1:64], picks: [-list_min(list_transform(x.arcs, lambda a: {c: a.cost + p.best[a.k], k: -a.k})).k] || p.picks}).picks AS picks FROM al),
+ pt AS (SELECT run, list_reduce([{i: 0::BIGINT, k: 1::BIGINT, ws: []::VARCHAR[]}] || list_transform(picks, lambda k, i: {i: CAST(i AS BIGINT), k: k, ws: []::VARCHAR[]}), lambda p, x: CASE WHEN x.i = p.i + p.k THEN {i: x.i, k: x.k, ws: p.ws || [substr(run, x.i, x.k)]} ELSE p END).ws AS words FROM dp),
+ dw AS (SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS place FROM dr), dc AS (SELECT doc_id, sum(len(words)) AS n_words, string_agg(array_to_string(words, ' '), ' ' ORDER BY place) AS t FROM dw JOIN pt USING (run) GROUP BY 1)
+ SELECT doc_id, CAST(coalesce(n_words, 0) AS INTEGER) AS n_words, md5(coalesce(t, '')) AS h FROM documents LEFT JOIN dc USING (doc_id) WHERE text IS NOT NULL"""
+
+
+@query(_SEGMENT)
+def segment_words(spark, sf):
+    """Every text without its blanks, cut again by a dictionary of the corpus' most frequent words."""
+    docs = A.read(spark, sf, "documents").where("text is not null")
+    counts = G.word_counts(docs.select(F.explode(X.tokens(F.col("text"))).alias("word")), 5000)
+    words = G.segmenter(spark, counts)
+    cut = G.segment(docs.withColumn("text", F.replace(F.lower("text"), F.lit(" "), F.lit(""))), words)
+    return cut.select("doc_id", F.size("words").alias("n_words"), F.md5(F.array_join("words", " ")).alias("h"))
+
+
 @query("""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM n a JOIN n b ON a.vec_id % 100 = 0),
  p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s) SELECT query_id, id, score, CAST(place AS INTEGER) AS place FROM p WHERE place <= 5""")
 def embedding_similarity(spark, sf):
