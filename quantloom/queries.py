@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .functions import columns as C
-from .operators import evaluate as E, ingest as I, segment as G, minute as M, panel_joins as J, quality as Q, risk as R, text as X, windows as W
+from .operators import evaluate as E, ingest as I, segment as G, minute as M, panel_joins as J, quality as Q, risk as R, scans as SC, text as X, windows as W
 from .plans import events as EV, factors as P, incremental as N, user_functions as U, walk_forward as WF
 from .session import scratch_dir
 from .sources import adapters as A, panels as S
@@ -639,7 +639,7 @@ def warmup_skip(spark, sf):
 @query(f"""{DAILY}, n AS (SELECT instrument, trade_date, close, row_number() OVER {WI} - 1 AS i FROM d)
  SELECT a.instrument, a.trade_date, round(sum(b.close * CASE WHEN b.i = 0 THEN 1 ELSE 1.0 / 3 END * pow(2.0 / 3, a.i - b.i)), 5) AS ema FROM n a JOIN n b ON a.instrument = b.instrument AND b.i <= a.i GROUP BY 1, 2""")
 def ema(spark, sf):
-    return rounded(W.ema(A.daily(spark, sf).select("instrument", "trade_date", "close"), "close", 5).select("instrument", "trade_date", "ema"), 5)
+    return rounded(SC.ema(A.daily(spark, sf).select("instrument", "trade_date", "close"), "close", 5).select("instrument", "trade_date", "ema"), 5)
 
 
 # --- sorts, sets, freshness ----------------------------------------------------------------------------------
