@@ -936,7 +936,20 @@ def user_daily_slices(spark, sf):
 @query(f"{DAILY} SELECT 'cummax' AS factor_name, trade_date, instrument, max(close) OVER {WI} AS value FROM d")
 def user_daily_series(spark, sf):
     d = A.daily(spark, sf).select("instrument", "trade_date", "close")
-    return U.daily_series(d, "cummax", lambda rows, stock: rows["close"].cummax()).where("error is null").drop("error")
+
+    def highest(rows, state, stock):
+        so_far = rows["close"].cummax()
+        return so_far if state is None else so_far.clip(lower=state), max(so_far.iloc[-1], state or 0.0)
+
+    return U.daily_scan(d, "cummax", highest, max).where("error is null").drop("error")
+
+
+@query(f"{DAILY} SELECT 'mid' AS factor_name, trade_date, instrument, round((max(close) OVER {_rows(20)} + min(close) OVER {_rows(20)}) / 2, 6) AS value FROM d")
+def user_daily_lookback(spark, sf):
+    """A function of a series of rows, of which each value depends on a look-back's rows only."""
+    d = A.daily(spark, sf).select("instrument", "trade_date", "close")
+    middle = lambda rows, stock: (rows["close"].rolling(20, 1).max() + rows["close"].rolling(20, 1).min()) / 2
+    return rounded(U.daily_series(d, "mid", middle, lookback=19).where("error is null").drop("error"))
 
 
 @query(f"{DAILY} SELECT 'share' AS factor_name, trade_date, instrument, volume / sum(volume) OVER (PARTITION BY trade_date) AS value FROM d")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import scans as SC
+from quantloom.plans import user_functions as U
 
 
 def series(spark, seed=1, days=700, gaps=True):
@@ -60,3 +61,53 @@ def test_halo_is_the_last_rows_before_a_range(spark, lookback, days):
             want |= {(s, d, r, True) for d in g[g["r"] == r]["trade_date"]}
             want |= {(s, d, r, False) for d in g[g["r"] < r]["trade_date"].tolist()[-lookback or len(g) :]}
     assert {*zip(got["instrument"], got["trade_date"], got["_range"], got["_own"], strict=True)} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("days", [1, 9, 64, 10_000])
+def test_user_functions_do_not_depend_on_ranges(spark, days):
+    df = series(spark, 3, 90).select("instrument", "trade_date", "seq")
+    whole = df.toPandas().sort_values(["instrument", "trade_date"])
+    by = whole.groupby("instrument")["seq"]
+    keyed = lambda out: {(r.factor_name, r.instrument, r.trade_date): r.value for r in out.collect()}
+    places = list(zip(whole["instrument"], whole["trade_date"], strict=True))
+
+    def want(name, values):
+        return {(name, s, d): v for (s, d), v in zip(places, values, strict=True)}
+
+    got = U.daily_slices(df, lambda rows, day, stock: {"sum": rows["seq"].sum(), "n": len(rows)}, 6, days=days)
+    assert got.where("error is not null").count() == 0
+    assert keyed(got) == want("sum", by.transform(lambda x: x.rolling(7, 1).sum())) | want("n", by.transform(lambda x: x.rolling(7, 1).count()))
+    got = U.daily_series(df, "s", lambda rows, stock: rows["seq"].rolling(12, 1).max(), errors=False, lookback=11, days=days)
+    assert keyed(got) == want("s", by.transform(lambda x: x.rolling(12, 1).max()))
+
+    def add(rows, state, stock):
+        sums = rows["seq"].cumsum() + (state or 0)
+        return sums, int(sums.iloc[-1])
+
+    assert keyed(U.daily_scan(df, "c", add, lambda a, b: a + b, errors=False, days=days)) == want("c", by.cumsum())
+
+
+def test_failing_ranges_leave_the_others(spark):
+    df = series(spark, 3, 90).select("instrument", "trade_date", "seq").where("instrument = 'hot'")
+    bad = df.orderBy("trade_date").collect()[40].trade_date
+
+    def f(rows, day, stock):
+        if day == bad:
+            raise ValueError("bad")
+        return {"n": len(rows)}
+
+    out = U.daily_slices(df, f, 3, days=10)
+    errors = out.where("error is not null").collect()
+    assert [r.error for r in errors] == ["ValueError: bad"] and errors[0].trade_date <= bad and 80 <= out.where("error is null").count() < 90
+
+    def g(rows, state, stock):
+        if bad in rows["trade_date"].tolist():
+            raise ValueError("bad")
+        return rows["seq"] * 0, 0
+
+    out = U.daily_scan(df, "g", g, max, days=10)
+    messages = [r.error for r in out.where("error is not null").orderBy("trade_date").collect()]
+    assert messages[0] == "ValueError: bad" and len(messages) > 3 and all("a range before it failed: ValueError: bad" in m for m in messages[1:])
+    assert 30 <= out.where("error is null").count() <= 40
+    with pytest.raises(Exception, match="bad"):
+        U.daily_scan(df, "g", g, max, errors=False, days=10).collect()
