@@ -809,6 +809,28 @@ def stream_minute_ingest(spark, sf):
     return spark.read.parquet(out).select("instrument", "trade_date", "seq", F.round("close", 6).alias("close"), "volume")
 
 
+@query(ORACLES["stream_minute_ingest"])
+def stream_keep_last(spark, sf):
+    """The same by a state of the open days: closed days as written, open ones as the state has them."""
+    out, state = scratch_dir(spark, "kept"), scratch_dir(spark, "state")
+    kept = ST.keep_last_stream(_event_files(spark, sf), "1 day")
+    ST.append_stream(kept, out, state).awaitTermination()
+    rows = spark.read.schema(kept.schema).parquet(out).unionByName(ST.open_rows(spark, state))
+    return rows.select("instrument", "trade_date", "seq", F.round("close", 6).alias("close"), "volume")
+
+
+@query(f"{MINUTE}, x AS (SELECT instrument, trade_date, sum(volume) / (sum(vwap * volume) + 1e-8) AS r FROM m GROUP BY 1, 2) SELECT * FROM (SELECT instrument, trade_date, round(avg(r) OVER {_rows(20)}, 8) AS value FROM x) WHERE trade_date < (SELECT max(trade_date) FROM m)")
+def stream_day_factor(spark, sf):
+    """Ticks to a rolling factor of days in one stream, on the closed days."""
+    path, out, state = scratch_dir(spark, "ticks"), scratch_dir(spark, "factor"), scratch_dir(spark, "state")
+    m = A.minute(spark, sf).drop("trade_date")
+    m.repartition(2, "instrument").write.parquet(path)
+    ratio = F.sum("volume") / (F.sum(F.col("vwap") * F.col("volume")) + 1e-8)
+    factor = ST.stream_day_factor(ST.read_stream(spark, path, m.schema), ratio, 20, "0 seconds")
+    ST.append_stream(factor, out, state).awaitTermination()
+    return spark.read.schema(factor.schema).parquet(out).select("instrument", "trade_date", F.round("value", 8).alias("value"))
+
+
 @query(f"{MINUTE} SELECT instrument, count(*) AS n FROM m GROUP BY 1")
 def stream_dedup(spark, sf):
     out, state = scratch_dir(spark, "deduped"), scratch_dir(spark, "state")

@@ -1,9 +1,13 @@
-"""Streams of minute bars: ingest with deduplication, and day or n-minute bars with a cut-off for late data."""
+"""Streams of minute bars: ingest with deduplication, day or n-minute bars with a cut-off for late data, and day factors
+that follow from the bars in the same stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.columns import strip_code
 from ..operators.ingest import dedup_keep_last
@@ -43,6 +47,105 @@ def ingest_keep_last(df: DataFrame, path: str, checkpoint: str, order: str = "se
     return df.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: State of any form needs this store; it keeps state on disk, with its changes in the checkpoint.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY_MS = 86_400_000
+
+
+class KeepLast(StatefulProcessor):
+    """Holds the bars of an instrument and day: of equal datetime the last by the order column. When the watermark passes
+    the day's end, a timer gives them out and clears the state."""
+
+    def __init__(self, row: T.StructType, order: str) -> None:
+        self.row, self.order = row, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getValueState("rows", T.StructType([T.StructField("rows", T.ArrayType(self.row))]))
+
+    def _held(self) -> list[tuple]:
+        found = self.rows.get() if self.rows.exists() else None
+        return [tuple(r) for r in found[0]] if found else []
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names, last = self.row.names, {}
+        at, order = names.index("datetime"), names.index(self.order)
+        new = (x for part in rows for x in zip(*(_plain(part[f.name], f.dataType) for f in self.row), strict=True))
+        for x in (*self._held(), *new):
+            if x[at] not in last or last[x[at]][order] is None or x[order] is not None and x[order] >= last[x[at]][order]:
+                last[x[at]] = x
+        self.rows.update(([last[t] for t in sorted(last)],))
+        self.handle.registerTimer(int(pd.Timestamp(key[1]).timestamp() * 1000) + DAY_MS)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        self.rows.clear()
+        if held:
+            yield pd.DataFrame(held, columns=self.row.names).astype(object).where(lambda d: d.notna(), None)
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(column: pd.Series, kind: T.DataType | None = None) -> list:
+    """A column's values as Python objects, missing ones as None; whole numbers stay whole beside missing ones."""
+    of = int if isinstance(kind, T.IntegralType) else lambda v: v
+    return [None if v is pd.NaT or v is None or v != v else v.to_pydatetime() if isinstance(v, pd.Timestamp) else of(v) for v in column.tolist()]
+
+
+def keep_last_stream(df: DataFrame, delay: str = "1 day", order: str = "seq") -> DataFrame:
+    """Each bar once: of equal (instrument, datetime) the last by the order column, given out when its day is closed.
+
+    The state holds the open days only, by instrument and day, so no stored date is read or written again. A day is closed
+    when a bar has come that is `delay` later than its end; a bar of a closed day is dropped. df has trade_date, the date
+    of datetime. The bars of the open days are in open_rows().
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    row = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
+    days = df.withWatermark("datetime", delay).groupBy("instrument", "trade_date")
+    return days.transformWithStateInPandas(KeepLast(row, order), row, "Append", "EventTime")
+
+
+def open_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The bars that a stopped keep_last_stream() still holds."""
+    held = spark.read.format("statestore").option("stateVarName", "rows").load(checkpoint)
+    return held.select(F.explode("value.rows").alias("r")).select("r.*")
+
+
+class RollingMean(StatefulProcessor):
+    """Means of the last n days' values of an instrument; days come in order, as the watermark closes them."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.values = handle.getValueState("values", "values array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("trade_date")
+        held = list(self.values.get()[0]) if self.values.exists() else []
+        all_ = pd.Series([*held, *_plain(new["value"])], dtype=float)
+        self.values.update(([None if v != v else v for v in all_.tolist()[-(self.n - 1) :]] if self.n > 1 else [],))
+        mean = all_.rolling(self.n, min_periods=1).mean().to_numpy()[len(held) :]
+        yield pd.DataFrame({"instrument": key[0], "trade_date": new["trade_date"], "value": mean})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_day_factor(df: DataFrame, value: Column, n: int = 20, delay: str = "1 hour") -> DataFrame:
+    """(instrument, trade_date, value): the mean of the last n days (those with bars) of an aggregate of a day's bars.
+
+    Two stateful operators in one stream: the day's aggregate goes on when the watermark closes the day, and the state
+    behind it has n - 1 numbers for an instrument. Equal to the same factor of a table on all closed days.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    days = df.withWatermark("datetime", delay).groupBy("instrument", F.window("datetime", "1 day").alias("w")).agg(value.alias("value"))
+    days = days.select("instrument", F.to_date("w.start").alias("trade_date"), F.col("value").cast("double"))
+    return days.groupBy("instrument").transformWithStateInPandas(RollingMean(n), "instrument string, trade_date date, value double", "Append", "None")
+
+
 def append_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).partitionBy("trade_date").trigger(availableNow=True).start()
 
