@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .functions import columns as C
 from .operators import evaluate as E, ingest as I, segment as G, minute as M, panel_joins as J, quality as Q, risk as R, scans as SC, text as X, windows as W
-from .plans import events as EV, factors as P, incremental as N, user_functions as U, walk_forward as WF
+from .plans import events as EV, factors as P, incremental as N, upsert as UP, user_functions as U, walk_forward as WF
 from .session import scratch_dir
 from .sources import adapters as A, panels as S
 from .streaming import minute_stream as ST
@@ -182,6 +182,24 @@ def upsert_combine_first(spark, sf):
     return I.upsert_combine_first(new, old)
 
 
+@query(f"""{DAILY}, g AS (SELECT instrument, trade_date, CASE WHEN volume <> 25 THEN close END AS close, volume, roe, turnover_rate FROM d),
+ o AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pre_close FROM g WHERE trade_date < DATE '1997-12-15' AND NOT (trade_date >= DATE '1995-03-06' AND trade_date < DATE '1995-03-20' AND volume % 2 = 0)),
+ n AS (SELECT instrument, trade_date, CASE WHEN volume <> 25 THEN close + 1 END AS close, volume, turnover_rate FROM d WHERE trade_date >= DATE '1997-12-01' AND trade_date < DATE '1998-02-01' OR trade_date >= DATE '1995-03-06' AND trade_date < DATE '1995-03-20'),
+ m AS (SELECT instrument, trade_date, coalesce(n.close, o.close) AS close, coalesce(n.volume, o.volume) AS volume, o.roe, coalesce(n.turnover_rate, o.turnover_rate) AS turnover_rate, o.pre_close, (o.close / o.pre_close - 1) * 100 AS pct_chg FROM o FULL JOIN n USING (instrument, trade_date)),
+ p AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM m)
+ SELECT instrument, trade_date, close, volume, roe, turnover_rate, coalesce(pre_close, prev) AS pre_close, round(coalesce(pct_chg, (close / prev - 1) * 100), 6) AS pct_chg FROM p""")
+def upsert_by_period(spark, sf):
+    """New rows of two stretches of dates into a stored panel, by the months that they change."""
+    d = A.daily(spark, sf)
+    close, spring = F.when(F.col("volume") != 25, F.col("close")), "trade_date >= date'1995-03-06' and trade_date < date'1995-03-20'"
+    old = d.where(f"trade_date < date'1997-12-15' and not ({spring} and volume % 2 = 0)").select("instrument", "trade_date", close.alias("close"), "volume", "roe", "turnover_rate")
+    new = d.where(f"trade_date >= date'1997-12-01' and trade_date < date'1998-02-01' or {spring}").select("instrument", "trade_date", F.when(F.col("volume") != 25, F.col("close") + 1).alias("close"), "volume", "turnover_rate")
+    path = scratch_dir(spark, "panel")
+    done = UP.upsert_panel(spark, path, UP.write_panel(old, path), new)
+    rows = UP.read_panel(spark, path, done.schema)
+    return rows.select("instrument", "trade_date", "close", "volume", "roe", "turnover_rate", "pre_close", F.round("pct_chg", 6).alias("pct_chg"))
+
+
 @query(f"""{DAILY}, g AS (SELECT instrument, trade_date, CASE WHEN volume <> 25 THEN close END AS close FROM d),
  p AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pre_close FROM g)
  SELECT instrument, trade_date, close, pre_close, (close / pre_close - 1) * 100 AS pct_chg FROM p""")
