@@ -107,7 +107,7 @@ def _interval(spark: SparkSession, path: str, new: DataFrame, before: list[str],
     merged = _stage(upsert_combine_first(new, old, [*KEYS, "period"]).select(*columns, "period"), "merged", staged)
     # instruments that lack a derived value before their first close of the interval
     first = F.min(F.when(F.col("close").isNotNull(), F.col("trade_date")))
-    lack = F.min(F.when(F.col("pct_chg").isNull() | F.col("pre_close").isNull(), F.col("trade_date")))
+    lack = F.min(F.when(F.col("pre_close").isNull() | F.col("pct_chg").isNull() & F.col("close").isNotNull(), F.col("trade_date")))
     wanted = merged.groupBy("instrument").agg(first.alias("first"), lack.alias("lack")).where("lack is not null and (first is null or lack <= first)").select("instrument")
     wanted, prior = _stage(wanted, "wanted", staged), None
     for chunk in _chunks(before[::-1]):
