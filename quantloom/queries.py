@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .functions import columns as C
 from .operators import evaluate as E, ingest as I, segment as G, minute as M, panel_joins as J, quality as Q, risk as R, scans as SC, text as X, windows as W
-from .plans import events as EV, factors as P, incremental as N, upsert as UP, user_functions as U, walk_forward as WF
+from .plans import events as EV, factors as P, hash_tree as HT, incremental as N, upsert as UP, user_functions as U, walk_forward as WF
 from .session import scratch_dir
 from .sources import adapters as A, panels as S
 from .streaming import minute_stream as ST
@@ -554,6 +554,22 @@ def frame_hash(spark, sf):
     return a.join(b, "factor_name").select("factor_name", "n", ((F.col("hash_xor") == F.col("x")) & (F.col("hash_sum") == F.col("s"))).alias("same"))
 
 
+@query(f"""{EVAL}, o AS (SELECT factor_name, trade_date, instrument, value FROM e WHERE NOT (factor_name = 'momentum_5' AND day(trade_date) = 9)),
+ n AS (SELECT factor_name, trade_date, instrument, CASE WHEN instrument = '7' AND factor_name = 'reversal_1' THEN value + 1 ELSE value END AS value FROM e WHERE NOT (day(trade_date) = 20 AND month(trade_date) = 6) AND NOT (instrument = '3' AND year(trade_date) = 1996 AND factor_name = 'momentum_5')),
+ x AS (SELECT factor_name, trade_date FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION SELECT factor_name, trade_date FROM (SELECT * FROM n EXCEPT SELECT * FROM o)), od AS (SELECT DISTINCT factor_name, trade_date, 1 AS i FROM o), nd AS (SELECT DISTINCT factor_name, trade_date, 1 AS j FROM n)
+ SELECT factor_name, trade_date, CASE WHEN i IS NULL THEN 'added' WHEN j IS NULL THEN 'removed' ELSE 'changed' END AS change FROM x LEFT JOIN od USING (factor_name, trade_date) LEFT JOIN nd USING (factor_name, trade_date)""")
+def changed_dates(spark, sf):
+    """The dates on which two versions of a factor table differ, by their hash trees."""
+    p = _panel(spark, sf).select("factor_name", "trade_date", "instrument", "value")
+    old = p.where("not (factor_name = 'momentum_5' and day(trade_date) = 9)")
+    new = p.where("not (day(trade_date) = 20 and month(trade_date) = 6) and not (instrument = '3' and year(trade_date) = 1996 and factor_name = 'momentum_5')")
+    new = new.withColumn("value", F.when(F.expr("instrument = '7' and factor_name = 'reversal_1'"), F.col("value") + 1).otherwise(F.col("value"))).repartition(5, "instrument")
+    paths = scratch_dir(spark, "tree"), scratch_dir(spark, "tree")
+    for df, path in zip((new, old), paths, strict=True):
+        HT.write_tree(df, path)
+    return HT.changed_dates(spark, *paths)
+
+
 @query(f"{DAILY}, di AS (SELECT d.*, n_name AS industry FROM d JOIN supplier ON CAST(s_suppkey AS VARCHAR) = instrument JOIN nation ON s_nationkey = n_nationkey) SELECT instrument, trade_date, round(avg(roe) OVER (PARTITION BY trade_date, industry), 6) AS industry_mean, CAST(rank() OVER (PARTITION BY trade_date, industry ORDER BY roe) AS INTEGER) AS industry_rank, round(roe - avg(roe) OVER (PARTITION BY trade_date, industry), 6) AS neutral FROM di")
 def industry_stats(spark, sf):
     d = A.daily(spark, sf).join(A.industry(spark, sf), "instrument")
