@@ -28,12 +28,13 @@ class FactorSpec:
     stage: tuple[tuple[str, Callable[[], Column]], ...] = ()
 
 
-def compute(specs: list[FactorSpec], daily: DataFrame | None = None, minute: DataFrame | None = None, asof: DataFrame | None = None) -> DataFrame:
+def compute(specs: list[FactorSpec], daily: DataFrame | None = None, minute: DataFrame | None = None, asof: DataFrame | None = None, clustered: bool = False) -> DataFrame:
     """The long factor table of all specs.
 
     asof: a calendar (trade_date); daily factors then have a value on each of its dates, from the instrument's last bar
     at or before it. Series factors are columns over one window partitioning, so they share one shuffle on the instrument whatever
     their number; cross-sections share a second one on the date. Only the columns that specs name are read.
+    clustered: the minute bars lie by instrument already (write_bucketed()), so they are not moved for several factors.
     """
     parts: list[DataFrame] = []
     flat = [s for s in specs if s.kind in ("series", "cross_section")]
@@ -50,7 +51,7 @@ def compute(specs: list[FactorSpec], daily: DataFrame | None = None, minute: Dat
     intraday = [s for s in specs if s.kind == "minute"]
     if intraday and minute is None:
         raise ValueError("minute bars are needed")
-    if len(intraday) > 1:  # each needs the rows of an instrument's day together: they move once for all
+    if len(intraday) > 1 and not clustered:  # each needs the rows of an instrument's day together: they move once for all
         minute = minute.repartition("instrument", "trade_date")
     for s in intraday:
         parts.append(s.build(minute).select(F.lit(s.name).alias("factor_name"), "trade_date", "instrument", finite(F.col("value")).alias("value")))

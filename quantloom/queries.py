@@ -1155,6 +1155,17 @@ def standard_factors(spark, sf):
     return rounded(P.compute(P.standard_specs(), A.daily(spark, sf), A.minute(spark, sf)).where("value is not null"), 5)
 
 
+@query(ORACLES["standard_factors"])
+def bucketed_factors(spark, sf):
+    """All standard specs from bars that are stored in buckets by instrument."""
+    daily, minute = A.daily(spark, sf), A.minute(spark, sf)
+    paths = [scratch_dir(spark, n) for n in ("daily", "minute")]
+    names = [p.rsplit("/", 1)[-1].replace("-", "_") for p in paths]
+    daily = S.write_bucketed(daily, names[0], paths[0], 16)
+    minute = S.write_bucketed(minute, names[1], paths[1], 16, "datetime")
+    return rounded(P.compute(P.standard_specs(), daily, minute, clustered=True).where("value is not null"), 5)
+
+
 @query(ORACLES["user_minute_days"])
 def user_minute_series(spark, sf):
     """A function that returns a series of values by name."""
