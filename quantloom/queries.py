@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from .functions import columns as C
 from .operators import evaluate as E, ingest as I, segment as G, minute as M, panel_joins as J, quality as Q, risk as R, scans as SC, text as X, windows as W
 from .plans import events as EV, factors as P, hash_tree as HT, incremental as N, upsert as UP, user_functions as U, walk_forward as WF
-from .session import scratch_dir
+from .session import scratch_dir, staged
 from .sources import adapters as A, panels as S
 from .streaming import minute_stream as ST
 
@@ -972,6 +972,15 @@ def segment_words(spark, sf):
     return cut.select("doc_id", F.size("words").alias("n_words"), F.md5(F.array_join("words", " ")).alias("h"))
 
 
+@query(ORACLES["retrieve"])
+def retrieve_blocks(spark, sf):
+    """The same from posting blocks with bounds."""
+    weights, terms = X.tfidf_index(A.read(spark, sf, "documents"))
+    weights, terms = staged(weights, "weights"), staged(terms, "terms")
+    blocks = staged(X.posting_blocks(weights), "blocks")
+    return X.retrieve_blocks(blocks, terms, A.read(spark, sf, "benchmark"), 5, 0.1)[0]
+
+
 @query("""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM n a JOIN n b ON a.vec_id % 100 = 0),
  p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s) SELECT query_id, id, score, CAST(place AS INTEGER) AS place FROM p WHERE place <= 5""")
 def embedding_similarity(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Time stamps are minutes of a trading day, so the zone is fixed; plans adapt at run time.
 DEFAULTS = {
@@ -37,3 +37,10 @@ def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder that scratch_dir() named."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to a scratch folder and read back: cuts the lineage, and survives lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
