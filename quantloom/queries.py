@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .functions import columns as C
-from .operators import evaluate as E, ingest as I, segment as G, minute as M, panel_joins as J, quality as Q, risk as R, scans as SC, text as X, windows as W
+from .operators import evaluate as E, ingest as I, segment as G, minute as M, panel_joins as J, quality as Q, risk as R, scans as SC, summaries as SU, text as X, windows as W
 from .plans import events as EV, factors as P, hash_tree as HT, incremental as N, upsert as UP, user_functions as U, walk_forward as WF
 from .session import scratch_dir, staged
 from .sources import adapters as A, panels as S
@@ -451,6 +451,26 @@ def cum_decile_curve(spark, sf):
     return rounded(E.cum_decile_curve(E.decile_returns_daily(_panel(spark, sf))), 2)
 
 
+@query(ORACLES["max_drawdown"])
+def max_drawdown_extended(spark, sf):
+    """From a stored summary of the days before 1996, extended by the others."""
+    ls = E.long_short_daily(E.decile_returns_daily(_panel(spark, sf))).withColumn("ls", F.col("ls") / 100)
+    stored = staged(SU.drawdown_summary(ls.where("trade_date < date'1996-01-01'")), "summary")
+    return rounded(SU.drawdown(SU.extend_drawdown(stored, ls)))
+
+
+@query(ORACLES["cum_decile_curve"].replace(", 2) AS cum_ret", ", 2) + 0.0 AS cum_ret"))
+def cum_decile_curve_extended(spark, sf):
+    """From the stored curve of the days before 1996, extended by the others."""
+    keys = ["factor_name", "decile"]
+    daily = E.decile_returns_daily(_panel(spark, sf))
+    ls = E.long_short_daily(daily).select("factor_name", "trade_date", F.lit(0).alias("decile"), F.col("ls").alias("mean_ret"))
+    series = staged(daily.select("factor_name", "trade_date", "decile", "mean_ret").unionByName(ls), "series")
+    old = staged(SU.running_sums(series.where("trade_date < date'1996-01-01'"), keys, "mean_ret", out="cum_ret"), "curve")
+    new = SU.running_sums(series.where("trade_date >= date'1996-01-01'"), keys, "mean_ret", SU.last_sums(old, keys, "cum_ret"), "cum_ret")
+    return old.unionByName(new).select("factor_name", "trade_date", "decile", (F.round("cum_ret", 2) + 0.0).alias("cum_ret"))
+
+
 def _monthly_evaluation(spark, sf):
     panel = _panel(spark, sf, A.monthly).cache()
     daily = E.decile_returns_daily(panel)
