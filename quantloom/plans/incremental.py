@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ingest import dedup_keep_last
-from .factors import FactorSpec, compute
+from ..session import staged
+from .factors import FactorSpec, compute, mask_limit_up
 
 
 def high_water_mark(stored: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -71,6 +73,55 @@ def update_factors(stored: DataFrame, specs: list[FactorSpec], daily: DataFrame,
     return out
 
 
+def tail_rows(rows: DataFrame, instruments: DataFrame, cut: dt.date, n: int) -> DataFrame:
+    """Rows of the instruments up to the date `cut` that hold the last n dates of each, or all that it has.
+
+    Stretches of dates are read backwards, each four times as long as all before it and for those instruments only that
+    still lack dates, so an instrument that pauses does not make the others' history be read.
+    """
+    out, need, days, to = rows.limit(0), staged(instruments.select("instrument").withColumn("_need", F.lit(n)), "need"), max(7, 2 * n), cut
+    while n > 0:
+        since = cut - dt.timedelta(days=days)
+        piece = rows.where((F.col("trade_date") > F.lit(since)) & (F.col("trade_date") <= F.lit(to))).join(need.select("instrument"), "instrument", "left_semi")
+        out = out.unionByName(piece)
+        got = piece.groupBy("instrument").agg(F.countDistinct("trade_date").alias("_got"))
+        need = staged(need.join(got, "instrument", "left").select("instrument", (F.col("_need") - F.coalesce("_got", F.lit(0))).alias("_need")).where("_need > 0"), "need")
+        if need.isEmpty() or rows.where(F.col("trade_date") <= F.lit(since)).isEmpty():
+            break
+        days, to = 5 * days, since
+    return out
+
+
+def extend_factors(stored: DataFrame, specs: list[FactorSpec], daily: DataFrame | None = None, minute: DataFrame | None = None, limit_up: DataFrame | None = None) -> DataFrame:
+    """The rows that the stored table of factors lacks at its end: what compute() (and the mask, with limit_up) would give
+    for each factor on the dates behind its last stored one.
+
+    Each source is planned by itself: of its new dates all rows, and before them as many dates of each instrument as the
+    longest look-back of its specs, stages included, counts; minute bars by days. Factors are computed from the earliest
+    of their last dates on, and those without any from the beginning, so a source is read for two branches at most.
+    """
+    ends = {r["factor_name"]: r["last_date"] for r in stored.groupBy("factor_name").agg(F.max("trade_date").alias("last_date")).collect()}  # a row for each factor
+    parts: list[DataFrame] = []
+    for source, kinds in (("daily", ("series", "cross_section")), ("minute", ("minute",))):
+        mine = [s for s in specs if s.kind in kinds]
+        rows = daily if source == "daily" else minute
+        if mine and rows is None:
+            raise ValueError(f"{source} bars are needed")
+        begun, new = [s for s in mine if s.name in ends], [s for s in mine if s.name not in ends]
+        if new:
+            parts.append(compute(new, **{source: rows}))
+        if begun:
+            cut = min(ends[s.name] for s in begun)
+            late = rows.where(F.col("trade_date") > F.lit(cut))
+            panel = late.unionByName(tail_rows(rows, late.select("instrument").distinct(), cut, max(s.lookback for s in begun)))
+            behind = F.create_map(*[F.lit(x) for s in begun for x in (s.name, ends[s.name])])
+            parts.append(compute(begun, **{source: panel}).where(F.col("trade_date") > F.try_element_at(behind, F.col("factor_name"))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out if limit_up is None else mask_limit_up(out, limit_up).select(*out.columns)
+
+
 def resume_from_checkpoint(days: DataFrame, done: DataFrame) -> DataFrame:
     """Dates whose output is not there yet."""
     return days.join(done.select("trade_date").distinct(), "trade_date", "left_anti")

@@ -1195,6 +1195,32 @@ def bucketed_factors(spark, sf):
     return rounded(P.compute(P.standard_specs(), daily, minute, clustered=True).where("value is not null"), 5)
 
 
+_ENDS = {"momentum_5": "1997-06-30", "reversal_1": "1996-03-01", "ma_ratio_5_20": "1998-01-15", "momentum_z": "1998-09-30", "volume_amount": "2024-01-15"}
+
+
+def _stored_half(full: DataFrame) -> DataFrame:
+    """Factors up to different dates; one of them is not stored yet."""
+    end = F.try_element_at(F.create_map(*[F.lit(x) for x in sum(_ENDS.items(), ())]), F.col("factor_name"))
+    return staged(full.where(F.col("trade_date") <= end.cast("date")), "stored")
+
+
+@query(ORACLES["standard_factors"])
+def standard_factors_extended(spark, sf):
+    """All standard specs, minute bars and staged ones too, from a stored part: equal to the full run."""
+    daily, minute = A.daily(spark, sf), A.minute(spark, sf)
+    stored = _stored_half(P.compute(P.standard_specs(), daily, minute))
+    return rounded(stored.unionByName(N.extend_factors(stored, P.standard_specs(), daily, minute)).where("value is not null"), 5)
+
+
+@query(ORACLES["standard_factors"].replace("WHERE value IS NOT NULL", "LEFT JOIN (SELECT instrument AS i, trade_date AS t FROM z WHERE r1 <= -0.05) h ON h.i = al.instrument AND h.t = al.trade_date WHERE value IS NOT NULL AND h.i IS NULL"))
+def masked_factors_extended(spark, sf):
+    """The same with values masked on dates of a great rise."""
+    daily, minute = A.daily(spark, sf), A.minute(spark, sf)
+    rise = daily.select("instrument", "trade_date", W.reversal("close", 1).alias("r")).where("r <= -0.05").select("instrument", "trade_date")
+    stored = _stored_half(P.mask_limit_up(P.compute(P.standard_specs(), daily, minute), rise).select("factor_name", "trade_date", "instrument", "value"))
+    return rounded(stored.unionByName(N.extend_factors(stored, P.standard_specs(), daily, minute, rise)).where("value is not null"), 5)
+
+
 @query(ORACLES["user_minute_days"])
 def user_minute_series(spark, sf):
     """A function that returns a series of values by name."""

@@ -250,3 +250,17 @@ def test_many_factors_are_updated_to_the_full_run(spark):
     key = lambda df: sorted((r.factor_name, r.trade_date, r.instrument, r.value) for r in df.where("value is not null").collect())
     assert key(N.update_factors(stored, specs, daily, S.calendar_of(daily))) == key(full)
     assert key(N.update_factors(full, specs, daily, S.calendar_of(daily))) == key(full)
+
+
+def test_tail_rows_hold_the_last_dates_and_read_no_more(spark):
+    from quantloom.plans import incremental as N
+
+    # one instrument trades daily, one paused for long, one has few rows, one none
+    rows = [("a", day(n), float(n)) for n in range(1000)] + [("b", day(n), float(n)) for n in (*range(100), 990)] + [("c", day(980), 1.0)]
+    df = spark.createDataFrame(rows, "instrument string, trade_date date, close double")
+    names = spark.createDataFrame([(s,) for s in "abcd"], "instrument string")
+    got = {s: sorted(r.trade_date for r in N.tail_rows(df, names, day(995), 5).where(F.col("instrument") == s).collect()) for s in "abcd"}
+    for s, least in (("a", [day(n) for n in range(991, 996)]), ("b", [day(n) for n in (96, 97, 98, 99, 990)]), ("c", [day(980)]), ("d", [])):
+        assert got[s][-len(least) :] == least or not least and not got[s]
+    assert len(got["a"]) <= 10  # the long search for b and c is theirs alone
+    assert N.tail_rows(df, names, day(995), 0).count() == 0 and N.tail_rows(df, names.limit(0), day(995), 5).count() == 0
