@@ -39,6 +39,34 @@ def rank_cs(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).withColumns({"rank": F.rank().over(w), "pct_rank": F.percent_rank().over(w), "median": F.percentile(column, F.lit(0.5)).over(by_date())})
 
 
+def quantiles_cs(df: DataFrame, column: str, levels: list[float], keys: list[str] | None = None) -> DataFrame:
+    """(keys, level, value): exact quantiles of any levels for each date (or other keys), interpolated between values."""
+    keys = keys or ["trade_date"]
+    found = df.groupBy(*keys).agg(F.percentile(column, F.array(*map(F.lit, levels))).alias("_v")).where("_v is not null")
+    return found.select(*keys, F.inline(F.arrays_zip(F.array(*map(F.lit, levels)).alias("level"), F.col("_v").alias("value"))))
+
+
+def rank_error(k: int) -> float:
+    """By how much of all values the rank of a sketch's quantile may be off (for 99 in 100 of them), after any merges."""
+    return 2.296 / k**0.9021
+
+
+def quantile_sketches(df: DataFrame, column: str, k: int = 200, keys: list[str] | None = None) -> DataFrame:
+    """(keys, sketch): a quantile sketch of about k numbers for each date (or other keys), to be stored. Partial sketches
+    are merged, so a hot date is not the work of one task; missing values don't count."""
+    keys = keys or ["trade_date"]
+    x = F.col(column).cast("double")
+    return df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys).agg(F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, levels: list[float], keys: list[str]) -> DataFrame:
+    """(keys, n, level, value) from stored sketches that are merged by other, coarser keys, such as years: no row of the
+    panel is read again, and new dates only add sketches."""
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("_s"))
+    each = F.array(*[F.struct(F.lit(q).alias("level"), F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias("value")) for q in map(float, levels)])
+    return merged.select(*keys, F.kll_sketch_get_n_double("_s").alias("n"), F.inline(each))
+
+
 def composite(df: DataFrame, columns: list[str], weights: list[float] | None = None, out: str = "value") -> DataFrame:
     """The weighted sum of z-scores (equal weights of 1 by default)."""
     weights = weights or [1.0] * len(columns)

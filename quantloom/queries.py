@@ -624,6 +624,27 @@ def rank_cs(spark, sf):
     return rounded(W.rank_cs(A.daily(spark, sf), "volume").select("instrument", "trade_date", "rank", "pct_rank", "median"))
 
 
+_LEVELS = [0.01, 0.1, 0.25, 0.5, 0.9, 0.99]
+
+
+@query(f"{DAILY}, q AS (SELECT trade_date, quantile_cont(close, {_LEVELS}) AS v FROM d GROUP BY 1) SELECT trade_date, CAST(unnest({_LEVELS}) AS DOUBLE) AS level, round(unnest(v), 6) AS value FROM q")
+def quantiles_cs(spark, sf):
+    return rounded(W.quantiles_cs(A.daily(spark, sf), "close", _LEVELS))
+
+
+@query(f"{DAILY}, q AS (SELECT CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n, quantile_cont(close, {_LEVELS}) AS v FROM d GROUP BY 1) SELECT year, n, CAST(unnest({_LEVELS}) AS DOUBLE) AS level, round(unnest(v), 6) AS value, true AS near FROM q")
+def quantile_sketches(spark, sf):
+    """Quantiles of years, and whether those of merged sketches of dates are within the bound on their rank."""
+    d = A.daily(spark, sf).select("trade_date", "close")
+    stored = staged(W.quantile_sketches(d, "close", 400), "sketches")
+    found = W.sketch_quantiles(stored.withColumn("year", F.year("trade_date")), _LEVELS, ["year"])
+    years = d.withColumn("year", F.year("trade_date"))
+    off, n = W.rank_error(400), F.count("*")
+    places = years.join(F.broadcast(found), "year").groupBy("year", "n", "level").agg((F.sum((F.col("close") < F.col("value")).cast("int")) / n).alias("below"), (F.sum((F.col("close") <= F.col("value")).cast("int")) / n).alias("upto"))  # a row for each year and level
+    near = (F.col("below") <= F.col("level") + off) & (F.col("upto") >= F.col("level") - off)
+    return rounded(W.quantiles_cs(years, "close", _LEVELS, ["year"]).join(places, ["year", "level"]).select("year", "n", "level", "value", near.alias("near")))
+
+
 @query(f"{DAILY} SELECT instrument, trade_date, round(0.5 * ({_z('close')}) + 0.5 * ({_z('volume')}), 5) AS value FROM d")
 def composite(spark, sf):
     return rounded(W.composite(A.daily(spark, sf), ["close", "volume"], [0.5, 0.5]).select("instrument", "trade_date", "value"), 5)

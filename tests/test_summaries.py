@@ -37,3 +37,25 @@ def test_running_sums_go_on_from_stored_ones(spark):
     old = SU.running_sums(ls.where(ls.trade_date < cut), ["factor_name"], "ls")
     new = SU.running_sums(ls.where(ls.trade_date >= cut), ["factor_name"], "ls", SU.last_sums(old, ["factor_name"]))
     assert rows(old.unionByName(new)) == pytest.approx(want)
+
+
+def test_quantiles_of_any_level_and_their_sketches(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from quantloom.operators import windows as W
+
+    rng = np.random.default_rng(11)
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=d), float(x)) for d in range(30) for x in np.round(rng.exponential(3, 700 if d else 5), 2)]
+    df = spark.createDataFrame([*rows, (dt.date(2020, 1, 2), None), (dt.date(2021, 1, 1), None)], "trade_date date, x double").repartition(4)
+    levels = [0.0, 0.07, 0.5, 0.93, 1.0]
+    want = {(d, q): v for d, g in pd.DataFrame(rows, columns=["d", "x"]).groupby("d")["x"] for q, v in zip(levels, g.quantile(levels), strict=True)}
+    assert {(r.trade_date, r.level): r.value for r in W.quantiles_cs(df, "x", levels).collect()} == pytest.approx(want)
+    months = W.quantile_sketches(df, "x", 200).withColumn("all", F.lit(1))
+    got = W.sketch_quantiles(months, levels, ["all"]).collect()
+    every = np.sort([x for _, x in rows])
+    assert {r.n for r in got} == {len(rows)}
+    for r in got:
+        below, upto = np.searchsorted(every, r.value, "left") / len(every), np.searchsorted(every, r.value, "right") / len(every)
+        assert below <= r.level + 2 * W.rank_error(200) and upto >= r.level - 2 * W.rank_error(200)
+    assert 0.012 < W.rank_error(200) < 0.02 and W.rank_error(2000) < 0.003
