@@ -76,11 +76,15 @@ def _url_sql() -> str:
      SELECT page_id, host, path, rule, coalesce(v, CASE WHEN coalesce(b, false) AND NOT coalesce(a, false) THEN 'block' ELSE 'allow' END) AS verdict FROM k LEFT JOIN g USING (node)"""
 
 
-# crc32 by its table, which is made from the polynomial; near words share the word with one place left open, or are it with one letter less
-_SPELLING_SQL = f"""WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda x: list_reduce([CAST(x AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tb),
+# crc32 by its table, which is made from the polynomial
+_CRC_TABLE = "tb AS (SELECT list_transform(range(256), lambda x: list_reduce([CAST(x AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tb)"
+_CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(x) // 2 + 1), lambda i: CAST('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT)), lambda c, b: xor(c >> 8, tb[(xor(c, b) & 255) + 1])), 4294967295)"
+
+# near words share the word with one place left open, or are it with one letter less
+_SPELLING_SQL = f"""WITH RECURSIVE {_CRC_TABLE},
  r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS r FROM documents), d AS (SELECT doc_id, r, count(*) AS n FROM r WHERE length(r) >= 7 GROUP BY 1, 2),
  s AS (SELECT r, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x FROM d),
- h AS (SELECT r, n, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(x) // 2 + 1), lambda i: CAST('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT)), lambda c, b: xor(c >> 8, tb[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM s, tb),
+ h AS (SELECT r, n, {_CRC} AS h FROM s, tb),
  v AS (SELECT w AS word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w FROM h) WHERE length(w) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
  o AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS k, substr(word, 1, i - 1) || substr(word, i + 1) AS c FROM v, range(1, length(word) + 1) t(i)),
  e AS (SELECT a.word, b.word AS other, b.n FROM o a JOIN o b ON a.k = b.k WHERE a.word <> b.word UNION SELECT o.word, v.word, v.n FROM o JOIN v ON v.word = o.c UNION SELECT v.word, o.word, o.n FROM o JOIN v ON v.word = o.c),
@@ -89,10 +93,26 @@ _SPELLING_SQL = f"""WITH RECURSIVE tb AS (SELECT list_transform(range(256), lamb
  c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
  SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f z ON z.word = c.root WHERE z.form IS NULL"""
 
+# all pairs of equal words of a text at most a quarter of it apart; those of one distance that follow each other are a run
+_RUNS_SQL = f"""WITH {_CRC_TABLE}, t AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, hex(encode(CAST(doc_id AS VARCHAR))) AS x FROM documents), h AS (SELECT id, doc_id, w, len(w) AS n, {_CRC} AS h FROM t, tb),
+ a AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h), p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a), d AS (SELECT id, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+ e AS (SELECT id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d), s AS (SELECT x.id, x.i, y.i - x.i AS q FROM e x JOIN e y ON x.id = y.id AND x.word = y.word AND y.i > x.i AND (y.i - x.i) * 4 <= x.n),
+ g AS (SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS g FROM s), l AS (SELECT id, q, min(i) AS s, count(*) + q AS l FROM g GROUP BY id, q, g), r AS (SELECT id, s, l, min(q) AS q FROM l WHERE l >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+ o AS (SELECT DISTINCT id, unnest(range(s + q, s + l)) AS i FROM r), c AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS c FROM e ANTI JOIN o USING (id, i) GROUP BY 1), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY l / q DESC, s, q) AS place FROM r),
+ z AS (SELECT id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS f FROM r GROUP BY 1)
+ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli, sha256(coalesce(f, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256 FROM d LEFT JOIN z USING (id) LEFT JOIN b ON b.id = d.id AND place = 1 LEFT JOIN c ON c.id = d.id"""
+
+# all pairs of a label
+_EMBEDDING_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+ r AS (SELECT vec_id AS node, vec_id AS comp FROM v UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.node), n AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY 1), c AS (SELECT node AS vec_id, min(comp) AS component_id FROM r GROUP BY 1)
+ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v LEFT JOIN n USING (vec_id) JOIN c USING (vec_id)"""
+
 
 ORACLES: dict[str, str] = {
     "op5_license_scan": " ".join(_license_sql().split()),
     "op6_ngram_jaccard_join": " ".join(_JACCARD_SQL.split()),
     "op7_url_filter": " ".join(_url_sql().split()),
+    "op8_embedding_near_dup": " ".join(_EMBEDDING_SQL.split()),
     "op12_spelling_variants": " ".join(_SPELLING_SQL.split()),
+    "op13_periodic_runs": " ".join(_RUNS_SQL.split()),
 }
