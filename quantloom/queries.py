@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .functions import columns as C
 from .operators import evaluate as E, ingest as I, segment as G, minute as M, panel_joins as J, quality as Q, risk as R, scans as SC, summaries as SU, text as X, windows as W
-from .plans import events as EV, factors as P, hash_tree as HT, incremental as N, upsert as UP, user_functions as U, walk_forward as WF
+from .plans import events as EV, factors as P, hash_tree as HT, incremental as N, review as RV, upsert as UP, user_functions as U, walk_forward as WF
 from .session import scratch_dir, staged
 from .sources import adapters as A, panels as S
 from .streaming import minute_stream as ST
@@ -528,6 +528,42 @@ def significant_exposures(spark, sf):
     return R.significant_exposures(R.exposure_map(full)).select("factor_name", F.map_entries("significant").alias("significant"), F.size("exposures").alias("n"))
 
 
+# Three regressors by making each orthogonal to the ones before it: z1 = beta, r2 of size, r3 of value. The upper tail of
+# the t distribution is an integral by Simpson's rule.
+_OLS = f"""{_STYLE}, m AS (SELECT *, count(*) OVER w AS n, beta - avg(beta) OVER w AS z1, size - avg(size) OVER w AS z2, value - avg(value) OVER w AS z3, ls - avg(ls) OVER w AS y, avg(beta) OVER w AS m1, avg(size) OVER w AS m2, avg(value) OVER w AS m3, avg(ls) OVER w AS my FROM al WINDOW w AS (PARTITION BY factor_name)),
+ c AS (SELECT *, sum(z1 * z2) OVER w / sum(z1 * z1) OVER w AS c21, sum(z1 * z3) OVER w / sum(z1 * z1) OVER w AS c31 FROM m WHERE n >= 30 WINDOW w AS (PARTITION BY factor_name)), c2 AS (SELECT *, z2 - c21 * z1 AS r2 FROM c), c3 AS (SELECT *, sum(r2 * z3) OVER w / sum(r2 * r2) OVER w AS c32 FROM c2 WINDOW w AS (PARTITION BY factor_name)), c4 AS (SELECT *, z3 - c31 * z1 - c32 * r2 AS r3 FROM c3),
+ g AS (SELECT factor_name, any_value(n) AS n, any_value(c21) AS c21, any_value(c31) AS c31, any_value(c32) AS c32, any_value(m1) AS m1, any_value(m2) AS m2, any_value(m3) AS m3, any_value(my) AS my, sum(z1 * z1) AS s1, sum(r2 * r2) AS s2, sum(r3 * r3) AS s3, sum(y * z1) / sum(z1 * z1) AS g1, sum(y * r2) / sum(r2 * r2) AS g2, sum(y * r3) / sum(r3 * r3) AS g3, sum(y * y) AS syy FROM c4 GROUP BY 1),
+ fit AS (SELECT *, g3 AS b3, g2 - c32 * g3 AS b2, g1 - c21 * (g2 - c32 * g3) - c31 * g3 AS b1, syy - g1 * g1 * s1 - g2 * g2 * s2 - g3 * g3 * s3 AS rss, m2 - c21 * m1 AS q2, m3 - c31 * m1 - c32 * (m2 - c21 * m1) AS q3 FROM g),
+ k AS (SELECT *, rss / (n - 4) AS v, 1 - rss / syy AS r_squared FROM fit),
+ x AS (SELECT factor_name, n, r_squared, unnest(['alpha', 'beta', 'size', 'value']) AS name, unnest([my - b1 * m1 - b2 * m2 - b3 * m3, b1, b2, b3]) AS coef, unnest([v * (1.0 / n + m1 * m1 / s1 + q2 * q2 / s2 + q3 * q3 / s3), v * (1 / s1 + c21 * c21 / s2 + (c32 * c21 - c31) * (c32 * c21 - c31) / s3), v * (1 / s2 + c32 * c32 / s3), v / s3]) AS var FROM k),
+ t AS (SELECT *, coef / sqrt(var) AS tstat, n - 4 AS df FROM x), p AS (SELECT *, abs(tstat) / 2000 AS h, exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) AS front FROM t),
+ ols AS (SELECT factor_name, name, coef, tstat, greatest(0, 1 - 2 * front * h / 3 * list_sum(list_transform(range(2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (i * h) * (i * h) / df, -(df + 1) / 2.0)))) AS pvalue, r_squared, 1 - (1 - r_squared) * (n - 1) / df AS adj_r_squared, n AS n_days FROM p)"""
+
+
+@query(f"{_OLS} SELECT factor_name, name, round(coef, 4) AS coef, round(tstat, 3) AS tstat, round(pvalue, 5) AS pvalue, round(r_squared, 6) AS r_squared, round(adj_r_squared, 6) AS adj_r_squared, CAST(n_days AS BIGINT) AS n_days, CASE WHEN abs(tstat) > 2 THEN CASE WHEN pvalue < 0.01 THEN '**' ELSE '*' END END AS mark FROM ols")
+def style_exposures(spark, sf):
+    """The regression on three styles, with p-values and marks."""
+    ls = E.long_short_daily(E.decile_returns_daily(_panel(spark, sf)))
+    full = staged(R.ols_exposure(J.align_series(ls, _style(spark, sf), 30, ["factor_name"]), "ls", ["beta", "size", "value"]), "exposures")
+    marks = R.significant_exposures(R.exposure_map(full)).select("factor_name", F.explode("significant").alias("name", "mark"))
+    digits = {"coef": 4, "tstat": 3, "pvalue": 5, "r_squared": 6, "adj_r_squared": 6}
+    return rounded(full.join(marks, ["factor_name", "name"], "left"), digits)
+
+
+@query(f"""{_OLS.replace(_STYLE, _STYLE + _IC + _RANKIC)}, cv AS (SELECT factor_name, count(value) AS n, min(value) AS lo, max(value) AS hi FROM (SELECT 'momentum_5' AS factor_name, m5 AS value FROM f UNION ALL SELECT 'reversal_1', r1 FROM f) GROUP BY 1), gs AS (SELECT count(DISTINCT trade_date) AS nd, count(DISTINCT instrument) AS ni FROM d),
+ i AS (SELECT factor_name, avg(ic) AS ic_mean FROM ic GROUP BY 1), ri AS (SELECT factor_name, avg(ic) AS rank_ic_mean FROM ric GROUP BY 1), s AS (SELECT factor_name, CASE WHEN stddev_samp(ls) > 0 THEN avg(ls) / stddev_samp(ls) * sqrt(252) END AS sharpe, avg(ls) * 252 AS annual_return FROM ls WHERE ls IS NOT NULL GROUP BY 1),
+ o AS (SELECT factor_name, any_value(r_squared) AS r_squared, count(*) FILTER (abs(tstat) > 2) AS n_significant, count(*) FILTER (abs(tstat) > 3 AND name <> 'alpha') AS strong FROM ols GROUP BY 1)
+ SELECT factor_name, round(ic_mean, 6) AS ic_mean, round(rank_ic_mean, 6) AS rank_ic_mean, round(sharpe, 4) AS long_short_sharpe, round(annual_return, 3) AS annual_return, round(r_squared, 6) AS r_squared, CAST(n_significant AS INTEGER) AS n_significant, cv.n AS non_null, round(cv.n / (nd * ni), 4) AS non_null_ratio, NOT (cv.n / (nd * ni) < 0.01 OR cv.n = 0 OR coalesce(lo = hi, false)) AS passes,
+ concat_ws(',', CASE WHEN abs(ic_mean) < 0.005 THEN 'weak ic' END, CASE WHEN sharpe < -1 THEN 'negative sharpe' END, CASE WHEN r_squared > 0.25 AND strong >= 3 THEN 'style exposure' END) AS reasons FROM cv CROSS JOIN gs LEFT JOIN i USING (factor_name) LEFT JOIN ri USING (factor_name) LEFT JOIN s USING (factor_name) LEFT JOIN o USING (factor_name)""")
+def factor_review(spark, sf):
+    """From a factor table to scores, exposures, gate and reasons in one call."""
+    d = A.daily(spark, sf)
+    factors = P.compute([s for s in P.standard_specs() if s.name in ("momentum_5", "reversal_1")], d)
+    out = RV.review(factors, d, _style(spark, sf), ["beta", "size", "value"])
+    digits = {"ic_mean": 6, "rank_ic_mean": 6, "long_short_sharpe": 4, "annual_return": 3, "r_squared": 6, "non_null_ratio": 4}
+    return rounded(out.select("factor_name", "ic_mean", "rank_ic_mean", "long_short_sharpe", "annual_return", "r_squared", F.size("significant").alias("n_significant"), "non_null", "non_null_ratio", "passes", F.array_join("reasons", ",").alias("reasons")), digits)
+
+
 @query(f"{EVAL} SELECT factor_name, CAST(floor(quantile_cont(n, 0.5)) AS INTEGER) AS n_stocks_per_day FROM (SELECT factor_name, trade_date, count(value) AS n FROM e GROUP BY 1, 2) GROUP BY 1")
 def stocks_per_day_median(spark, sf):
     return Q.stocks_per_day_median(_panel(spark, sf))
@@ -1096,7 +1132,17 @@ def multi_factor_run(spark, sf):
     return rounded(long.groupBy("instrument", "trade_date").pivot("factor_name", [s.name for s in specs]).agg(F.first("value", ignorenulls=True)), 5)
 
 
-@query()
+# by year sums of products, their running totals, then each year's normal equations by elimination on a list of rows
+_X = ["1.0", "f1", "f2", "f3", "f4"]
+_WALK = f"""{RET}, ff AS (SELECT instrument, trade_date, close / lag(close, 20) OVER {WI} - 1 AS f1, CASE WHEN count(ret) OVER {_rows(20)} >= 20 THEN stddev_samp(ret) OVER {_rows(20)} END AS f2, CASE WHEN count(*) OVER {_rows(20)} >= 20 THEN avg(turnover_rate) OVER {_rows(20)} END / nullif(CASE WHEN count(*) OVER {_rows(60)} >= 60 THEN avg(turnover_rate) OVER {_rows(60)} END, 0) AS f3,
+ close / CASE WHEN count(*) OVER {_rows(20)} >= 20 THEN avg(close) OVER {_rows(20)} END - 1 AS f4, lead(close, 5) OVER {WI} / close - 1 AS label, lead(trade_date, 5) OVER {WI} AS label_date FROM r), fu AS (SELECT * FROM ff WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AND f4 IS NOT NULL),
+ yl AS (SELECT year(label_date) AS year, count(*) AS n, {", ".join(f"sum({a} * {b}) AS s{i}{j}" for i, a in enumerate(_X) for j, b in enumerate([*_X, "label"]))} FROM fu WHERE label IS NOT NULL GROUP BY 1),
+ ad AS (SELECT y.year, coalesce(sum(n) OVER w, 0) AS n, {", ".join(f"sum(s{i}{j}) OVER w AS s{i}{j}" for i in range(5) for j in range(6))} FROM (SELECT DISTINCT year(trade_date) AS year FROM fu) y LEFT JOIN yl USING (year) WINDOW w AS (ORDER BY y.year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ sv AS (SELECT year, list_reduce([{{p: 0, m: [{", ".join("[" + ", ".join(f"s{i}{j}" + (" * (1 + 1e-6)" if i == j and i else "") for j in range(6)) + "]" for i in range(5))}]}}] || list_transform(range(1, 6), lambda p: {{p: p, m: [[0.0::DOUBLE]]}}), lambda q, x: {{p: x.p, m: list_transform(q.m, lambda row, i: list_transform(row, lambda v, j: CASE WHEN i = x.p THEN v / q.m[x.p][x.p] ELSE v - row[x.p] * q.m[x.p][j] / q.m[x.p][x.p] END))}}).m AS m FROM ad WHERE n >= 50)
+ SELECT instrument, trade_date, round(m[1][6] + m[2][6] * f1 + m[3][6] * f2 + m[4][6] * f3 + m[5][6] * f4, 6) AS value FROM fu JOIN sv ON sv.year = year(trade_date)"""
+
+
+@query(_WALK)
 def walk_forward(spark, sf):
     return rounded(WF.walk_forward(WF.features(A.daily(spark, sf))))
 

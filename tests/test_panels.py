@@ -264,3 +264,17 @@ def test_tail_rows_hold_the_last_dates_and_read_no_more(spark):
         assert got[s][-len(least) :] == least or not least and not got[s]
     assert len(got["a"]) <= 10  # the long search for b and c is theirs alone
     assert N.tail_rows(df, names, day(995), 0).count() == 0 and N.tail_rows(df, names.limit(0), day(995), 5).count() == 0
+
+
+def test_review_in_one_call(spark):
+    from quantloom.plans import factors as P, review as RV
+
+    df = panel(spark, 12, 60)
+    factors = P.compute([s for s in P.standard_specs() if s.name == "momentum_5"], df)
+    factors = factors.unionByName(df.select(F.lit("flat").alias("factor_name"), "trade_date", "instrument", F.lit(1.0).alias("value"))).unionByName(df.select(F.lit("none").alias("factor_name"), "trade_date", "instrument", F.lit(None).cast("double").alias("value")))
+    styles = df.groupBy("trade_date").agg(F.avg("volume").alias("a"), F.avg("turnover_rate").alias("b"))
+    out = {r.factor_name: r for r in RV.review(factors, df, styles, ["a", "b"]).collect()}
+    assert set(out) == {"momentum_5", "flat", "none"} and out["momentum_5"].passes and not out["flat"].passes and out["flat"].constant and out["none"].empty
+    m = out["momentum_5"]
+    assert set(m.exposures) == {"alpha", "a", "b"} and m.non_null == 12 * 55 and m.rows == 60 and m.n_dates == 54 and m.long_short_days == 54
+    assert "weak ic" not in out["none"].reasons and out["none"].exposures is None and RV.accepted(RV.review(factors, df, styles, ["a", "b"])).where("factor_name <> 'momentum_5'").isEmpty()
