@@ -44,7 +44,10 @@ def lookback_frame(kind: str, n: int, order: str = "trade_date") -> WindowSpec:
 def align_series(a: DataFrame, b: DataFrame, least: int = 30, group: list[str] | None = None) -> DataFrame:
     """Two date series on their common dates; groups with fewer than `least` dates are left out."""
     both = a.join(b, "trade_date")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*(group or [F.lit(1)])))
+    if not group:  # one number for all rows, without bringing them together
+        enough = both.agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+        return both.join(F.broadcast(enough), F.lit(True)).drop("_n")
+    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
     return both.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
 
 

@@ -472,7 +472,7 @@ def cum_decile_curve_extended(spark, sf):
 
 
 def _monthly_evaluation(spark, sf):
-    panel = _panel(spark, sf, A.monthly).cache()
+    panel = staged(_panel(spark, sf, A.monthly), "panel")
     daily = E.decile_returns_daily(panel)
     ls = E.long_short_daily(daily)
     parts = (E.ic_summary(E.daily_ic(panel)), E.ic_summary(E.daily_rank_ic(panel), "rank_ic"), E.long_short_summary(ls))

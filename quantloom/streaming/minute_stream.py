@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..functions.columns import strip_code
 from ..operators.ingest import dedup_keep_last
+from ..session import delete
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -43,6 +44,7 @@ def ingest_keep_last(df: DataFrame, path: str, checkpoint: str, order: str = "se
         # the dates are read and rewritten, so they pass through a table of their own
         fresh.write.mode("overwrite").parquet(f"{staging}/{number}")
         spark.read.schema(fresh.schema).parquet(f"{staging}/{number}").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(path)
+        delete(spark, f"{staging}/{number}")
 
     return df.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -278,3 +278,11 @@ def test_review_in_one_call(spark):
     m = out["momentum_5"]
     assert set(m.exposures) == {"alpha", "a", "b"} and m.non_null == 12 * 55 and m.rows == 60 and m.n_dates == 54 and m.long_short_days == 54
     assert "weak ic" not in out["none"].reasons and out["none"].exposures is None and RV.accepted(RV.review(factors, df, styles, ["a", "b"])).where("factor_name <> 'momentum_5'").isEmpty()
+
+
+def test_one_series_is_aligned_without_a_window(spark):
+    a = spark.createDataFrame([(day(n), 1.0) for n in range(40)], "trade_date date, x double")
+    b = spark.createDataFrame([(day(n), 2.0) for n in range(5, 60)], "trade_date date, y double")
+    out = J.align_series(a, b, 30)
+    assert out.count() == 35 and out.columns == ["trade_date", "x", "y"] and J.align_series(a, b, 36).count() == 0
+    assert "Window" not in out._jdf.queryExecution().toString()
