@@ -52,25 +52,11 @@ def incremental_update(stored: DataFrame, panel: DataFrame, calendar: DataFrame,
 def update_factors(stored: DataFrame, specs: list[FactorSpec], daily: DataFrame, calendar: DataFrame) -> DataFrame:
     """The stored table of many daily factors extended to the calendar's last date, equal to a full run.
 
-    Factors that end on the same date share one scan of the dates that the longest of their look-backs needs; what is
-    stored stays as it is. daily has a row on each of the dates that a look-back counts (as-of rows, if bars are missing).
+    What is stored stays as it is. daily has a row on each of the dates that a look-back counts (as-of rows, if bars are
+    missing).
     """
-    ends = {r["factor_name"]: r["last_date"] for r in stored.groupBy("factor_name").agg(F.max("trade_date").alias("last_date")).collect()}  # a row for each factor
-    groups: dict = {}
-    for s in specs:
-        groups.setdefault(ends.get(s.name), []).append(s)
-    out = stored
-    for last, group in groups.items():
-        panel = daily
-        if last is not None:
-            following = calendar.where(F.col("trade_date") > F.lit(last)).agg(F.min("trade_date")).first()[0]
-            if following is None:
-                continue
-            first = incremental_window(calendar, following, max(s.lookback for s in group)).agg(F.min("trade_date")).first()[0]
-            panel = daily.where(F.col("trade_date") >= F.lit(first))
-        new = compute(group, panel)
-        out = out.unionByName(new if last is None else new.where(F.col("trade_date") > F.lit(last)))
-    return out
+    days = daily.join(calendar.select("trade_date"), "trade_date", "left_semi")
+    return stored.unionByName(extend_factors(stored, specs, days))
 
 
 def tail_rows(rows: DataFrame, instruments: DataFrame, cut: dt.date, n: int) -> DataFrame:

@@ -909,7 +909,7 @@ def _event_files(spark, sf):
     path = scratch_dir(spark, "events")
     m = A.minute(spark, sf).drop("trade_date")
     m.repartition(4, "instrument").write.parquet(path)
-    m.where("seq % 3 = 0").withColumns({"close": F.col("close") + 1, "seq": F.col("seq") + 10_000_000}).coalesce(1).write.mode("append").parquet(path)
+    m.where("seq % 3 = 0").withColumns({"close": F.col("close") + 1, "seq": F.col("seq") + 10_000_000}).write.mode("append").parquet(path)
     return ST.read_stream(spark, path, m.schema)
 
 

@@ -66,7 +66,7 @@ class KeepLast(StatefulProcessor):
         self.rows = handle.getValueState("rows", T.StructType([T.StructField("rows", T.ArrayType(self.row))]))
 
     def _held(self) -> list[tuple]:
-        found = self.rows.get() if self.rows.exists() else None
+        found = self.rows.get()  # None if there is none
         return [tuple(r) for r in found[0]] if found else []
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -126,7 +126,8 @@ class RollingMean(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("trade_date")
-        held = list(self.values.get()[0]) if self.values.exists() else []
+        found = self.values.get()
+        held = list(found[0]) if found else []
         all_ = pd.Series([*held, *_plain(new["value"])], dtype=float)
         self.values.update(([None if v != v else v for v in all_.tolist()[-(self.n - 1) :]] if self.n > 1 else [],))
         mean = all_.rolling(self.n, min_periods=1).mean().to_numpy()[len(held) :]
