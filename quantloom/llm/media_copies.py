@@ -442,6 +442,8 @@ def render(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         for b in batches:
             keys = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(draw, keys, b.column(1).to_pylist())), pa.binary())], ["id", "image"])
+        bases.clear()
+        released()
 
     return rows.mapInArrow(run, "id long, image binary").withColumnRenamed("id", id_col)
 
