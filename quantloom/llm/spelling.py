@@ -32,7 +32,7 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 #: Words that a task counts before it hands them on; bits for each word; bits of a block and how many a word sets.
 HELD, BITS, BLOCK, PROBES = 200_000, 16, 512, 6
 #: Blocks of a part of a filter, which is built in one group; bytes of filters that are broadcast at once; edits at once.
-PART_BLOCKS, FILTER_BYTES, AT_ONCE = 1 << 14, 64 << 20, 1 << 20
+PART_BLOCKS, FILTER_BYTES, AT_ONCE = 1 << 8, 64 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
 _LOWER = LOWER.tobytes()
