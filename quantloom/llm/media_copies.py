@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .spark_tools import components, join_checked, stage, table, text_batches
 from .text_kernels import released
@@ -231,9 +231,11 @@ POINT = {"x": "float", "y": "float", "cx": "float", "cy": "float", "scale": "flo
 POINTS = f"array<struct<{','.join(f'{n}:{k}' for n, k in POINT.items())}>>"
 
 
-def describe(images: DataFrame, image: str = "image") -> DataFrame:
-    """The other columns of images with found, an array of descriptors; cx and cy are x and y from the image's middle."""
+def describe(images: DataFrame, image: str = "image", fields: tuple[str, ...] = tuple(POINT)) -> DataFrame:
+    """The other columns of images with found, an array of descriptors with these fields of POINT; cx and cy are x and y
+    from the image's middle."""
     others = [c for c in images.columns if c != image]
+    point = {n: POINT[n] for n in fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,16 +252,16 @@ def describe(images: DataFrame, image: str = "image") -> DataFrame:
                     some = np.array(rows[lo : lo + step])
                     found = stacked(np.stack([pixels[i] for i in some]))
                     parts.append(found | {"image": some[found["image"].astype(np.int64)], "cx": found["x"] - w / 2, "cy": found["y"] - h / 2})
-            all_ = {n: np.concatenate([p[n] for p in parts]) if parts else np.zeros(0) for n in ("image", *POINT)}
+            all_ = {n: np.concatenate([p[n] for p in parts]) if parts else np.zeros(0) for n in ("image", *point)}
             order = np.argsort(all_["image"], kind="stable")
             kinds = {"float": pa.float32(), "bigint": pa.int64()}
-            inner = pa.StructArray.from_arrays([pa.array(all_[n][order], kinds[k]) for n, k in POINT.items()], list(POINT))
+            inner = pa.StructArray.from_arrays([pa.array(all_[n][order], kinds[k]) for n, k in point.items()], list(point))
             offsets = np.r_[0, np.cumsum(np.bincount(all_["image"].astype(np.int64), minlength=batch.num_rows))]
             kept = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)], [*others, "found"])
         released()
 
-    found = T.StructField("found", T.ArrayType(T.StructType([T.StructField(n, T.LongType() if k == "bigint" else T.FloatType()) for n, k in POINT.items()])))
+    found = T.StructField("found", T.ArrayType(T.StructType([T.StructField(n, T.LongType() if k == "bigint" else T.FloatType()) for n, k in point.items()])))
     return images.mapInArrow(run, T.StructType([*(f for f in images.schema if f.name != image), found]))
 
 
@@ -293,57 +295,58 @@ def meet(points: DataFrame, distance: int) -> DataFrame:
     return both.select(F.col("l.node").alias("a"), F.col("l.i").alias("ia"), F.col("l.at").alias("p"), F.col("r.node").alias("b"), F.col("r.at").alias("q"))
 
 
-def _described(images: DataFrame, id_col: str, image: str) -> tuple[DataFrame, DataFrame]:
+def _described(images: DataFrame, id_col: str, image: str, fields: tuple[str, ...] = tuple(POINT)) -> tuple[DataFrame, DataFrame]:
     """Rows (id, digest), and (node, digest, found) for each different image: the smallest id and the descriptors."""
     keyed = text_batches(images, 256).select(F.col(id_col).cast("long").alias("node"), F.when(F.length(image) > 0, F.sha2(F.col(image), 256)).alias("digest"), F.col(image).alias("image"))
     # images stay where they are: digests are grouped, and one image of each is described in a second pass
     rows = stage(keyed.select(F.col("node").alias("id"), "digest"))
-    first = stage(rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node")))
-    seen = stage(describe(join_checked(keyed, first, ["node", "digest"], "left_semi")).dropDuplicates(["node", "digest"]))
-    return rows, seen
+    each = rows.where("digest is not null and id is not null").groupBy("digest", "id").agg(F.count("*").alias("n"))
+    first = stage(each.groupBy("digest").agg(F.min("id").alias("node"), F.max("n").alias("n")))
+    seen = describe(join_checked(keyed, first.select("node", "digest"), ["node", "digest"], "left_semi"), fields=fields)
+    # descriptors move only if an id may have the same image twice
+    return rows, stage(seen if first.where("n > 1").isEmpty() else seen.dropDuplicates(["node", "digest"]))
 
 
 def image_groups(images: DataFrame, id_col: str, image: str = "image", distance: int = 12, consensus: int = 4) -> DataFrame:
     """(id, n_corners, component_id) for each row."""
-    rows, seen = _described(images, id_col, image)
-    points = seen.select("node", F.posexplode("found").alias("i", "d")).select("node", "i", "d.lo", "d.hi", F.explode(F.array(*[F.lit(p).cast("long") * (1 << 32) + _part(p, "d.lo", "d.hi") for p in range(4)])).alias("key"))
+    rows, seen = _described(images, id_col, image, ("cx", "cy", "scale", "angle", "lo", "hi"))
+    # a corner's number and level are one column, so that both sides of the joins below need the same columns and share a
+    # shuffle; its place comes along, so that matches need no further join
+    level = F.round(2 * F.log2("d.scale")).cast("int")
+    corners = seen.select("node", F.posexplode("found").alias("i", "d")).select("node", (F.col("i") * LEVELS + level).alias("corner"), "d.lo", "d.hi", "d.cx", "d.cy", "d.angle")
+    points = corners.withColumn("key", F.explode(F.array(*[F.lit(p).cast("long") * (1 << 32) + _part(p) for p in range(4)])))
     near = lambda p, q: F.bit_count(F.col(f"{p}.lo").bitwiseXOR(F.col(f"{q}.lo"))) + F.bit_count(F.col(f"{p}.hi").bitwiseXOR(F.col(f"{q}.hi"))) <= distance
-    matched = lambda df: df.select(F.col("p.node").alias("a"), F.col("p.i").alias("ia"), F.col("q.node").alias("b"), F.col("q.i").alias("ib")).distinct()
-    placed = seen.select("node", F.posexplode("found").alias("i", "d"))
-
-    def place(node: str, i: str, name: str) -> DataFrame:
-        """The places of corners under these names; flat, as they move."""
-        return placed.select(F.col("node").alias(node), F.col("i").alias(i), *[F.col(f"d.{c}").alias(f"{name}_{c}") for c in ("cx", "cy", "scale", "angle")])
-
-    def at(name: str) -> Column:
-        return F.struct(*[F.col(f"{name}_{c}").alias(n) for c, n in (("cx", "x"), ("cy", "y"), ("scale", "scale"), ("angle", "angle"))]).alias(name)
+    body = (
+        "node", (F.col("corner") / LEVELS).cast("int").alias("i"), "lo", "hi", F.col("cx").alias("x"), F.col("cy").alias("y"), "angle",
+        F.pow(F.lit(2.0), F.pmod("corner", F.lit(LEVELS)) / 2).alias("scale"),
+    )
 
-    def links(matches: DataFrame) -> DataFrame:
-        """Pairs (a, b) of images whose matches agree on a change of size, a turn and a shift."""
-        # a pair needs so many corners that match; the others don't move on
-        enough = matches.groupBy("a", "b").agg(F.count_distinct("ia").alias("n")).where(F.col("n") >= consensus).select("a", "b")
-        both = matches.hint("merge").join(enough, ["a", "b"]).hint("merge").join(place("a", "ia", "p"), ["a", "ia"]).hint("merge").join(place("b", "ib", "q"), ["b", "ib"])
-        both = both.select("a", "ia", "b", at("p"), at("q"))
-        return stage(_agreeing(both, consensus))
+    def links(met: DataFrame) -> DataFrame:
+        """Pairs (a, b) of images whose matches p, q agree on a change of size, a turn and a shift."""
+        matches = met.select(F.col("p.node").alias("a"), F.col("p.i").alias("ia"), "p", F.col("q.node").alias("b"), "q")
+        # a pair's matches move once, as numbers of cells; all counts are made where they are
+        return stage(_agreeing(_cells(matches).repartition("a", "b"), consensus))
 
     # 1. all images meet the first and the last image of each value; both sides lie by the value, so they move once
-    ends = points.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    shared = points.hint("merge").join(ends, "key")
-    body = F.struct("node", "i", "lo", "hi")
-    hubs = shared.where("node = first or node = last").select("key", body.alias("p"))
-    stars = hubs.hint("merge").join(shared.select("key", body.alias("q")), "key").where(near("p", "q") & (F.col("p.node") != F.col("q.node")))
-    known = links(stage(matched(stars)))
-    comps = components(known, "a", "b").select("node", F.col("component").alias("comp"))
-
-    # 2. pairs of different components; the most frequent component of a value only meets the others
+    value = Window.partitionBy("key")
+    shared = points.withColumn("first", F.min("node").over(value)).withColumn("last", F.max("node").over(value)).where("first < last")
+    hubs = shared.where("node = first or node = last").select("key", F.struct(*body).alias("p"))
+    stars = hubs.hint("merge").join(shared.select("key", F.struct(*body).alias("q")), "key").where(near("p", "q") & (F.col("p.node") != F.col("q.node")))
+    known = links(stars)
+    comps = stage(components(known, "a", "b").select("node", F.col("component").alias("comp")))
+
+    # 2. pairs of different components; the most frequent component of a value only meets the others. Values of one
+    # component are done and don't move
     owned = join_checked(points, comps, ["node"]).withColumn("comp", F.coalesce("comp", "node"))
-    counts = owned.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    main = counts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
-    mixed = owned.hint("merge").join(main, "key")
-    body = F.struct("node", "i", "lo", "hi", "comp", (F.col("comp") == F.col("main")).alias("main"))
-    left, right = mixed.where("comp <> main").select("key", body.alias("p")), mixed.select("key", body.alias("q"))
+    several = stage(owned.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key"))
+    mixed = join_checked(owned, several, ["key"], "left_semi")
+    counts = mixed.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    main = counts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    mixed = mixed.hint("merge").join(main, "key")
+    body = (*body, "comp", (F.col("comp") == F.col("main")).alias("main"))
+    left, right = mixed.where("comp <> main").select("key", F.struct(*body).alias("p")), mixed.select("key", F.struct(*body).alias("q"))
     rest = left.hint("merge").join(right, "key").where(near("p", "q") & (F.col("p.comp") != F.col("q.comp")) & (F.col("q.main") | (F.col("p.node") < F.col("q.node"))))
-    more = links(stage(matched(rest)))
+    more = links(rest)
 
     groups = components(known.union(more), "a", "b")
     out = seen.select("digest", "node", F.size("found").alias("n_corners")).join(groups, "node", "left")
@@ -352,18 +355,31 @@ def image_groups(images: DataFrame, id_col: str, image: str = "image", distance:
     return final.select(F.col("id").alias(id_col), F.coalesce("n_corners", F.lit(0)).alias("n_corners"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _agreeing(both: DataFrame, consensus: int, cell: float = 12.0, turn: float = 30.0) -> DataFrame:
-    """Pairs (a, b) with at least consensus corners ia whose matches lie in one cell of size, turn and shift.
+#: Cells of shifts in pixels and of turns in degrees.
+CELL, TURN = 12, 30
+
+
+def _cells(both: DataFrame) -> DataFrame:
+    """(a, b, ia, size, turn, x, y): each match's change of size in half octaves, turn and shift in half cells.
 
-    both: a, ia, p, b, q; p and q are x, y, scale and angle. Cells of turns and of shifts lie on two overlapping grids.
+    both: a, ia, p, b, q; p and q are x, y, scale and angle.
     """
     ratio, by = F.col("p.scale") / F.col("q.scale"), F.col("p.angle") - F.col("q.angle")
     degrees = F.pmod(F.degrees(by), F.lit(360.0))
-    both = both.select("a", "b", "ia", F.round(2 * F.log2(ratio)).cast("int").alias("size"), degrees.alias("turn"), *[
-        (F.col(f"p.{c}") - ratio * (F.cos(by) * F.col(f"q.{c}") + sign * F.sin(by) * F.col(f"q.{d}"))).alias(c) for c, d, sign in (("x", "y", -1), ("y", "x", 1))
+    return both.select("a", "b", "ia", F.round(2 * F.log2(ratio)).cast("int").alias("size"), F.floor(degrees / (TURN / 2)).cast("int").alias("turn"), *[
+        F.floor((F.col(f"p.{c}") - ratio * (F.cos(by) * F.col(f"q.{c}") + sign * F.sin(by) * F.col(f"q.{d}"))) / (CELL / 2)).cast("int").alias(c) for c, d, sign in (("x", "y", -1), ("y", "x", 1))
     ])
-    cells = [F.struct(F.lit(2 * t + o).alias("grid"), F.floor(F.pmod(F.col("turn") + t * turn / 2, F.lit(360.0)) / turn).cast("int").alias("t"), *[F.floor((F.col(c) + o * cell / 2) / cell).cast("int").alias(c) for c in ("x", "y")]) for t in (0, 1) for o in (0, 1)]
-    votes = both.select("a", "b", "ia", "size", F.explode(F.array(*cells)).alias("c")).distinct().groupBy("a", "b", "size", "c").agg(F.count("*").alias("n"))
+
+
+def _agreeing(cells: DataFrame, consensus: int) -> DataFrame:
+    """Pairs (a, b) with at least consensus corners ia whose matches lie in one cell of size, turn and shift.
+
+    cells: those of _cells(). Cells of turns and of shifts lie on two overlapping grids, so each is two half cells.
+    """
+    half = lambda c, o: F.floor((F.col(c) + o) / 2).cast("int")
+    turns = [F.floor(F.pmod(F.col("turn") + t, F.lit(720 // TURN)) / 2).cast("int").alias("t") for t in (0, 1)]
+    grids = [F.struct(F.lit(2 * t + o).alias("grid"), turns[t], *[half(c, o).alias(c) for c in ("x", "y")]) for t in (0, 1) for o in (0, 1)]
+    votes = cells.select("a", "b", "ia", "size", F.explode(F.array(*grids)).alias("c")).distinct().groupBy("a", "b", "size", "c").agg(F.count("*").alias("n"))
     return votes.where(F.col("n") >= consensus).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -382,7 +398,7 @@ def image_copies(images: DataFrame, id_col: str, image: str = "image", distance:
     # and for turns, beside those within the scatter of angles
     middle = lambda c: F.struct(F.col(f"{c}.cx").alias("x"), F.col(f"{c}.cy").alias("y"), f"{c}.scale", f"{c}.angle").alias(c)
     turned = one.where(F.cos(F.col("p.angle") - F.col("q.angle")) < math.cos(math.radians(12))).select("a", "ia", "b", middle("p"), middle("q"))
-    links = stage(links.union(_agreeing(turned, consensus)).distinct())
+    links = stage(links.union(_agreeing(_cells(turned), consensus)).distinct())
 
     both = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     out = seen.select("digest", "node", F.size("found").alias("n_corners")).join(both, "node", "left").join(components(links, "a", "b"), "node", "left")
