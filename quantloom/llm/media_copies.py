@@ -346,7 +346,9 @@ def image_groups(images: DataFrame, id_col: str, image: str = "image", distance:
     body = (*body, "comp", (F.col("comp") == F.col("main")).alias("main"))
     left, right = mixed.where("comp <> main").select("key", F.struct(*body).alias("p")), mixed.select("key", F.struct(*body).alias("q"))
     rest = left.hint("merge").join(right, "key").where(near("p", "q") & (F.col("p.comp") != F.col("q.comp")) & (F.col("q.main") | (F.col("p.node") < F.col("q.node"))))
-    more = links(rest)
+    # either image may be p, by the value's main component; a pair's matches count together
+    swap = F.col("p.node") > F.col("q.node")
+    more = links(rest.select(F.when(swap, F.col("q")).otherwise(F.col("p")).alias("p"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("q")))
 
     groups = components(known.union(more), "a", "b")
     out = seen.select("digest", "node", F.size("found").alias("n_corners")).join(groups, "node", "left")

@@ -721,6 +721,27 @@ def test_media_groups_move_few_bytes(spark):
     assert corners > 20 * media_copies.EDITS * 30 and (x := (written() - before) / corners) < 550, x
 
 
+def test_media_matches_count_together_whatever_the_main_component(spark, monkeypatch):
+    """Images 1 and 2 share four values; in two of them 2 is the main component, in the others 1."""
+    rng = np.random.default_rng(47)
+    shared = rng.integers(1, 2**31, (4, 4))
+
+    def point(part0, others, x):
+        lo, hi = int(part0) | int(others[0]) << 32, int(others[1]) | int(others[2]) << 32
+        return (x, 2 * x, x, 2 * x, 1.0, 0.0, lo, hi)
+
+    far = lambda j: point(shared[j, 0], rng.integers(1, 2**31, 3), float(rng.integers(-40, 40)))
+    found = {node: [point(v[0], v[1:] ^ flip, 10.0 * j) for j, v in enumerate(shared)] for node, flip in ((1, 0), (2, 1))}
+    found[1] += [far(2), far(3)]
+    found[2] += [far(0), far(1)]
+    found |= {node: [far(j) for j in range(4)] for node in (0, 9)}  # the first and the last image of each value
+    rows = spark.createDataFrame([(i, str(i)) for i in found], "id long, digest string")
+    seen = spark.createDataFrame([(i, str(i), d) for i, d in found.items()], f"node long, digest string, found {media_copies.POINTS}")
+    monkeypatch.setattr(media_copies, "_described", lambda *_: (rows, seen))
+    out = {r.id: r.component_id for r in media_copies.image_groups(seen, "id").collect()}
+    assert out == {0: 0, 1: 1, 2: 1, 9: 9}
+
+
 def png(pixels, how):
     """A PNG whose lines are all filtered alike."""
     h, w = pixels.shape[:2]
