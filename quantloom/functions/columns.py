@@ -75,6 +75,12 @@ def simple_return(price: Column, before: Column) -> Column:
     return F.try_divide(price, before) - 1
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as floating-point arithmetic has it: infinite over zero, NaN for zero over zero."""
+    over_zero = F.when((a == 0) | F.isnan(a), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.when(b == 0, over_zero).otherwise(F.try_divide(a, b))
+
+
 def log_return(price: Column, before: Column) -> Column:
     ratio = F.try_divide(price, before)
     return F.when(ratio > 0, F.log(ratio))
