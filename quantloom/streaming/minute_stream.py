@@ -51,43 +51,6 @@ def ingest_keep_last(df: DataFrame, path: str, checkpoint: str, order: str = "se
 
 #: State of any form needs this store; it keeps state on disk, with its changes in the checkpoint.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-DAY_MS = 86_400_000
-
-
-class KeepLast(StatefulProcessor):
-    """Holds the bars of an instrument and day: of equal datetime the last by the order column. When the watermark passes
-    the day's end, a timer gives them out and clears the state."""
-
-    def __init__(self, row: T.StructType, order: str) -> None:
-        self.row, self.order = row, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getValueState("rows", T.StructType([T.StructField("rows", T.ArrayType(self.row))]))
-
-    def _held(self) -> list[tuple]:
-        found = self.rows.get()  # None if there is none
-        return [tuple(r) for r in found[0]] if found else []
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names, last = self.row.names, {}
-        at, order = names.index("datetime"), names.index(self.order)
-        new = (x for part in rows for x in zip(*(_plain(part[f.name], f.dataType) for f in self.row), strict=True))
-        for x in (*self._held(), *new):
-            if x[at] not in last or last[x[at]][order] is None or x[order] is not None and x[order] >= last[x[at]][order]:
-                last[x[at]] = x
-        self.rows.update(([last[t] for t in sorted(last)],))
-        self.handle.registerTimer(int(pd.Timestamp(key[1]).timestamp() * 1000) + DAY_MS)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self._held()
-        self.rows.clear()
-        if held:
-            yield pd.DataFrame(held, columns=self.row.names).astype(object).where(lambda d: d.notna(), None)
-
-    def close(self) -> None:
-        pass
 
 
 def _plain(column: pd.Series, kind: T.DataType | None = None) -> list:
@@ -99,20 +62,23 @@ def _plain(column: pd.Series, kind: T.DataType | None = None) -> list:
 def keep_last_stream(df: DataFrame, delay: str = "1 day", order: str = "seq") -> DataFrame:
     """Each bar once: of equal (instrument, datetime) the last by the order column, given out when its day is closed.
 
-    The state holds the open days only, by instrument and day, so no stored date is read or written again. A day is closed
-    when a bar has come that is `delay` later than its end; a bar of a closed day is dropped. df has trade_date, the date
-    of datetime. The bars of the open days are in open_rows().
+    The state holds the bars of the open days only, each under a key of its own, so no stored date is read or written
+    again, and a bar that comes writes no other one. A day is closed when a bar has come that is `delay` later than its
+    end; a bar of a closed day is dropped. df has trade_date, the date of datetime. The bars of the open days are in
+    open_rows(). Built-ins only: no bar passes through Python.
     """
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    row = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
-    days = df.withWatermark("datetime", delay).groupBy("instrument", "trade_date")
-    return days.transformWithStateInPandas(KeepLast(row, order), row, "Append", "EventTime")
+    # the watermark is on the day alone: the time within it is a number
+    key = ["instrument", F.window("datetime", "1 day").alias("w"), F.unix_micros("datetime").alias("at")]
+    # in a struct, a missing order is the least
+    last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(order))
+    return df.withWatermark("datetime", delay).groupBy(*key).agg(last.alias("r")).select("r.*")
 
 
 def open_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The bars that a stopped keep_last_stream() still holds."""
-    held = spark.read.format("statestore").option("stateVarName", "rows").load(checkpoint)
-    return held.select(F.explode("value.rows").alias("r")).select("r.*")
+    held = spark.read.format("statestore").load(checkpoint)
+    return held.select(F.col("value").getField(held.schema["value"].dataType.names[0]).alias("r")).select("r.*")
 
 
 class RollingMean(StatefulProcessor):
